@@ -62,3 +62,14 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
 
 def arrow_map(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(task, schema)
+
+
+def keep_rows(docs: DataFrame, keep: Callable[[list[str]], "object"], text_col: str = "text") -> DataFrame:
+    """The rows for whose texts (null: empty) the function says true, with all their columns."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            texts = [x or "" for x in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+            yield batch.filter(pa.array([bool(x) for x in keep(texts)], pa.bool_()))
+
+    return docs.mapInArrow(task, docs.schema)
