@@ -10,34 +10,59 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
 from tokenizers import Tokenizer
 
 #: Words whose ids a worker keeps.
-CACHED_WORDS = 700_000
+CACHED_WORDS = 1_200_000
 #: ASCII marks that may be cut off after a letter; the apostrophe is missing, as it starts contractions.
 MARKS = ".,*%$&#!|:;?)]}"
 #: Letters from here on may turn into a letter and a mark when a text is normalised.
 LAST_PLAIN = "\u0130"
 
 
+def _byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write each byte: printable ones as themselves, the others from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
+class _Uncut(Exception):
+    """The text has to be encoded in one call."""
+
+
 class _Words(dict):
-    """Ids of words as little-endian uint32 bytes, made on demand."""
+    """Ids of words as little-endian uint32 bytes, made on demand. lead stands before each word."""
 
-    def __init__(self, tokenizer: Tokenizer, room: int) -> None:
+    def __init__(self, tokenizer: Tokenizer, room: int, lead: str = "", bare: _Words | None = None) -> None:
         super().__init__()
-        self.tokenizer, self.room = tokenizer, room
+        self.tokenizer, self.room, self.lead = tokenizer, room, lead
+        self.bare = self if bare is None else bare
+        self.model, self.folded = tokenizer.model, False
 
     def __missing__(self, word: str) -> bytes:
+        if self.lead and (not word or word[0].isspace()):
+            raise _Uncut
         core = word.rstrip(MARKS)
-        if core != word and core and core[-1].isalpha() and core[-1] < LAST_PLAIN:
-            found = self[core] + self[word[len(core) :]]
+        if word.isalpha() and max(word) < LAST_PLAIN:
+            # letters only: one pre-token, which goes to the vocabulary's model at once
+            if self.folded and (low := word.lower()) != word:
+                found = self[low]
+            else:
+                letters = (self.lead + word).encode().decode("latin-1").translate(BYTE_LETTERS)
+                found = array("I", [token.id for token in self.model.tokenize(letters)]).tobytes()
+        elif core != word and core and core[-1].isalpha() and core[-1] < LAST_PLAIN:
+            found = self[core] + self.bare[word[len(core) :]]
         elif word.count("\n") == 1 and 0 < (at := word.index("\n")) < len(word) - 1 and not word[at - 1].isspace() and not word[at + 1].isspace():
-            found = self[word[:at]] + self["\n"] + self[word[at + 1 :]]
+            found = self[word[:at]] + self.bare["\n"] + self.bare[word[at + 1 :]]
         else:
-            found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            found = array("I", self.tokenizer.encode(self.lead + word, add_special_tokens=False).ids).tobytes()
         if len(self) >= self.room:
             self.clear()
         self[word] = found
@@ -50,33 +75,38 @@ class TextEncoder:
     def __init__(self, path: str, cached_words: int = CACHED_WORDS) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words = _Words(self.tokenizer, cached_words)
+        self.bare = _Words(self.tokenizer, cached_words)
+        self.spaced = _Words(self.tokenizer, cached_words, " ", self.bare)
         parts = json.loads(self.tokenizer.to_str())
         before = parts["pre_tokenizer"] or {}
         steps = [step.get("type") for step in before.get("pretokenizers", [before])]
         normal = parts["normalizer"] or {}
         if normal == {} and steps == ["ByteLevel"] and before.get("use_regex") and not before.get("add_prefix_space"):
-            self.cut = self._before_spaces
+            self.by_words = self._before_spaces
         elif [step.get("type") for step in normal.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and steps == ["Split", "ByteLevel"]:
-            self.cut = self._at_white_space
+            self.by_words = self._at_white_space
+            self.bare.folded = True
         else:
-            self.cut = lambda text: None
-        self._odd_space = re.compile(r" \s").search
+            self.by_words = self._whole
         self._rare_space = re.compile(r"[^\S \n\t\r]|[\x1c-\x1f]").search
 
-    def _before_spaces(self, text: str) -> list[str] | None:
-        if self._odd_space(text) or "\0" in text:
-            return None
-        return text.replace(" ", "\0 ").split("\0")
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _before_spaces(self, text: str) -> bytes:
+        first, *rest = text.split(" ")
+        return (self.bare[first] if first else b"") + b"".join(map(self.spaced.__getitem__, rest))
 
-    def _at_white_space(self, text: str) -> list[str] | None:
-        return None if self._rare_space(text) else text.split()
+    def _at_white_space(self, text: str) -> bytes:
+        if self._rare_space(text):
+            raise _Uncut
+        return b"".join(map(self.bare.__getitem__, text.split()))
 
     def encode(self, text: str) -> bytes:
-        cut = self.cut(text)
-        if cut is None:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.words.__getitem__, cut)) if text else b""
+        try:
+            return self.by_words(text) if text else b""
+        except _Uncut:
+            return self._whole(text)
 
 
 @lru_cache(maxsize=4)
