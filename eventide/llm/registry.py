@@ -14,8 +14,9 @@ from .packing import op10_best_fit_packing
 from .quality import op7_quality_classifier
 from .secrets import ORACLE as SECRETS_SQL
 from .secrets import op3_secret_scans
+from .segmentation import op1_sentencepiece_sampling
 from .token_store import op2_token_id_output
 from .vectors import op4_embedding_near_dedup
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_id_output, op3_secret_scans, op4_embedding_near_dedup, op5_language_id, op6_ngram_jaccard_join, op7_quality_classifier, op8_license_scans, op9_media_columns, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece_sampling, op2_token_id_output, op3_secret_scans, op4_embedding_near_dedup, op5_language_id, op6_ngram_jaccard_join, op7_quality_classifier, op8_license_scans, op9_media_columns, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {"op3_secret_scans": SECRETS_SQL}
