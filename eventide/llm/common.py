@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,8 +61,18 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield batch.slice(at, rows)
 
 
-def arrow_map(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(task, schema)
+def slices_by_size(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices whose column has about so many bytes at most, a row at least."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy().cumsum()
+        at = 0
+        while at < batch.num_rows:
+            before = sizes[at - 1] if at else 0
+            stop = max(at + 1, int(sizes.searchsorted(before + most, "right")))
+            yield batch.slice(at, stop - at)
+            at = stop
 
 
 def keep_rows(docs: DataFrame, keep: Callable[[list[str]], "object"], text_col: str = "text") -> DataFrame:

@@ -26,6 +26,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -39,6 +40,8 @@ from . import common
 
 BLANK = "▁"
 SAMPLES, SEED, RANK_SHIFT = 2, 17, 100
+#: Bytes of text that are searched at once: the more, the fewer lattices are built again.
+SLICE_BYTES = 2 << 20
 _BASE, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 UNIGRAM, BPE = 1, 2
 
@@ -88,9 +91,10 @@ class Vocabulary:
         self.ids = np.array([hashes[int(h)] for h in self.sorted])
         self.longest = max(len(self.texts[k]) for k in self.normal)
         starts = {self._hash(self.texts[k][:n]) for k in self.normal for n in range(1, len(self.texts[k]) + 1)}
-        self.whole, self.start = np.zeros(1 << 22, bool), np.zeros(1 << 22, bool)
-        self.whole[self.slot(self.sorted)] = True
-        self.start[self.slot(np.array(list(starts), np.uint64))] = True
+        #: by slot, bit 1: a piece may have this hash; bit 2: a piece may begin so
+        self.flags = np.zeros(1 << 20, np.uint8)
+        self.flags[self.slot(self.sorted)] |= 1
+        self.flags[self.slot(np.array(list(starts), np.uint64))] |= 2
         #: whether a text may be cut before a blank that follows another character
         self.cut = not any(BLANK in self.texts[k].lstrip(BLANK) for k in self.normal)
         self.as_bytes = [bytes([int(t[1:-1], 16)]) if kind == 6 else b"" if kind == 3 else t.replace(BLANK, " ").encode() for t, kind in zip(self.texts, kinds, strict=True)]
@@ -104,7 +108,7 @@ class Vocabulary:
 
     @staticmethod
     def slot(h: np.ndarray) -> np.ndarray:
-        return ((h * _MIX) >> np.uint64(42)).astype(np.int64)
+        return ((h * _MIX) >> np.uint64(44)).view(np.int64)
 
     def words(self, text: str) -> list[str]:
         """The text's parts between which no piece reaches, each without the blank that begins it."""
@@ -155,35 +159,39 @@ class Lattices:
         keys, at, h = [], np.arange(len(codes)), np.zeros(len(codes), np.uint64)
         alone = np.ones(len(codes), bool)
         for n in range(1, vocab.longest + 1):
-            ok = left[at] >= n
-            at, h = at[ok], h[ok]
+            if n > 1:
+                ok = np.flatnonzero(left[at] >= n)
+                at, h = at[ok], h[ok]
             h = h * _BASE + codes[at + n - 1] + np.uint64(1)
-            slot = vocab.slot(h)
-            maybe = np.flatnonzero(vocab.whole[slot])
+            flags = vocab.flags[vocab.slot(h)]
+            maybe = np.flatnonzero(flags & 1)
             k = np.minimum(np.searchsorted(vocab.sorted, h[maybe]), len(vocab.sorted) - 1)
             same = vocab.sorted[k] == h[maybe]
             source = at[maybe[same]]
             keys.append((node[source] << 26) | (n << 20) | vocab.ids[k[same]])
             if n == 1:
                 alone[source] = False
-            ok = vocab.start[slot]
+            ok = np.flatnonzero(flags & 2)
             at, h = at[ok], h[ok]
         strange = np.flatnonzero(alone)  # characters without a piece of their own
         keys.append((node[strange] << 26) | (1 << 20) | ((1 << 20) - 1))
         key = np.sort(np.concatenate(keys))
         source, length, piece = key >> 26, (key >> 20) & 63, key & ((1 << 20) - 1)
         self.n_nodes = int(self.base[-1])
-        self.first = np.searchsorted(source, np.arange(self.n_nodes + 1))
-        of_node = np.empty(self.n_nodes, np.int64)
-        of_node[node] = codes
-        distance = np.searchsorted(self.base[1:], source, "right")
-        column = source - self.base[distance]
-        self.target = np.where(distance > length, self.base[distance - length] + column, -1)
-        self.char = np.where(piece == (1 << 20) - 1, of_node[source], -1)
-        width = 1 + (self.char >= 0x80) + (self.char >= 0x800) + (self.char >= 0x10000)
-        self.width = np.where(self.char >= 0, width if vocab.bytes else 1, 1)
-        self.piece = np.where(self.char >= 0, vocab.unknown, piece)
-        score = np.where(self.char >= 0, vocab.rare * self.width, vocab.score[self.piece])
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(source, minlength=self.n_nodes))])
+        distance = np.repeat(np.arange(1, len(self.base) - 1), np.diff(self.base[1:]))[source]
+        self.target = np.where(distance > length, self.base[distance - length] - self.base[distance] + source, -1)
+        self.strange: dict[int, int] = {}  # the edges that stand for a character without a piece
+        if len(strange):
+            odd = np.flatnonzero(piece == (1 << 20) - 1)
+            of_node = np.empty(self.n_nodes, np.int64)
+            of_node[node] = codes
+            self.strange = dict(zip(odd.tolist(), of_node[source[odd]].tolist(), strict=True))
+            piece[odd] = vocab.unknown
+        self.piece = piece
+        score = vocab.score[piece]
+        for edge, char in self.strange.items():
+            score[edge] = vocab.rare * len(chr(char).encode("utf-8", "surrogatepass"))
         beta = np.zeros(self.n_nodes + 1)  # the last one: the end of a word, at target -1
         value = np.empty(len(score))
         for d in range(1, len(self.base) - 1):
@@ -245,15 +253,16 @@ class Search:
         self.vocab, self.n = vocab, len(texts)
         split = [vocab.words(t) for t in texts]
         self.n_words = np.array([len(w) for w in split])
-        index: dict[str, int] = {}
-        owner = [index.setdefault(w, len(index)) for words in split for w in words]
+        every = list(chain.from_iterable(split))
+        index = {w: k for k, w in enumerate(dict.fromkeys(every))}
+        owner = np.fromiter(map(index.__getitem__, every), np.int64, len(every))
         self.seeds = seeds.astype(np.uint64)
         self.word_start = np.concatenate([[0], np.cumsum(self.n_words)])
         if not index:
             self.lattices = None
             return
         self.lattices = Lattices(vocab, list(index))
-        self.node = self.lattices.first_node[np.array(owner)]
+        self.node = self.lattices.first_node[owner]
         self.doc = np.repeat(np.arange(self.n), self.n_words)
         #: a counter for random numbers that is the place of the word in its text
         self.count = (np.arange(len(self.node)) - self.word_start[self.doc]).astype(np.uint64) << np.uint64(24)
@@ -390,17 +399,18 @@ class Search:
 
     def _ids(self, path: dict) -> tuple[np.ndarray, np.ndarray]:
         """The piece ids of a path's edges, bytes written out, and where each text's begin."""
-        lat, edges = self.lattices, path["edges"]
-        width = lat.width[edges]
-        starts = np.concatenate([[0], np.cumsum(width)])[np.append(path["start"], len(edges))]
-        ids = np.repeat(lat.piece[edges], width).astype(np.int32)
-        strange = np.flatnonzero(lat.char[edges] >= 0)
-        if len(strange) and self.vocab.bytes:
-            place = np.cumsum(width) - width
-            for i in strange:
-                for j, b in enumerate(chr(lat.char[edges[i]]).encode("utf-8", "surrogatepass")):
-                    ids[place[i] + j] = self.vocab.bytes[b]
-        return ids, starts
+        lat, edges, bounds = self.lattices, path["edges"], np.append(path["start"], len(path["edges"]))
+        ids = lat.piece[edges].astype(np.int32)
+        if not lat.strange or not self.vocab.bytes:
+            return ids, bounds
+        odd = np.flatnonzero(np.isin(edges, np.fromiter(lat.strange, np.int64)))
+        raw = [chr(lat.strange[e]).encode("utf-8", "surrogatepass") for e in edges[odd].tolist()]
+        width = np.ones(len(edges), np.int64)
+        width[odd] = [len(b) for b in raw]
+        ids, place = np.repeat(ids, width), np.cumsum(width) - width
+        at = _ragged(place[odd], width[odd])
+        ids[at] = [self.vocab.bytes[b] for b in b"".join(raw)]
+        return ids, np.append(place, len(ids))[bounds]
 
 
 def sample_segmentations(docs: DataFrame, model: str | None = None, samples: int = SAMPLES, seed: int = SEED, digest: bool = False) -> DataFrame:
@@ -413,7 +423,7 @@ def sample_segmentations(docs: DataFrame, model: str | None = None, samples: int
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model)
-        for batch in common.slices(batches, 256):
+        for batch in common.slices_by_size(batches, "text", SLICE_BYTES):
             texts, doc_ids = batch["text"].to_pylist(), batch["doc_id"].to_pylist()
             search = Search(vocab, texts, batch["key"].to_numpy().view(np.uint64), samples)
             rows = []
