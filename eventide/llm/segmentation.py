@@ -29,6 +29,7 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
@@ -93,7 +94,13 @@ class Vocabulary:
         starts = {self._hash(self.texts[k][:n]) for k in self.normal for n in range(1, len(self.texts[k]) + 1)}
         #: by slot, bit 1: a piece may have this hash; bit 2: a piece may begin so
         self.flags = np.zeros(1 << 20, np.uint8)
-        self.flags[self.slot(self.sorted)] |= 1
+        slots = self.slot(self.sorted)
+        self.flags[slots] |= 1
+        #: a piece of each slot; where a slot has several, bit 3 says that the sorted hashes have to be searched
+        self.by_slot = np.zeros(len(self.flags), np.int32)
+        self.by_slot[slots] = np.arange(len(self.sorted))
+        counts = np.bincount(slots, minlength=len(self.flags))
+        self.flags[counts > 1] |= 4
         self.flags[self.slot(np.array(list(starts), np.uint64))] |= 2
         #: whether a text may be cut before a blank that follows another character
         self.cut = not any(BLANK in self.texts[k].lstrip(BLANK) for k in self.normal)
@@ -163,9 +170,12 @@ class Lattices:
                 ok = np.flatnonzero(left[at] >= n)
                 at, h = at[ok], h[ok]
             h = h * _BASE + codes[at + n - 1] + np.uint64(1)
-            flags = vocab.flags[vocab.slot(h)]
+            slot = vocab.slot(h)
+            flags = vocab.flags[slot]
             maybe = np.flatnonzero(flags & 1)
-            k = np.minimum(np.searchsorted(vocab.sorted, h[maybe]), len(vocab.sorted) - 1)
+            k = vocab.by_slot[slot[maybe]]
+            several = np.flatnonzero(flags[maybe] & 4)
+            k[several] = np.minimum(np.searchsorted(vocab.sorted, h[maybe[several]]), len(vocab.sorted) - 1)
             same = vocab.sorted[k] == h[maybe]
             source = at[maybe[same]]
             keys.append((node[source] << 26) | (n << 20) | vocab.ids[k[same]])
@@ -193,23 +203,24 @@ class Lattices:
         for edge, char in self.strange.items():
             score[edge] = vocab.rare * len(chr(char).encode("utf-8", "surrogatepass"))
         beta = np.zeros(self.n_nodes + 1)  # the last one: the end of a word, at target -1
-        value = np.empty(len(score))
+        value, self.p = np.empty(len(score)), np.empty(len(score))
         for d in range(1, len(self.base) - 1):
             a, b = self.base[d], self.base[d + 1]
             lo, hi = self.first[a], self.first[b]
             v = score[lo:hi] + beta[self.target[lo:hi]]
             starts = self.first[a:b] - lo
-            top = np.maximum.reduceat(v, starts)
-            beta[a:b] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, np.diff(np.append(starts, hi - lo)))), starts))
-            value[lo:hi] = v
+            top, widths = np.maximum.reduceat(v, starts), np.diff(np.append(starts, hi - lo))
+            share = np.exp(v - np.repeat(top, widths))
+            whole = np.add.reduceat(share, starts)
+            beta[a:b] = top + np.log(whole)
+            value[lo:hi], self.p[lo:hi] = v, share / np.repeat(whole, widths)
         self.logp = value - beta[source]
-        self.p = np.exp(self.logp)
         total = np.cumsum(self.p)
         self.below = total - np.concatenate([[0], total])[self.first[source]]  # up to and with each edge of its node
         self.last = self.first[1:] - 1
         # what all other edges of the node have together
-        with np.errstate(divide="ignore"):
-            self.rest = np.where(np.diff(self.first)[source] > 1, np.log(np.maximum(-np.expm1(self.logp), 1e-16)), -np.inf)
+        self.rest = np.log1p(-np.minimum(self.p, 1 - 1e-15))
+        self.rest[self.first[:-1][np.diff(self.first) == 1]] = -np.inf
 
     def choose(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each node."""
@@ -253,15 +264,13 @@ class Search:
         self.vocab, self.n = vocab, len(texts)
         split = [vocab.words(t) for t in texts]
         self.n_words = np.array([len(w) for w in split])
-        every = list(chain.from_iterable(split))
-        index = {w: k for k, w in enumerate(dict.fromkeys(every))}
-        owner = np.fromiter(map(index.__getitem__, every), np.int64, len(every))
+        owner, index = pd.factorize(np.array([*chain.from_iterable(split)], dtype=object))
         self.seeds = seeds.astype(np.uint64)
         self.word_start = np.concatenate([[0], np.cumsum(self.n_words)])
-        if not index:
+        if not len(index):
             self.lattices = None
             return
-        self.lattices = Lattices(vocab, list(index))
+        self.lattices = Lattices(vocab, index.tolist())
         self.node = self.lattices.first_node[owner]
         self.doc = np.repeat(np.arange(self.n), self.n_words)
         #: a counter for random numbers that is the place of the word in its text
