@@ -22,6 +22,7 @@ from .sources.store import EventStore
 #: Literals and comments, in which $events is only text, and the token itself.
 _TOKEN = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/|(?P<events>\$events\b)", re.S)
 VIEW = "window_events"
+JSON = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
 class NotAQuery(ValueError):
@@ -46,7 +47,7 @@ def json_rows(df: DataFrame) -> DataFrame:
     twice = [name for name, n in Counter(df.columns).items() if n > 1]
     if twice:
         raise NotAQuery(f"columns of the same name: {', '.join(twice)}")
-    return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    return df.select(F.to_json(F.struct("*"), JSON).alias("value"))
 
 
 class Engine:

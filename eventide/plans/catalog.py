@@ -430,3 +430,78 @@ on_tables(
     lambda e: e.groupBy("user_id", F.session_window("ts", "2 hours").alias("s")).agg(F.min("ts").alias("began"), count_as("n")).drop("s"),
     "events",
 )
+on_tables(
+    "predicates_misc",
+    "SELECT c_custkey FROM customer WHERE (c_mktsegment ILIKE 'auto%' OR NOT (c_acctbal BETWEEN 0 AND 5000)) AND c_name LIKE '%1_' AND c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 2)",
+    lambda c, n: c.where((F.col("c_mktsegment").ilike("auto%") | ~F.col("c_acctbal").between(0, 5000)) & F.col("c_name").like("%1_")).join(n.where("n_regionkey <> 2"), F.col("c_nationkey") == F.col("n_nationkey"), "left_semi").select("c_custkey"),
+    "customer", "nation",
+)
+on_tables(
+    "conditional_functions",
+    "SELECT event_id, coalesce(nullif(event_type, 'click'), 'none') AS kind, ifnull(nullif(user_id, 3), -1) AS u, CASE WHEN value > 50 THEN 'high' WHEN value > 10 THEN 'mid' ELSE 'low' END AS level, least(value, 20) AS capped FROM events",
+    lambda e: e.select("event_id", F.coalesce(F.nullif("event_type", F.lit("click")), F.lit("none")).alias("kind"), F.ifnull(F.nullif("user_id", F.lit(3)), F.lit(-1)).alias("u"), F.when(F.col("value") > 50, "high").when(F.col("value") > 10, "mid").otherwise("low").alias("level"), F.least("value", F.lit(20.0)).alias("capped")),
+    "events",
+)
+on_tables(
+    "lambda_functions",
+    "SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x)), '+') AS loud, len(list_filter(string_split(p_name, ' '), lambda x: length(x) > 4)) AS n_long, string_split(p_name, ' ')[1] AS first FROM part",
+    lambda p: p.withColumn("w", F.split("p_name", " ")).select("p_partkey", F.array_join(F.transform("w", F.upper), "+").alias("loud"), F.size(F.filter("w", lambda x: F.length(x) > 4)).cast("long").alias("n_long"), F.element_at("w", 1).alias("first")),
+    "part",
+)
+on_tables(
+    "map_struct_functions",
+    "SELECT event_id, struct_extract(struct_pack(kind := event_type, who := user_id), 'kind') AS kind, array_to_string(map_keys(map([event_type], [user_id])), ',') AS keys, map_values(map([event_type], [user_id]))[1] AS who FROM events",
+    lambda e: e.select("event_id", F.struct(F.col("event_type").alias("kind"), F.col("user_id").alias("who"))["kind"].alias("kind"), F.array_join(F.map_keys(F.create_map("event_type", "user_id")), ",").alias("keys"), F.element_at(F.map_values(F.create_map("event_type", "user_id")), 1).alias("who")),
+    "events",
+)
+on_tables(
+    "aggregate_functions",
+    "SELECT event_type, bool_or(user_id = 3) AS any3, bool_and(value >= 0) AS positive, arg_min(event_id, struct_pack(a := ts, b := event_id)) AS earliest, min(value) AS low, max(value) AS high, count(value) AS n, round(stddev_samp(value), 6) AS spread FROM events GROUP BY 1",
+    lambda e: e.groupBy("event_type").agg(F.bool_or(F.col("user_id") == 3).alias("any3"), F.bool_and(F.col("value") >= 0).alias("positive"), F.min_by("event_id", F.struct("ts", "event_id")).alias("earliest"), F.min("value").alias("low"), F.max("value").alias("high"), F.count("value").alias("n"), F.round(F.stddev_samp("value"), 6).alias("spread")),
+    "events",
+)
+on_tables(
+    "win_cumulative",
+    "SELECT event_id, ntile(4) OVER w AS quarter, dense_rank() OVER w AS place, first_value(event_id) OVER w AS first, row_number() OVER w AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
+    lambda e: e.select("event_id", F.ntile(4).over(w := Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("quarter"), F.dense_rank().over(w).alias("place"), F.first("event_id").over(w).alias("first"), F.row_number().over(w).alias("k")),
+    "events",
+)
+on_tables(
+    "sliding_windows",
+    "SELECT event_type, w AS began, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL '1 hour', ts), time_bucket(INTERVAL '1 hour', ts) - INTERVAL '1 hour']) AS w FROM events) GROUP BY 1, 2",
+    lambda e: e.groupBy("event_type", F.window("ts", "2 hours", "1 hour").alias("w")).agg(count_as("n")).select("event_type", F.col("w.start").alias("began"), "n"),
+    "events",
+)
+
+# --- sources and sinks ------------------------------------------------------------------------
+
+_FORMATS = {
+    "csv": {"header": "true", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"},
+    "json": {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"},
+    "orc": {"compression": "zstd"},
+    "parquet": {"compression": "zstd"},
+}
+
+
+def _roundtrip(kind: str, options: dict[str, str]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows, path = flat(bridged(spark, sf_dir)), new_path(spark, kind)
+        rows.write.format(kind).options(**options).save(path)
+        return spark.read.format(kind).options(**options).schema(rows.schema).load(path)
+
+    return run
+
+
+for _kind, _options in _FORMATS.items():
+    query(f"roundtrip_{_kind}", STORED_SQL)(_roundtrip(_kind, _options))
+
+
+@query("export_jsonl_gzip", STORED_SQL)
+def export_jsonl_gzip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store's export as gzipped JSON lines, read again."""
+    from ..engine import Engine
+    from ..sources.schema import EVENT_SCHEMA
+
+    path = new_path(spark, "export")
+    Engine(spark, loaded_store(spark, sf_dir, 1)).export_files(path, START, END)
+    return flat(spark.read.schema(EVENT_SCHEMA).json(path)).withColumn("last_timestamp", F.col("last_timestamp").cast("timestamp_ntz"))

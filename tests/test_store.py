@@ -146,7 +146,7 @@ def test_queries(store, spark):
     assert ask("WITH a AS (SELECT * FROM $events) SELECT count(*) AS n FROM a JOIN $events b USING (kind)").results == [{"n": 9}]
     assert ask("SELECT * FROM $events WHERE reason = 'none'").results == []
     assert ask("SELECT eventTime FROM $events WHERE eventTime IS NOT NULL").results[0]["eventTime"].startswith("0001-01-02")
-    assert ask("SELECT time_bucket(INTERVAL 1 MINUTE, lastTimestamp) AS b, count(*) AS n FROM $events GROUP BY 1 ORDER BY 1").results == [{"b": "2024-01-01T00:00:00.000Z", "n": 1}, {"b": "2024-01-01T00:01:00.000Z", "n": 2}]
+    assert ask("SELECT time_bucket(INTERVAL 1 MINUTE, lastTimestamp) AS b, count(*) AS n FROM $events GROUP BY 1 ORDER BY 1").results == [{"b": "2024-01-01T00:00:00.000000Z", "n": 1}, {"b": "2024-01-01T00:01:00.000000Z", "n": 2}]
     spark.range(1).createOrReplaceTempView("elsewhere")
     for bad in ("DROP VIEW window_events", "SET a=b", "CREATE TABLE t AS SELECT 1", "SELECT 1; SELECT 2", "INSERT INTO window_events SELECT * FROM $events", f"SELECT * FROM parquet.`{store.path(store.manifest().segments[0].id)}`", "SELECT * FROM elsewhere", "SELECT 1 AS a, 2 AS a FROM $events", "SHOW TABLES", "x"):
         with pytest.raises(NotAQuery):
