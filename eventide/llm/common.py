@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -11,25 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the cluster's ``spark.checkpoint.dir``. Only where that is unset, as in local tests, a new
-    local folder is taken.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            return found.get()
-        base = "file://" + tempfile.mkdtemp(prefix="spark-eventide-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(base)
-    return base
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/eventide-{name}-{uuid.uuid4().hex}"
+from ..sources.files import new_path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -40,6 +20,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a narrow table that may be sent to every executor; above, it is shuffled instead.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(narrow: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of a few numbers a row, marked for broadcast if it has been counted and is small."""
+    return F.broadcast(narrow) if narrow.count() <= rows else narrow
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -1,10 +1,10 @@
 """Token ids in a binary format: one zstandard frame a document, with a dictionary for all of them.
 
-The store is a folder with three Parquet tables, so it needs nothing but Spark's file systems:
-``dictionary`` (one row: the trained dictionary, its SHA-256 and the end id), ``blocks`` (a shard's
-frames one after the other, with each document's byte offset and number of ids) and the offset
-index that the blocks carry. Documents lie in ascending doc_id order over the shards. A short
-document is read by cutting its frame out of its block: nothing else is decompressed.
+The store is a folder with two Parquet tables, so it needs nothing but Spark's file systems: ``dictionary``
+(one row: the trained dictionary, its SHA-256 and the end id) and ``blocks`` (a shard's frames one after
+the other, with each document's byte offset and number of ids: the offset index). Documents lie in
+ascending doc_id order over the shards. To read a few documents, the blocks' first and last ids pick the
+blocks, and the offsets the frames: nothing else is decompressed.
 
 Defined cases: a null text counts as empty (its only id is the end id); a null doc_id sorts first;
 rows that share a doc_id are all kept, next to each other; extra columns are not looked at; an empty
@@ -22,7 +22,7 @@ import public_tokenizers
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -34,7 +34,7 @@ DICTIONARY_BYTES, SAMPLES, SAMPLE_BYTES = 64 << 10, 1000, 64 << 10
 #: Bytes of frames after which a block ends.
 BLOCK_BYTES = 2 << 20
 LEVEL = 3
-BLOCKS = "shard int, block int, dictionary_sha256 string, body binary, doc_ids array<long>, offsets array<long>, n_tokens array<long>"
+BLOCKS = "shard int, block int, in_shard long, first_id long, last_id long, dictionary_sha256 string, body binary, doc_ids array<long>, offsets array<long>, n_tokens array<long>"
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> bytes:
@@ -72,11 +72,11 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
         frames: list[bytes] = []
         doc_ids: list[int | None] = []
         counts: list[int] = []
-        held = block = 0
+        held = block = in_shard = 0
 
         def closed() -> pa.RecordBatch:
-            offsets = np.cumsum([0, *map(len, frames)])
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((shard, pa.int32()), (block, pa.int32()), (digest, pa.string()), (b"".join(frames), pa.binary()), (doc_ids, pa.list_(pa.int64())), (offsets.tolist(), pa.list_(pa.int64())), (counts, pa.list_(pa.int64())))], names=["shard", "block", "dictionary_sha256", "body", "doc_ids", "offsets", "n_tokens"])
+            offsets, known = np.cumsum([0, *map(len, frames)]), [i for i in doc_ids if i is not None]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((shard, pa.int32()), (block, pa.int32()), (in_shard, pa.int64()), (known[0] if known else None, pa.int64()), (known[-1] if known else None, pa.int64()), (digest, pa.string()), (b"".join(frames), pa.binary()), (doc_ids, pa.list_(pa.int64())), (offsets.tolist(), pa.list_(pa.int64())), (counts, pa.list_(pa.int64())))], names=["shard", "block", "in_shard", "first_id", "last_id", "dictionary_sha256", "body", "doc_ids", "offsets", "n_tokens"])
 
         for batch in common.slices(batches, 512):
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
@@ -87,6 +87,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
                 held += len(frames[-1])
                 if held >= BLOCK_BYTES:
                     yield closed()
+                    in_shard += sum(counts)
                     frames, doc_ids, counts, held, block = [], [], [], 0, block + 1
         if frames:
             yield closed()
@@ -95,35 +96,47 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     ordered.mapInArrow(task, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
+def read_some(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """doc_id, start and ids of these documents only."""
+    wanted = sorted(set(doc_ids))
+    near = F.lit(False)
+    for i in wanted:
+        near |= (F.col("first_id") <= i) & (F.col("last_id") >= i)
+    return _read(spark, path, lambda ids: ids, "ids binary", pa.binary(), near, frozenset(wanted)).drop("n_tokens")
+
+
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """Per document: doc_id, start (ids of all documents before it), n_tokens, ids (little-endian uint32 bytes)."""
     return _read(spark, path, lambda ids: ids, "ids binary", pa.binary())
 
 
-def _read(spark: SparkSession, path: str, value, column: str, kind: pa.DataType) -> DataFrame:
+def _read(spark: SparkSession, path: str, value, column: str, kind: pa.DataType, near: Column | None = None, wanted: frozenset[int] | None = None) -> DataFrame:
     held = spark.read.parquet(f"{path}/dictionary").first()
     digest, dictionary = held["sha256"], bytes(held["dictionary"])
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
-    sizes = blocks.select("shard", "block", F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
-    # A block is some megabytes and a shard some blocks: first the shards are summed up, then each shard's blocks.
-    earlier_shards = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    shards = sizes.groupBy("shard").agg(F.sum("n").alias("n")).select("shard", F.coalesce(F.sum("n").over(earlier_shards), F.lit(0)).alias("shard_start"))
-    earlier_blocks = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("in_shard", F.coalesce(F.sum("n").over(earlier_blocks), F.lit(0))).join(shards, "shard").select("shard", "block", (F.col("shard_start") + F.col("in_shard")).alias("block_start"))
+    # A block knows how many ids of its shard come before it; a row per shard says how many come before the shard.
+    ends = blocks.groupBy("shard").agg(F.max(F.col("in_shard") + F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
+    earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    shards = ends.select("shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shard_start"))
+    starts = common.sized(common.materialize(shards, "shards"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None).decompress
         names = ["doc_id", "start", "n_tokens", column.split()[0]]
         for batch in common.slices(batches, 1):
-            row = {name: batch[name][0] for name in ("dictionary_sha256", "body", "doc_ids", "offsets", "n_tokens", "block_start")}
+            row = {name: batch[name][0] for name in ("dictionary_sha256", "body", "doc_ids", "offsets", "n_tokens", "in_shard", "shard_start")}
             if row["dictionary_sha256"].as_py() != digest:
                 raise ValueError("a block was written with another dictionary")
             body, offsets, counts = memoryview(row["body"].as_buffer()), row["offsets"].values.to_numpy(), row["n_tokens"].values.to_numpy()
-            ids = [value(expand(body[a:b])) for a, b in zip(offsets, offsets[1:], strict=False)]
-            start = row["block_start"].as_py() + np.concatenate([[0], np.cumsum(counts)])[:-1]
-            yield pa.RecordBatch.from_arrays([row["doc_ids"].values, pa.array(start, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, kind)], names=names)
-
-    return blocks.join(starts, ["shard", "block"]).mapInArrow(task, f"doc_id long, start long, n_tokens long, {column}")
+            doc_ids = row["doc_ids"].values
+            start = row["shard_start"].as_py() + row["in_shard"].as_py() + np.concatenate([[0], np.cumsum(counts)])[:-1]
+            held = range(len(counts)) if wanted is None else [k for k, i in enumerate(doc_ids.to_pylist()) if i in wanted]
+            ids = [value(expand(body[offsets[k] : offsets[k + 1]])) for k in held]
+            found = pa.RecordBatch.from_arrays([doc_ids, pa.array(start, pa.int64()), pa.array(counts, pa.int64())], names=names[:3]).take(pa.array(held, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*found.columns, pa.array(ids, kind)], names=names)
+
+    chosen = blocks if near is None else blocks.where(near)
+    return chosen.join(starts, "shard").mapInArrow(task, f"doc_id long, start long, n_tokens long, {column}")
 
 
 def op2_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:

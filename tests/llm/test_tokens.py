@@ -42,6 +42,9 @@ def test_store_gives_the_ids_back(spark, docs, tmp_path):
     for row in sorted(got, key=lambda r: (r["start"], r["n_tokens"])):
         assert row["start"] == at
         at += row["n_tokens"]
+    some = token_store.read_some(spark, path, [1, 7, 3, 404]).collect()
+    whole = {(r["doc_id"], r["start"]): r["ids"] for r in got}
+    assert sorted(r["doc_id"] for r in some) == [1, 3, 3, 7] and all(whole[r["doc_id"], r["start"]] == r["ids"] for r in some)
     ids = [r["doc_id"] or -1 for r in sorted(got, key=lambda r: r["start"])]
     assert ids == sorted(ids)
 
