@@ -102,7 +102,7 @@ def find_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     rows = docs.withColumn(digest, F.xxhash64(common.text_column()))
     keyed = rows.select("doc_id", F.col(digest).alias("digest"), common.text_column().alias("text"))
     postings = common.materialize(index(keyed, rules), "postings")
-    found = candidates(postings, rules)
+    found = common.sized(common.materialize(candidates(postings, rules), "candidates"))
     may = found.select(*[F.col(c).alias(f"_secret_on_{c}") for c in found.columns])
     joined = rows.join(may, rows["doc_id"].eqNullSafe(may["_secret_on_doc_id"]) & (rows[digest] == may["_secret_on_digest"]), "left")
     empty = F.array().cast(SPAN)
