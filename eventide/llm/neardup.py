@@ -210,7 +210,7 @@ def join_similar(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     members = classes.drop("bands").join(placed, "cid").select(F.col("cid").alias("m_cid"), F.col("sum32").alias("m_sum32"), "rep", "copies", "component", "blocks", "block")
     text = common.text_column()
     texts = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("t_cid"), F.crc32(text.cast("binary")).alias("t_sum32"))
-    found = texts.join(members, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("t_cid") == F.col("m_cid")) & (F.col("t_sum32") == F.col("m_sum32")))
+    found = texts.join(common.sized(common.materialize(members, "members")), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("t_cid") == F.col("m_cid")) & (F.col("t_sum32") == F.col("m_sum32")))
     pairs = found.select("component", "block", F.col("m_cid").alias("cid"), "copies", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     pairs = pairs.select("component", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "cid", "copies", "text")
     links = common.materialize(verified(pairs, words, threshold), "links")
