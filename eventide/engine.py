@@ -9,7 +9,7 @@ import time
 from collections import Counter
 from dataclasses import dataclass
 from datetime import datetime
-from typing import Any
+from typing import Any, BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,11 +83,18 @@ class Engine:
         events, _ = self.store.events(start, end, session)
         return (events.where(where) if where.strip() else events).orderBy(TIME)
 
-    def export(self, path: str, start: datetime, end: datetime, where: str = "") -> int:
-        """Write the window's events to one gzipped file, a JSON object a line, a partition at a time. Gives the number of rows."""
+    def export(self, target: str | BinaryIO, start: datetime, end: datetime, where: str = "") -> int:
+        """Write the window's events to one gzipped file or stream, a JSON object a line. Gives the number of rows.
+
+        The driver holds a partition at a time.
+        """
+        return self.write_rows(target, json_rows(self.ordered(start, end, where)))
+
+    @staticmethod
+    def write_rows(target: str | BinaryIO, rows: DataFrame) -> int:
         n = 0
-        with gzip.open(path, "wt", encoding="utf-8") as out:
-            for row in json_rows(self.ordered(start, end, where)).toLocalIterator():
+        with gzip.open(target, "wt", encoding="utf-8") as out:
+            for row in rows.toLocalIterator():
                 out.write(row["value"] + "\n")
                 n += 1
         return n

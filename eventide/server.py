@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import json
-import tempfile
 from dataclasses import asdict
 from datetime import datetime
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlsplit
 
-from .engine import Engine
+from .engine import Engine, json_rows
 from .streaming.ingest import CollectedCounter
 
 
@@ -17,13 +16,11 @@ def serve(engine: Engine, port: int = 8080, counter: CollectedCounter | None = N
     """A server; call serve_forever() on it. POST /query, GET /download, /stats and /metrics."""
 
     class Handler(BaseHTTPRequestHandler):
-        def answer(self, code: int, body: bytes, kind: str = "text/plain; charset=utf-8", **headers: str) -> None:
+        def answer(self, code: int, body: bytes, kind: str = "text/plain; charset=utf-8") -> None:
             self.send_response(code)
             self.send_header("Content-Type", kind)
             self.send_header("Content-Length", str(len(body)))
             self.send_header("Access-Control-Allow-Origin", "*")
-            for name, value in headers.items():
-                self.send_header(name.replace("_", "-"), value)
             self.end_headers()
             self.wfile.write(body)
 
@@ -55,13 +52,16 @@ def serve(engine: Engine, port: int = 8080, counter: CollectedCounter | None = N
                     start, end = (datetime.fromisoformat(given[k].replace(" ", "+")) for k in ("from", "to"))
                 except (ValueError, KeyError) as error:
                     return self.answer(400, f"bad request: {error}".encode())
-                with tempfile.NamedTemporaryFile(suffix=".gz") as file:
-                    try:
-                        engine.export(file.name, start, end, given.get("where", ""))
-                    except Exception as error:
-                        return self.answer(500, str(error).encode())
-                    name = f"events_{given['from']}_{given['to']}.jsonl.gz"
-                    self.answer(200, file.read(), "application/octet-stream", Content_Disposition=f'attachment; filename="{name}"')
+                try:
+                    rows = json_rows(engine.ordered(start, end, given.get("where", "")))
+                except Exception as error:
+                    return self.answer(500, str(error).encode())
+                self.send_response(200)
+                self.send_header("Content-Type", "application/octet-stream")
+                self.send_header("Content-Disposition", f'attachment; filename="events_{given["from"]}_{given["to"]}.jsonl.gz"')
+                self.send_header("Access-Control-Allow-Origin", "*")
+                self.end_headers()
+                engine.write_rows(self.wfile, rows)
             else:
                 self.answer(405 if url.path == "/query" else 404, b"")
 
