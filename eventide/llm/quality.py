@@ -178,12 +178,16 @@ def feature_table(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(task, "doc_id long, held_out boolean, features array<double>")
 
 
-def fit_on(table: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> AdditiveModel:
-    """Fit on the labelled rows of a feature table that are not held out."""
+def training_labels(labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id and quality of at most about train_rows labelled rows that are not held out, chosen by a hash of the id."""
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (common.fold_of("doc_id", FOLDS) != HELD_OUT)).select("doc_id", F.col("quality").cast("int").alias("quality"))
     share = max(1, -(-marked.count() // train_rows))
-    chosen = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
-    rows = table.join(chosen, "doc_id").select("doc_id", "features", "quality").limit(2 * train_rows).toPandas().sort_values(["doc_id", "quality"])
+    return common.materialize(marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0), "labels")
+
+
+def fit_on(table: DataFrame, chosen: DataFrame) -> AdditiveModel:
+    """Fit on the rows of a feature table that have a training label."""
+    rows = table.join(common.sized(chosen), "doc_id").select("doc_id", "features", "quality").limit(2 * TRAIN_ROWS).toPandas().sort_values(["doc_id", "quality"])
     x = np.array(rows["features"].tolist(), float).reshape(len(rows), len(FEATURES))
     return fit(x, rows["quality"].to_numpy().astype(float))
 
@@ -191,7 +195,7 @@ def fit_on(table: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted (1: the score is at least THRESHOLD)."""
     table = common.materialize(feature_table(docs), "quality")
-    model = fit_on(table, labels)
+    model = fit_on(table, training_labels(labels))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,8 +212,10 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     The model is fitted first; its decision is then made beside each row, so no text is shuffled.
     """
-    marked = labels.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    model = fit_on(common.materialize(feature_table(docs.select("doc_id", "text").join(marked, "doc_id", "left_semi")), "quality"), labels)
+    chosen = training_labels(labels)
+    ids = common.sized(chosen.select("doc_id").distinct())
+    table = common.materialize(feature_table(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")), "quality")
+    model = fit_on(table, chosen)
     return common.keep_rows(docs, lambda texts: model.scores(features(texts)) >= THRESHOLD)
 
 

@@ -25,7 +25,7 @@ def test_quality_learns_nothing_from_held_out_labels(spark):
     turned = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, 1 - F.col("quality")).otherwise(F.col("quality")))
     table = quality.feature_table(docs).cache()
     x = np.random.default_rng(0).random((50, len(quality.FEATURES)))
-    assert (quality.fit_on(table, labels).scores(x) == quality.fit_on(table, turned).scores(x)).all()
+    assert (quality.fit_on(table, quality.training_labels(labels)).scores(x) == quality.fit_on(table, quality.training_labels(turned)).scores(x)).all()
     table.unpersist()
 
 
