@@ -198,8 +198,13 @@ def verified(rows: DataFrame, words: int, threshold: float) -> DataFrame:
     return together.mapInArrow(task, "cid long, links long, leader long")
 
 
-def join_similar(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+def join_similar(docs: DataFrame, **options) -> DataFrame:
     """Per document: doc_id, n_links (other documents that it is similar to), component_id (smallest doc_id of its group), kept."""
+    return verdicts(docs, **options).select("doc_id", "n_links", "component_id", "kept")
+
+
+def verdicts(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """What join_similar gives, with the keys of the text: cid and sum32."""
     bands, rows = plan_bands(threshold, recall)
     signed = common.materialize(sign(docs, words, bands, rows), "signed")
     classes = common.materialize(signed.where(F.size("bands") > 0).groupBy("cid", "sum32").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes")
@@ -223,14 +228,22 @@ def join_similar(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     final = known.join(least, "component", "left").select("cid", "sum32", "n_links", F.coalesce(F.col("least"), F.when(F.col("component").isNull(), F.col("rep"))).alias("component_id"))
     out = signed.select("doc_id", "cid", "sum32", (F.size("bands") > 0).alias("has_words")).join(final, ["cid", "sum32"], "left")
     component = F.when(F.col("has_words"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "cid", "sum32", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group of near copies (the smallest doc_id; equal rows count once), with the columns they came with."""
-    kept = join_similar(docs, **options).where("kept").select(F.col("doc_id").alias("_kept_doc_id")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_doc_id"]), "left_semi")
-    return rows.dropDuplicates(["doc_id", "text"]) if "doc_id" in docs.columns else rows
+    """One document of each group of near copies (the smallest doc_id; equal rows count once), with the columns they came with.
+
+    The rows that go are fewer than those that stay, so it is they that are joined.
+    """
+    found = common.materialize(verdicts(docs, **options), "verdicts")
+    keys = [F.col(c).alias(f"_gone_{c}") for c in ("doc_id", "cid", "sum32")]
+    gone = common.sized(common.materialize(found.where("NOT kept").select(*keys).distinct(), "gone"))
+    text = common.text_column()
+    same = F.col("doc_id").eqNullSafe(F.col("_gone_doc_id")) & (F.xxhash64(text) == F.col("_gone_cid")) & (F.crc32(text.cast("binary")) == F.col("_gone_sum32"))
+    rows = docs.join(gone, same, "left_anti")
+    repeated = found.where("kept").groupBy("doc_id", "cid", "sum32").count().where("count > 1").limit(1).count()
+    return rows.dropDuplicates(["doc_id", "text"]) if repeated else rows
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
