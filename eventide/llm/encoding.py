@@ -16,7 +16,7 @@ from functools import lru_cache
 from tokenizers import Tokenizer
 
 #: Words whose ids a worker keeps.
-CACHED_WORDS = 1_200_000
+CACHED_WORDS = 400_000
 #: ASCII marks that may be cut off after a letter; the apostrophe is missing, as it starts contractions.
 MARKS = ".,*%$&#!|:;?)]}"
 #: Letters from here on may turn into a letter and a mark when a text is normalised.
