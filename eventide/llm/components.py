@@ -1,6 +1,9 @@
 """Connected components by alternating large-star and small-star steps, each a Spark job.
 
-Every step's edges are written to the shared folder, so a lost executor costs one step at most.
+Every step's edges are written to the shared folder, so a lost executor costs one step at most. As long as
+the written edges are few, the smallest neighbours of all nodes, of which there are at most two per edge, are sent to every
+executor, and a node with many edges is not dealt to one task; beyond, the join is a shuffle, which Spark
+splits where it is skewed.
 """
 
 from __future__ import annotations
@@ -11,27 +14,27 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, few: bool) -> DataFrame:
     """Every larger neighbour of a node is tied to the smallest node around it."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return both.where("v > u").join(F.broadcast(least) if few else least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, few: bool) -> DataFrame:
     """A node and its smaller neighbours are tied to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    tied = down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    tied = down.join(F.broadcast(least) if few else least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return tied.union(least.select("u", F.col("m").alias("v")))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges: u, v (long). Gives id, component (the smallest id it holds) for every id that has an edge to another."""
     now = common.materialize(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = None
+    few, seen = now.count() <= common.BROADCAST_ROWS, None  # no step adds edges
     while True:
-        now = common.materialize(_small_star(_large_star(now)).where("u != v").distinct(), "edges")
+        now = common.materialize(_small_star(_large_star(now, few), few).where("u != v").distinct(), "edges")
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
