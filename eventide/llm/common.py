@@ -12,9 +12,20 @@ from pyspark.sql import functions as F
 from ..sources.files import new_path
 
 
+#: Rows of an Arrow batch. Texts may be long, and a task holds a batch in the JVM and in Python.
+BATCH_ROWS, BATCH_SETTING = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Make the session's Arrow batches small, unless they are so already."""
+    if not 0 < int(spark.conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: it cuts lineage and survives lost executors."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -30,6 +41,7 @@ def sized(narrow: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -72,4 +84,5 @@ def keep_rows(docs: DataFrame, keep: Callable[[list[str]], "object"], text_col:
             texts = [x or "" for x in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
             yield batch.filter(pa.array([bool(x) for x in keep(texts)], pa.bool_()))
 
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(task, docs.schema)
