@@ -4,8 +4,12 @@ Each half of a vector has a codebook of its own; their product is a grid of cell
 in the cell of its halves' nearest codewords. A vector visits cells in the order of its distance to
 them (the multi-sequence algorithm: a heap over the two sorted lists of half distances) until the
 distance exceeds that of its own cell by a slack. The slack is set so that the target recall is reached:
-``QUERIES`` vectors are compared with all vectors, and each true link says with which slack it is found;
-only a histogram of these slacks is gathered. What is met in a visited cell is verified by the cosine in double precision.
+query vectors are compared with all vectors, and each true link says with which slack it is found. Each query
+counts the same, however many links it has, and the target is to be reached in every class of queries (by the number of
+their links, in powers of two) and band of the cosine, so no large group speaks for the others. Blocks of queries are added
+until ``ENOUGH`` of them have links but lie in no group of over a hundredth of the vectors; if ``MOST_QUERIES`` do
+not give so many, the slack also has to find made pairs, sampled vectors turned to the threshold in random directions.
+Only histograms of slacks are gathered. What is met in a visited cell is verified by the cosine in double precision.
 
 A cell's members and its visitors are cut into blocks, and two blocks at a time meet in a task, which
 returns counts and a spanning forest, not pairs. A link that both of its vectors find counts once: a visitor
@@ -27,7 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -35,6 +39,8 @@ from .components import connected_components
 
 THRESHOLD, RECALL = 0.95, 0.99
 SAMPLE, QUERIES, PER_CELL, MOST_WORDS = 20_000, 400, 64, 512
+#: Queries with links outside large groups after which no more are asked, queries at most, and bands of the cosine from the threshold to 1.
+ENOUGH, MOST_QUERIES, BANDS = 100, 6400, 5
 MEMBERS, VISITORS = 1024, 2048
 BINS, WIDEST = 4000, 4.0
 
@@ -109,31 +115,61 @@ def build(distinct: DataFrame, total: int, threshold: float, recall: float) -> M
         x = unit(distinct.limit(1000).select("vector").toArrow().combine_chunks().to_batches()[0])
     size, half = int(np.clip(np.sqrt(total / PER_CELL), 1, MOST_WORDS)), x.shape[1] // 2
     index = MultiIndex(codebook(x[:, :half], size), codebook(x[:, half:], size))
-    asked = x[np.random.default_rng(4).permutation(len(x))[:QUERIES]]
-    a1, a2 = index.distances(asked)
-    own = a1.min(1) + a2.min(1)
-    cells = a1.argmin(1), a2.argmin(1)
+    order, asked = np.random.default_rng(4).permutation(len(x))[:MOST_QUERIES], 0
+    needed: dict[tuple[int, int], np.ndarray] = {}
+    few = True
+    while few and asked < len(order):
+        block = order[asked : max(QUERIES, 2 * asked)]
+        for row in needed_slacks(distinct, index, x[block], threshold).collect():  # at most BINS rows for each class and band
+            needed.setdefault((row["class"], row["band"]), np.zeros(BINS))[row["bin"]] += row["queries"]
+        asked += len(block)
+        outside: dict[int, float] = {}  # queries by class, in the band that has the most
+        for (of_class, _), held in needed.items():
+            if 2**of_class <= max(1, total / 100):
+                outside[of_class] = max(outside.get(of_class, 0), held.sum())
+        few = sum(outside.values()) < ENOUGH - 1e-6
+    reached = [float((np.cumsum(held) >= recall * held.sum() - 1e-9).argmax() + 1) * WIDEST / BINS for held in needed.values()]
+    if few:
+        reached.append(made_slack(index, x[order], threshold, recall))
+    index.slack = max(reached)
+    return index
+
+
+def slack_between(index: MultiIndex, near: tuple[np.ndarray, np.ndarray], far: tuple[np.ndarray, np.ndarray], q: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The least slack with which one of vectors q and k visits the other's cell; near and far: their half distances."""
+    (a1, a2), (d1, d2) = near, far
+    from_query = a1[q, d1.argmin(1)[k]] + a2[q, d2.argmin(1)[k]] - (a1.min(1) + a2.min(1))[q]
+    from_other = d1[k, a1.argmin(1)[q]] + d2[k, a2.argmin(1)[q]] - (d1.min(1) + d2.min(1))[k]
+    return np.minimum(from_query, from_other)
+
+
+def needed_slacks(distinct: DataFrame, index: MultiIndex, asked: np.ndarray, threshold: float) -> DataFrame:
+    """class (of a query's number of links, a power of two), band, bin (of the slack), queries: each query with links in a band adds 1 to it."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BINS, np.int64)
-        for batch in common.slices(batches, 4096):
+        near = index.distances(asked)
+        for batch in common.slices(batches, max(64, 4096 * QUERIES // len(asked))):
             y = unit(batch)
             cosines = asked @ y.T
             q, k = np.nonzero((cosines >= threshold) & (cosines < 1 - 1e-12))
-            d1, d2 = index.distances(y)
-            from_query = a1[q, d1.argmin(1)[k]] + a2[q, d2.argmin(1)[k]] - own[q]
-            from_other = d1[k, cells[0][q]] + d2[k, cells[1][q]] - (d1.min(1) + d2.min(1))[k]
-            needed = np.minimum(from_query, from_other)
-            counts += np.bincount(np.minimum((needed / WIDEST * BINS).astype(int), BINS - 1), minlength=BINS)
-        held = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(counts[held], pa.int64())], names=["bin", "n"])
-
-    needed = np.zeros(BINS, np.int64)
-    for row in distinct.select("vector").mapInArrow(task, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():  # at most BINS rows
-        needed[row["bin"]] = row["n"]
-    reached = np.cumsum(needed) >= recall * needed.sum()
-    index.slack = float((reached.argmax() + 1) * WIDEST / BINS) if needed.sum() else 2 * (1 - threshold)
-    return index
+            slack = slack_between(index, near, index.distances(y), q, k)
+            band = np.minimum((cosines[q, k] - threshold) / (1 - threshold) * BANDS, BANDS - 1).astype(int)
+            found, n = np.unique((q * BANDS + band) * BINS + np.minimum((slack / WIDEST * BINS).astype(int), BINS - 1), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (found // BINS // BANDS, found // BINS % BANDS, found % BINS, n)], names=["query", "band", "bin", "n"])
+
+    links = distinct.select("vector").mapInArrow(task, "query long, band long, bin long, n long").groupBy("query", "band", "bin").agg(F.sum("n").alias("n"))
+    of_query, of_band = F.sum("n").over(Window.partitionBy("query")), F.sum("n").over(Window.partitionBy("query", "band"))
+    return links.select(F.floor(F.log2(of_query)).cast("int").alias("class"), "band", "bin", (F.col("n") / of_band).alias("share")).groupBy("class", "band", "bin").agg(F.sum("share").alias("queries"))
+
+
+def made_slack(index: MultiIndex, x: np.ndarray, threshold: float, recall: float) -> float:
+    """The slack that finds this share of pairs of a vector and one at the threshold from it in a random direction."""
+    turned = np.random.default_rng(5).normal(size=x.shape)
+    turned -= (turned * x).sum(1, keepdims=True) * x
+    turned /= np.maximum(np.sqrt((turned**2).sum(1, keepdims=True)), 1e-12)
+    pairs = np.arange(len(x))
+    slack = slack_between(index, index.distances(x), index.distances(threshold * x + np.sqrt(1 - threshold**2) * turned), pairs, pairs)
+    return float(np.quantile(slack, recall, method="higher")) + WIDEST / BINS
 
 
 def placed(distinct: DataFrame, index: MultiIndex) -> DataFrame:

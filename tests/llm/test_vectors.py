@@ -61,3 +61,19 @@ def test_cells_come_nearest_first():
     grid = (d1[0][:, None] + d2[0][None, :]).ravel()
     order = [int(k) for k in np.argsort(grid) if grid[k] <= grid.min() + 3.0]
     assert [i * 7 + j for i, j in index.visits(d1[0], d2[0])] == order
+
+
+def test_a_hot_group_does_not_set_the_slack_alone(spark):
+    """A third of the vectors in one group of near copies, the others in pairs near the threshold."""
+    rng = np.random.default_rng(6)
+    scaled = lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)
+    hot = scaled(scaled(rng.normal(size=(1, 64))) + scaled(rng.normal(size=(4000, 64))) * 0.045)
+    base, cosines = scaled(rng.normal(size=(4000, 64))), rng.uniform(0.951, 0.99, (4000, 1))
+    other = rng.normal(size=base.shape)
+    other = scaled(other - (other * base).sum(1, keepdims=True) * base)
+    x = np.concatenate([hot, base, cosines * base + np.sqrt(1 - cosines**2) * other]).astype(np.float32)
+    table = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>")
+    got = vectors.near_duplicates(table).toPandas().set_index("vec_id").loc[np.arange(len(x))]
+    outside = got.n_links.to_numpy()[4000:]  # each has one link
+    assert outside.max() <= 1 and outside.mean() >= 0.98, outside.mean()
+    assert got.n_links.to_numpy()[:4000].mean() >= 0.99 * 3999
