@@ -74,7 +74,6 @@ class TextEncoder:
 
     def __init__(self, path: str, cached_words: int = CACHED_WORDS) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.bare = _Words(self.tokenizer, cached_words)
         self.spaced = _Words(self.tokenizer, cached_words, " ", self.bare)
         parts = json.loads(self.tokenizer.to_str())

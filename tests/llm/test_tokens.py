@@ -99,3 +99,33 @@ def test_near_the_least_number_of_sequences():
     histogram = np.bincount(rng.integers(1, 1025, 50_000), minlength=1025)
     least = -(-int((histogram * np.arange(1025)).sum()) // 1024)
     assert sum(count for _, count in packing.plan_patterns(histogram, 1024)) <= 1.02 * least
+
+
+def by_default(name):
+    """The library's ids for the given file, no setting changed: special tokens in a text have their own ids."""
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_special_tokens_in_texts_keep_their_ids(name):
+    encoder, whole = TextEncoder(public_tokenizers.path(name), cached_words=50), by_default(name)
+    assert np.frombuffer(encoder.encode("one <|endoftext|> two"), "<u4").tolist() == {"byte_bpe_50k.json": [505, 220, 50256, 734], "word_bpe_49k.json": [637, 49407, 1237]}[name]
+
+    @settings(max_examples=400, deadline=None)
+    @given(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", *"abThE's.,!*|9 \n\t\x1c ́é😀İΣ\0<|>"]), max_size=20).map("".join))
+    def same(text):
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == whole(text)
+
+    same()
+
+
+def test_stored_and_packed_special_tokens(spark, tmp_path):
+    texts = ["one <|endoftext|> two", "<|startoftext|>a<|endoftext|>.", "plain"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    token_store.write_store(docs, f"file://{tmp_path}/store")
+    stored = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in token_store.read_store(spark, f"file://{tmp_path}/store").collect()}
+    assert stored == {i: by_default("word_bpe_49k.json")(text) + [1] for i, text in enumerate(texts)}
+    packed = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in packing.pack(docs).collect()}
+    whole = {i: np.array(by_default("byte_bpe_50k.json")(text) + [2], "<u4") for i, text in enumerate(texts)}
+    assert packed == {i: (len(ids), zlib.crc32(ids.tobytes())) for i, ids in whole.items()}
