@@ -10,6 +10,9 @@ from pyspark.sql import SparkSession
 
 
 def place(path: str) -> tuple[FileSystem, str]:
+    """The file system and the path on it; s3a is Spark's name for s3."""
+    if path.startswith("s3a://"):
+        path = "s3" + path[3:]
     return FileSystem.from_uri(path if "://" in path or path.startswith("/") else "file://" + path.removeprefix("file:"))
 
 
@@ -20,7 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             return found.get()
-        base = "file://" + tempfile.mkdtemp(prefix="spark-eventide-", dir="/tmp")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-eventide-")
         spark.sparkContext.setCheckpointDir(base)
     return base
 
@@ -55,6 +60,12 @@ def publish_text(path: str, text: str) -> None:
     fs.move(name, at)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that Spark wrote, on any file system that Spark knows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def delete_dir(path: str) -> None:
     fs, at = place(path)
     if fs.get_file_info(at).type == FileType.Directory:
