@@ -1,9 +1,9 @@
 """Connected components by alternating large-star and small-star steps, each a Spark job.
 
-Every step's edges are written to the shared folder, so a lost executor costs one step at most. As long as
-the written edges are few, the smallest neighbours of all nodes, of which there are at most two per edge, are sent to every
-executor, and a node with many edges is not dealt to one task; beyond, the join is a shuffle, which Spark
-splits where it is skewed.
+Every step's edges are written to the shared folder, so a lost executor costs one step at most; the edges of
+the step before are deleted then. As long as the written edges are few (``common.BROADCAST_ROWS``), the smallest
+neighbours of all nodes, of which there are at most two per edge, are sent to every executor, and a node with many
+edges is not dealt to one task; beyond, the join is a shuffle, which Spark splits where it is skewed.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import files
 from . import common
 
 
@@ -31,10 +32,18 @@ def _small_star(edges: DataFrame, few: bool) -> DataFrame:
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges: u, v (long). Gives id, component (the smallest id it holds) for every id that has an edge to another."""
-    now = common.materialize(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    few, seen = now.count() <= common.BROADCAST_ROWS, None  # no step adds edges
+    spark = edges.sparkSession
+
+    def written(df: DataFrame) -> tuple[str, DataFrame]:
+        path = common.new_path(spark, "edges")
+        df.write.option("compression", "zstd").parquet(path)
+        return path, spark.read.schema("u long, v long").parquet(path)
+
+    path, now = written(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    few, seen = common.small(now), None  # no step adds edges
     while True:
-        now = common.materialize(_small_star(_large_star(now, few), few).where("u != v").distinct(), "edges")
+        before, (path, now) = path, written(_small_star(_large_star(now, few), few).where("u != v").distinct())
+        files.remove(spark, before)
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break

@@ -3,21 +3,28 @@
 1. Texts that are equal are one class, so copies are handled once, however many there are.
 2. Each text's n-grams of words give a MinHash signature, cut into bands. The number of rows of a band is
    the largest for which at most ``MAX_HASHES`` hashes reach the target recall at the threshold.
-3. Classes that share a band hash are tied to one of them: linear in the number of classes, whatever
-   the size of a bucket. The components of these ties hold every candidate pair.
-4. A component is cut into blocks; two blocks at a time meet in a task, which counts the common n-grams of
-   all their pairs at once and keeps the pairs whose Jaccard similarity of the full n-gram sets reaches the threshold. It
-   returns counts and a spanning forest, not the pairs.
+3. The classes that share a band hash are a bucket, and its smallest class leads it. All classes of the buckets
+   with one leader are a group, so every candidate pair is in a group, and a class is in at most as many groups as
+   there are bands. A pair that is in several groups is compared in that of the smallest leader only, and a group all
+   of whose members have one smaller leader in common is left out.
+4. The sets of n-gram hashes of a group's members meet in a task, which counts the common n-grams of all its
+   pairs at once and keeps the pairs whose Jaccard similarity of the full n-gram sets reaches the threshold. Groups of
+   over ``BLOCK`` members or ``BLOCK_GRAMS`` n-grams are cut into blocks, two of which meet at a time. A task returns
+   counts and a spanning forest, not the pairs.
 5. The forests' components are the groups of near copies.
 
+Cost: the pairs compared are those of classes that share a leader, so texts that form a long chain of weak likenesses
+cost in proportion to their number. N different texts that are all alike are N * N / 2 links, each of which is compared (their
+numbers are part of the result); each of these texts is sent to about N / ``BLOCK`` tasks.
+
 Words are runs of letters, digits and characters beyond ASCII, lower-cased. A text with fewer than n words has one
 n-gram, all its words.
 
 Defined cases: null and empty texts, and those without words, link with nothing, not even each other;
-equal texts link with each other; rows that share a doc_id are separate rows, which link like any
-others; a null doc_id is never the smallest of its group, unless there is no other; other columns are
-not looked at. Classes are told apart by 64 bits of xxHash64 and the CRC-32 of the text, and by xxHash64 alone
-within the graph of ties.
+equal texts link with each other; rows that share a doc_id, or are wholly equal, are separate rows, which link like any
+others; a null doc_id is never the smallest of its group, unless there is no other; texts of any length are compared
+whole; other columns are not looked at; an empty table gives an empty result. Texts are told apart by 64 bits of
+xxHash64 and the CRC-32, n-grams by 64 bits.
 """
 
 from __future__ import annotations
@@ -27,15 +34,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 from .components import connected_components
 
 WORDS, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.9999, 128
-#: Classes of a block; two blocks meet in a task.
-BLOCK = 256
+#: Classes of a block and their n-grams, about; two blocks meet in a task.
+BLOCK, BLOCK_GRAMS = 512, 1 << 20
 FOLD = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -85,10 +92,12 @@ class Signer:
                 np.minimum(out[part], h.min(0), out=out[part])
         return out
 
-    def band_hashes(self, texts: list[str]) -> list[np.ndarray]:
-        out = []
+    def band_hashes(self, texts: list[str]) -> tuple[list[np.ndarray], list[int]]:
+        """Each text's bands, none if it has no words, and its number of n-grams."""
+        out, sizes = [], []
         for text in texts:
             grams = ngrams(text, self.words)
+            sizes.append(len(grams))
             if not len(grams):
                 out.append(np.zeros(0, np.int64))
                 continue
@@ -98,28 +107,41 @@ class Signer:
                 h = (h ^ rows[:, k]) * _ODD
                 h ^= h >> np.uint64(32)
             out.append(h.view(np.int64))
-        return out
+        return out, sizes
+
+
+def text_keys() -> list[Column]:
+    """What tells texts apart."""
+    text = common.text_column()
+    return [F.xxhash64(text).alias("cid"), F.crc32(text.cast("binary")).alias("sum32")]
 
 
 def sign(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, cid and sum32 (which tell texts apart), bands."""
+    """doc_id, cid and sum32 (which tell texts apart), the number of n-grams, bands."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(words, bands, rows)
         for batch in common.slices(batches, 512):
-            hashes = signer.band_hashes(batch["text"].to_pylist())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["cid"], batch["sum32"], pa.array(hashes, pa.list_(pa.int64()))], names=["doc_id", "cid", "sum32", "bands"])
+            hashes, sizes = signer.band_hashes(batch["text"].to_pylist())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["cid"], batch["sum32"], pa.array(sizes, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=["doc_id", "cid", "sum32", "grams", "bands"])
 
-    text = common.text_column()
-    keyed = docs.select("doc_id", F.xxhash64(text).alias("cid"), F.crc32(text.cast("binary")).alias("sum32"), text.alias("text"))
-    return keyed.mapInArrow(task, "doc_id long, cid long, sum32 long, bands array<long>")
+    keyed = docs.select("doc_id", *text_keys(), common.text_column().alias("text"))
+    return keyed.mapInArrow(task, "doc_id long, cid long, sum32 long, grams long, bands array<long>")
 
 
-def candidate_ties(classes: DataFrame) -> DataFrame:
-    """Ties of each class to one class of each of its buckets."""
-    banded = classes.select("cid", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("held"), F.min("cid").alias("v")).where("held > 1").select("band", "v")
-    return banded.join(shared, "band").where("cid != v").select(F.col("cid").alias("u"), "v").distinct()
+def candidate_groups(classes: DataFrame, block: int = BLOCK, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+    """For each class that shares a bucket and has something to compare: id, its leaders in ascending order, and the groups
+    it is in, each with its leader, number of members and number of blocks."""
+    banded = classes.select("id", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.count("*").alias("held"), F.min("id").alias("leader")).where("held > 1").select("band", "leader")
+    led = banded.join(shared, "band").groupBy("id").agg(F.sort_array(F.collect_set("leader")).alias("leaders"))
+    led = common.materialize(led.join(classes.select("id", "grams"), "id"), "led")  # at most a leader for each band
+    of_leader = led.select("id", "grams", F.element_at("leaders", 1).alias("first"), F.explode("leaders").alias("leader"))
+    sizes = of_leader.groupBy("leader").agg(F.count("*").alias("members"), F.sum("grams").alias("grams"), F.min("first").alias("low"), F.max("first").alias("high"))
+    blocks = F.ceil(F.greatest(F.col("members") / block, F.col("grams") / block_grams)).cast("int")
+    kept = sizes.where("low <> high OR low = leader").select("leader", "members", blocks.alias("blocks"))
+    placed = of_leader.select("id", "leader").join(kept, "leader").groupBy("id").agg(F.collect_list(F.struct("leader", "members", "blocks")).alias("groups"))
+    return led.select("id", "leaders").join(placed, "id")
 
 
 def common_grams(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
@@ -140,62 +162,64 @@ def common_grams(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
     return out
 
 
-def roots_of(n: int, left: np.ndarray, right: np.ndarray) -> list[int]:
-    """The smallest index of each index's group, where the pairs tie groups together."""
-    root = list(range(n))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for i, j in zip(left.tolist(), right.tolist(), strict=True):
-        a, b = find(i), find(j)
-        root[max(a, b)] = min(a, b)
-    return [find(i) for i in range(n)]
+def roots_of(like: np.ndarray) -> np.ndarray:
+    """The smallest index of each index's group, where this symmetric matrix says which two belong together."""
+    label = np.arange(len(like))
+    while True:
+        new = np.minimum(label, np.where(like, label[None, :], len(like)).min(1))
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
 
 
-def verified(rows: DataFrame, words: int, threshold: float) -> DataFrame:
-    """rows: component, left, right (a group), block, cid, copies, text. Gives cid, links, leader for classes with links."""
+def gram_sets(texts: DataFrame, words: int) -> DataFrame:
+    """The rows with the distinct hashes of the text's n-grams in place of the column text."""
+    kept = [c for c in texts.columns if c != "text"]
 
-    def links(group: list[tuple]) -> list[tuple[int, int, int]]:
-        blocks = np.array([r[0] for r in group])
-        copies = np.array([r[2] for r in group], np.int64)
-        sets = [np.unique(ngrams(r[3], words)) for r in group]
-        sizes = np.array([len(s) for s in sets])
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, 256):
+            sets = [np.unique(ngrams(x, words)).view(np.int64) for x in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in kept], pa.array(sets, pa.list_(pa.int64()))], names=[*kept, "grams"])
+
+    fields = [f"{c} {texts.schema[c].dataType.simpleString()}" for c in kept]
+    return texts.mapInArrow(task, ", ".join([*fields, "grams array<long>"]))
+
+
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    bounds, values = column.offsets.to_numpy(), column.values.to_numpy()
+    return [values[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
+def verified(rows: DataFrame, threshold: float) -> DataFrame:
+    """rows: leader, left, right (two blocks of a group), block, id, copies, leaders, grams. Gives id, links, root for classes with links."""
+    keys = ["leader", "left", "right"]
+
+    def links(leader: int, group: pa.RecordBatch) -> list[np.ndarray] | None:
+        ids, copies, blocks = (group[c].to_numpy() for c in ("id", "copies", "block"))
+        pairs = ~np.eye(len(ids), dtype=bool)
+        if blocks.min() != blocks.max():
+            pairs &= blocks[:, None] != blocks[None, :]  # the pairs within a block meet in a group of their own
+        earlier = [x[x < leader] for x in _lists(group["leaders"])]
+        if any(map(len, earlier)):
+            pairs &= common_grams(earlier) == 0  # the others meet under a smaller leader
+        if not pairs.any():
+            return None
+        sets = _lists(group["grams"])
+        sizes = np.array([len(x) for x in sets])
         both = common_grams(sets)
-        like = both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-6
-        np.fill_diagonal(like, False)
-        if len(set(blocks)) > 1:
-            like &= blocks[:, None] != blocks[None, :]  # the pairs within a block meet in a group of their own
+        like = pairs & (both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-6)
         found = like @ copies
-        root = roots_of(len(group), *np.nonzero(np.triu(like)))
-        return [(group[i][1], int(found[i]), group[root[i]][1]) for i in np.flatnonzero(found)]
+        root = ids[roots_of(like)]
+        linked = np.flatnonzero(found)
+        return [ids[linked], found[linked], root[linked]]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, at, out = [], None, []
-
-        def made() -> pa.RecordBatch:
-            columns = zip(*out, strict=True) if out else [[]] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["cid", "links", "leader"])
+        for (leader, _, _), group in common.groups(batches, keys):
+            if group.num_rows > 1 and (found := links(leader, group)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["id", "links", "root"])
 
-        for batch in common.slices(batches, 512):
-            for key, row in zip(zip(*[batch[c].to_pylist() for c in ("component", "left", "right")], strict=True), zip(*[batch[c].to_pylist() for c in ("block", "cid", "copies", "text")], strict=True), strict=True):
-                if key != at:
-                    out += links(group) if len(group) > 1 else []
-                    group, at = [], key
-                if not group or group[-1][1] != row[1]:  # a document that is there twice
-                    group.append(row)
-            if len(out) > 10_000:
-                yield made()
-                out = []
-        out += links(group) if len(group) > 1 else []
-        yield made()
-
-    keys = ["component", "left", "right"]
-    together = rows.repartition(*keys).sortWithinPartitions(*keys, "cid")
-    return together.mapInArrow(task, "cid long, links long, leader long")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(task, "id long, links long, root long")
 
 
 def join_similar(docs: DataFrame, **options) -> DataFrame:
@@ -203,47 +227,71 @@ def join_similar(docs: DataFrame, **options) -> DataFrame:
     return verdicts(docs, **options).select("doc_id", "n_links", "component_id", "kept")
 
 
+def classes_of(signed: DataFrame) -> DataFrame:
+    """The distinct texts with words: id (a number of its own each), cid, sum32, rep (smallest doc_id), copies, grams, bands."""
+    held = signed.where("grams > 0").groupBy("cid", "sum32").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("grams").alias("grams"), F.first("bands").alias("bands"))
+    return common.materialize(held.withColumn("id", F.monotonically_increasing_id()), "classes")
+
+
 def verdicts(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """What join_similar gives, with the keys of the text: cid and sum32."""
+    """What join_similar gives, with the keys of the text, cid and sum32, and a number of its group (null: the text has no words)."""
     bands, rows = plan_bands(threshold, recall)
     signed = common.materialize(sign(docs, words, bands, rows), "signed")
-    classes = common.materialize(signed.where(F.size("bands") > 0).groupBy("cid", "sum32").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes")
-    near = connected_components(candidate_ties(classes))
+    classes = classes_of(signed)
+    members = common.materialize(candidate_groups(classes, block).join(classes.select("id", "cid", "sum32", "copies"), "id"), "members")
 
-    sizes = near.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = near.join(sizes, "component").select(F.col("id").alias("cid"), "component", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
-    members = classes.drop("bands").join(placed, "cid").select(F.col("cid").alias("m_cid"), F.col("sum32").alias("m_sum32"), "rep", "copies", "component", "blocks", "block")
     text = common.text_column()
-    texts = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("t_cid"), F.crc32(text.cast("binary")).alias("t_sum32"))
-    found = texts.join(common.sized(common.materialize(members, "members")), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("t_cid") == F.col("m_cid")) & (F.col("t_sum32") == F.col("m_sum32")))
-    pairs = found.select("component", "block", F.col("m_cid").alias("cid"), "copies", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pairs = pairs.select("component", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "cid", "copies", "text")
-    links = common.materialize(verified(pairs, words, threshold), "links")
-
-    groups = connected_components(links.select(F.col("cid").alias("u"), F.col("leader").alias("v")))
-    counted = links.groupBy("cid").agg(F.sum("links").alias("links"))
-    known = classes.drop("bands").join(counted, "cid", "left").join(groups.withColumnRenamed("id", "cid"), "cid", "left")
-    known = known.select("cid", "sum32", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component")
-    least = known.where("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("least"))
-    final = known.join(least, "component", "left").select("cid", "sum32", "n_links", F.coalesce(F.col("least"), F.when(F.col("component").isNull(), F.col("rep"))).alias("component_id"))
-    out = signed.select("doc_id", "cid", "sum32", (F.size("bands") > 0).alias("has_words")).join(final, ["cid", "sum32"], "left")
+    texts = common.marked(docs.select(*text_keys(), text.alias("text")), members, ["cid", "sum32"], "may").where("may")
+    texts = texts.groupBy("cid", "sum32").agg(F.first("text").alias("text"))  # one of the copies
+    sets = gram_sets(texts.join(members, ["cid", "sum32"]).select("id", "copies", "leaders", "groups", "text"), words)
+    grouped = sets.select("id", "copies", "leaders", "grams", F.explode("groups").alias("g")).select("*", "g.leader", "g.blocks").drop("g")
+    grouped = grouped.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    paired = grouped.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    paired = paired.select("leader", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "id", "copies", "leaders", "grams")
+    links = common.materialize(verified(paired, threshold), "links")
+
+    near = connected_components(links.select(F.col("id").alias("u"), F.col("root").alias("v")))
+    counted = links.groupBy("id").agg(F.sum("links").alias("links"))
+    known = classes.drop("bands", "grams").join(counted, "id", "left").join(near, "id", "left")
+    known = known.select("cid", "sum32", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("group"))
+    final = known.join(known.groupBy("group").agg(F.min("rep").alias("component_id")), "group").drop("rep")
+    out = signed.select("doc_id", "cid", "sum32", (F.col("grams") > 0).alias("has_words")).join(final, ["cid", "sum32"], "left")
     component = F.when(F.col("has_words"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "cid", "sum32", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "cid", "sum32", "group", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group of near copies (the smallest doc_id; equal rows count once), with the columns they came with.
+    """One document of each group of near copies, with the columns it came with: that of the smallest doc_id, and if several
+    rows of the group have it, the one whose columns come first as JSON. Documents without words all stay.
 
-    The rows that go are fewer than those that stay, so it is they that are joined.
+    The rows that may have to go are found by a bitmap, so only they are shuffled.
     """
     found = common.materialize(verdicts(docs, **options), "verdicts")
-    keys = [F.col(c).alias(f"_gone_{c}") for c in ("doc_id", "cid", "sum32")]
-    gone = common.sized(common.materialize(found.where("NOT kept").select(*keys).distinct(), "gone"))
-    text = common.text_column()
-    same = F.col("doc_id").eqNullSafe(F.col("_gone_doc_id")) & (F.xxhash64(text) == F.col("_gone_cid")) & (F.crc32(text.cast("binary")) == F.col("_gone_sum32"))
-    rows = docs.join(gone, same, "left_anti")
-    repeated = found.where("kept").groupBy("doc_id", "cid", "sum32").count().where("count > 1").limit(1).count()
-    return rows.dropDuplicates(["doc_id", "text"]) if repeated else rows
+    kept = found.where("kept AND group IS NOT NULL")
+    twice = common.materialize(kept.groupBy("group").agg(F.count("*").alias("rows")).where("rows > 1").select("group"), "twice")
+    names = ["doc_id", "cid", "sum32"]
+    gone = found.where("NOT kept").select(*names, F.lit(None).cast("long").alias("group"))
+    several = not twice.isEmpty()
+    if several:
+        gone = gone.union(kept.join(twice, "group").select(*names, "group")).distinct()
+    gone = common.materialize(gone, "gone")
+
+    columns = [F.col(c) for c in docs.columns]
+    mine = {n: common.free_name(docs.columns, f"_key_{n}") for n in names}
+    keyed = docs.withColumns(dict(zip(mine.values(), [F.col("doc_id"), *text_keys()], strict=True)))
+    flag, hit, group = (common.free_name(docs.columns, n) for n in ("_may_go", "_goes", "_group"))
+    theirs = {n: f"{m}_" for n, m in mine.items()}
+    marked = common.marked(keyed, gone.select(*[F.col(n).alias(m) for n, m in mine.items()]), list(mine.values()), flag)
+    other = gone.select(*[F.col(n).alias(m) for n, m in theirs.items()], F.col("group").alias(group), F.lit(True).alias(hit))
+    same = F.lit(True)
+    for n in names:
+        same &= F.col(mine[n]).eqNullSafe(F.col(theirs[n])) if n == "doc_id" else F.col(mine[n]) == F.col(theirs[n])
+    joined = marked.where(flag).join(other, same, "left")
+    out = marked.where(~F.col(flag)).select(*columns).union(joined.where(F.col(hit).isNull()).select(*columns))
+    if several:
+        row, order = F.struct(*columns), F.to_json(F.struct(*columns))
+        out = out.union(joined.where(F.col(group).isNotNull()).groupBy(group).agg(F.min_by(row, order).alias("row")).select("row.*"))
+    return out
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
