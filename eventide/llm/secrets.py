@@ -3,13 +3,15 @@
 Each rule's regular expression gives a Boolean trigram query. One pass over the texts finds those of
 the queries' trigrams that a text holds; they are the postings (trigram, document), which are written
 as a table. Intersecting the postings by each query leaves the candidates, whose texts alone are searched with
-the rule itself. A rule that has no mandatory trigram searches every text.
+the rule itself. A rule that has no mandatory trigram searches every text. Texts that are certainly no candidates
+are told apart by a bitmap of a fixed size, so only the others meet the table of candidates.
 
 Positions count code points; they follow from the lengths of the matches and of what lies between.
 
 Defined cases: a null or empty text has no span; a null doc_id is a document like any other; rows that
-repeat give equal results, each its own; any text length is searched whole; columns other than doc_id
-and text are kept only by ``redact``.
+repeat give equal results, each its own; any text length is searched whole; spans that begin at one place come in the
+order of the rules; columns other than doc_id and text are kept only by ``redact`` and ``find_spans``, whatever their names;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +24,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .trigrams import trigram_query
+from .trigrams import Clause, thinned, trigram_query
+
+#: Trigrams that the index holds for each string that a rule demands.
+GRAMS = 2
 
 
 @dataclass(frozen=True)
@@ -34,6 +39,11 @@ class Rule:
     group: int = 0
     least: int = 0
 
+    @property
+    def query(self) -> list[Clause]:
+        """Its trigram query; empty: there is no mandatory trigram."""
+        return thinned(trigram_query(self.pattern), GRAMS)
+
 
 BASE_RULES = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -55,14 +65,10 @@ SPAN = "array<struct<start:int,kind:int,stop:int>>"
 
 def index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Postings: gram, doc_id, digest, for the trigrams that the rules' queries name."""
-    grams = sorted({g for rule in rules for clause in trigram_query(rule.pattern) for s in clause for g in s})
-    by_first: dict[str, list[str]] = {}
-    for gram in grams:
-        by_first.setdefault(gram[0], []).append(re.escape(gram[1:]))
-    # at each place at most one trigram stands, so a lookahead meets all of them
-    pattern = "(?=(" + "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in sorted(by_first.items())) + "))"
-    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(1)))
-    return docs.select("doc_id", "digest", F.explode(found).alias("gram"))
+    grams = sorted({g for rule in rules for clause in rule.query for s in clause for g in s})
+    low = docs.select("doc_id", "digest", F.lower("text").alias("low"))
+    held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams]))
+    return low.select("doc_id", "digest", F.explode(held).alias("gram"))
 
 
 def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -71,9 +77,9 @@ def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
 
     def satisfied(rule: Rule) -> Column:
         has = lambda s: reduce(Column.__and__, [F.array_contains("grams", g) for g in sorted(s)])
-        return reduce(Column.__and__, [reduce(Column.__or__, map(has, clause)) for clause in trigram_query(rule.pattern)])
+        return reduce(Column.__and__, [reduce(Column.__or__, map(has, clause)) for clause in rule.query])
 
-    wanted = {f"may_{rule.kind}": satisfied(rule) for rule in rules if trigram_query(rule.pattern)}
+    wanted = {f"may_{rule.kind}": satisfied(rule) for rule in rules if rule.query}
     some = held.select("doc_id", "digest", *[c.alias(name) for name, c in wanted.items()])
     return some.where(reduce(Column.__or__, map(F.col, wanted)))
 
@@ -96,25 +102,31 @@ def rule_spans(rule: Rule, kind: int, text: str = "text") -> Column:
     return F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("spans")), merge, lambda acc: acc["spans"])
 
 
-def find_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows with a column ``secret_spans``: all rules' spans, by start, then in the order of the rules."""
-    digest = "_secret_digest"
-    rows = docs.withColumn(digest, F.xxhash64(common.text_column()))
+def find_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, column: str = "secret_spans") -> DataFrame:
+    """The rows with one more column: all rules' spans, by start, then in the order of the rules."""
+    digest, doc, may, flag = (common.free_name([*docs.columns, column], f"_secret_{n}") for n in ("digest", "doc", "may", "flag"))
+    rows = docs.withColumns({doc: F.col("doc_id"), digest: F.xxhash64(common.text_column())})
     keyed = rows.select("doc_id", F.col(digest).alias("digest"), common.text_column().alias("text"))
     postings = common.materialize(index(keyed, rules), "postings")
-    found = common.sized(common.materialize(candidates(postings, rules), "candidates"))
-    may = found.select(*[F.col(c).alias(f"_secret_on_{c}") for c in found.columns])
-    joined = rows.join(may, rows["doc_id"].eqNullSafe(may["_secret_on_doc_id"]) & (rows[digest] == may["_secret_on_digest"]), "left")
+    found = common.materialize(candidates(postings, rules), "candidates")
+    names = {"doc_id": doc, "digest": digest}
+    marked = common.marked(rows, found.select(*[F.col(n).alias(m) for n, m in names.items()]), list(names.values()), flag)
+    other = found.select(F.col("doc_id").alias(f"{doc}_"), F.col("digest").alias(f"{digest}_"), F.struct(*[c for c in found.columns if c.startswith("may_")]).alias(may))
+    near = marked.where(flag).join(other, F.col(doc).eqNullSafe(F.col(f"{doc}_")) & (F.col(digest) == F.col(f"{digest}_")), "left")
     empty = F.array().cast(SPAN)
 
     def searched(k: int, rule: Rule) -> Column:
         test = F.col("text").rlike(rule.pattern)
-        if trigram_query(rule.pattern):
-            test = F.coalesce(F.col(f"_secret_on_may_{rule.kind}"), F.lit(False)) & test
+        if rule.query:
+            test = F.coalesce(F.col(may)[f"may_{rule.kind}"], F.lit(False)) & test
         return F.when(test, rule_spans(rule, k)).otherwise(empty)
 
-    spans = F.array_sort(F.concat(*[searched(k, rule) for k, rule in enumerate(rules)]))
-    return joined.withColumn("secret_spans", spans).drop(digest, *may.columns)
+    def with_spans(frame: DataFrame, *searched_rules: int) -> DataFrame:
+        spans = [searched(k, rules[k]) for k in searched_rules]
+        return frame.select(*docs.columns, (F.array_sort(F.concat(*spans)) if spans else empty).alias(column))
+
+    always = [k for k, rule in enumerate(rules) if not rule.query]
+    return with_spans(marked.where(~F.col(flag)), *always).union(with_spans(near, *range(len(rules))))
 
 
 def joined_spans(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -125,7 +137,8 @@ def joined_spans(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
     """The rows with every secret (overlapping ones together) replaced by a mark, and n_chars set anew where it was known."""
-    found = find_spans(docs, rules)
+    spans = common.free_name(docs.columns, "secret_spans")
+    found = find_spans(docs, rules, spans)
     start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
 
     def merge(acc: Column, span: Column) -> Column:
@@ -133,10 +146,10 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
         return F.struct(F.when(span["start"] < acc["at"], acc["text"]).otherwise(fresh).alias("text"), F.greatest(acc["at"], span["stop"]).alias("at"))
 
     rest = lambda acc: F.concat(acc["text"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    clean = F.when(F.size("secret_spans") > 0, F.aggregate("secret_spans", start, merge, rest)).otherwise(F.col("text"))
+    clean = F.when(F.size(spans) > 0, F.aggregate(spans, start, merge, rest)).otherwise(F.col("text"))
     out = found.withColumn("text", clean)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("secret_spans") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 

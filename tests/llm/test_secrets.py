@@ -38,6 +38,20 @@ def test_spans_by_brute_force(spark, cases):
     assert secrets.find_spans(cases.limit(0)).count() == 0
 
 
+def test_a_whole_table_by_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = secrets.op3_secret_scans(spark, sf).collect()
+    assert {r["doc_id"]: r["spans"] for r in got} == {i: by_hand(t) for i, t in texts.items()} and len(got) == len(texts)
+
+
+def test_columns_of_the_same_names_are_kept(spark):
+    names = ["secret_spans", "_secret_digest", "_secret_doc", "_secret_may", "_secret_flag", "_bit", "_slot", "_bits", "digest"]
+    docs = spark.createDataFrame([(1, "token: abcdefgh", *range(9)), (2, "none", *range(9))], ["doc_id", "text", *names])
+    rows = {r["doc_id"]: r for r in secrets.redact(docs).collect()}
+    assert list(rows[1])[2:] == list(rows[2])[2:] == list(range(9)) and rows[1]["text"] == "[SECRET]"
+
+
 def test_redacted_rows_keep_their_columns(spark, cases):
     got = secrets.redact(cases)
     assert got.schema.names == cases.columns
@@ -54,7 +68,7 @@ def test_every_match_satisfies_its_query():
         for text in texts:
             for m in re.finditer(rule.pattern.replace("AKIA", "akia").replace("A-Z0-9", "a-z0-9"), text):
                 held = {m.group()[i : i + 3] for i in range(len(m.group()) - 2)}
-                assert all(any(s <= held for s in clause) for clause in trigram_query(rule.pattern))
+                assert all(any(s <= held for s in clause) for query in (trigram_query(rule.pattern), rule.query) for clause in query)
     assert trigram_query(r"[0-9a-f]{24,}") == [] and trigram_query(r"a.b?c") == []
     assert trigram_query(r"abc?d") == [[frozenset({"abc", "bcd"}), frozenset({"abd"})]]
     assert trigram_query(r"(abc)+xyz") == [[frozenset({"abc"})], [frozenset({"xyz"})]]
