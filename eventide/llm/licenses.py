@@ -1,16 +1,18 @@
 """License scans over a positional rare-token index.
 
 The words of licence templates are indexed with the template and the relative position at which they
-stand. A file looks up those licence words that it holds from the rarest on (by inverse document
-frequency over all documents), until each template whose mandatory key phrase it may hold has been reached;
-each occurrence and posting gives a place where the template would lie, and the key phrase must stand
-there word for word. The share of the template's words found at that place is the score.
+stand. A file looks up those licence words of mandatory key phrases that it holds, from the rarest on (by inverse document
+frequency over all documents). Each occurrence of a word and posting of it says where the template would begin;
+the places that ``ANCHORS`` words of a template agree on are the intersection of their postings by relative position. There the
+key phrase must stand word for word. The share of the template's words found at such a place is the score.
 
-As every template is reached by a word of its own key phrase, none that holds is missed: rare words
-only come first because they give the fewest places to verify.
+The words that are intersected belong to the template's own key phrase, and only templates are asked for whose key
+words the file holds, so none is missed: rare words only come first because they give the fewest places.
 
 Defined cases: a null or empty text has no words and no label; a null doc_id and repeated rows are
-documents like any other; texts of any length are scanned whole; other columns are not looked at.
+documents like any other; words of equal frequency are looked up in the order of their letters, which changes no result;
+of several places of templates the best share is the score; texts of any length are scanned whole; other columns are
+not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,11 +43,24 @@ BASE = (
     Template("gpl", "general public license", "general public license"),
     Template("reserved", "all rights reserved", "all rights reserved"),
 )
-# Sentences by which well-known licences are recognised.
+# Sentences and notices by which well-known licences are recognised.
 MORE = (
     Template("agpl-3.0", "gnu affero general public license version 3", "affero general public license"),
-    Template("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
+    Template(
+        "apache-2.0",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at "
+        "http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis "
+        "without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+        "apache license version 2 0",
+    ),
+    Template(
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer "
+        "in the documentation and or other materials provided with the distribution",
+        "redistribution and use in source and binary forms",
+    ),
     Template("bsl-1.0", "distributed under the boost software license version 1 0", "boost software license"),
     Template("cc-by-4.0", "licensed under cc by 4 0", "cc by 4 0"),
     Template("cc-by-nc-4.0", "licensed under cc by nc 4 0", "cc by nc 4 0"),
@@ -54,12 +69,40 @@ MORE = (
     Template("epl-2.0", "eclipse public license v 2 0", "eclipse public license"),
     Template("gpl-2.0", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
     Template("gpl-3.0", "licensed under the gnu general public license version 3", "gnu general public license version 3"),
-    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify and or distribute this software"),
+    Template(
+        "gpl-notice",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose "
+        "see the gnu general public license for more details",
+        "under the terms of the gnu general public license",
+    ),
+    Template(
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
+        "provided that the above copyright notice and this permission notice appear in all copies",
+        "permission to use copy modify and or distribute this software",
+    ),
     Template("lgpl", "gnu lesser general public license", "lesser general public license"),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
+    Template(
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "
+        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software "
+        "and to permit persons to whom the software is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "permission is hereby granted free of charge",
+    ),
     Template("mit", "released under the mit license", "mit license"),
-    Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    Template(
+        "mpl-2.0",
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+        "mozilla public license",
+    ),
+    Template(
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software "
+        "either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+        "free and unencumbered software",
+    ),
 )
 TEMPLATES = BASE + MORE
 
@@ -76,8 +119,12 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(FOLD).split()
 
 
+#: Rare words of a key phrase whose postings are intersected.
+ANCHORS = 3
+
+
 class TemplateIndex:
-    """Postings of the key phrases' words, and the frequencies that order the look-ups."""
+    """Postings of the templates' words, and the frequencies that order the look-ups."""
 
     def __init__(self, templates: tuple[Template, ...] = TEMPLATES, frequency: dict[bytes, int] | None = None) -> None:
         self.templates = templates
@@ -86,31 +133,40 @@ class TemplateIndex:
         self.key_at = [_find(w, k) for w, k in zip(self.words, self.keys, strict=True)]
         self.key_sets = [set(k) for k in self.keys]
         self.vocabulary = frozenset(w for k in self.keys for w in k)
-        self.postings: dict[bytes, list[tuple[int, int]]] = {w: [] for w in self.vocabulary}
-        for t, key in enumerate(self.keys):
+        #: word: template: the positions in the template, from the key phrase's
+        self.postings: dict[bytes, dict[int, list[int]]] = {w: {} for w in self.vocabulary}
+        for t, (key, at) in enumerate(zip(self.keys, self.key_at, strict=True)):
             for r, word in enumerate(key):
-                self.postings[word].append((t, r))
+                self.postings[word].setdefault(t, []).append(at + r)
         frequency = frequency or {}
         self.order = {w: (frequency.get(w, 0), w) for w in self.vocabulary}
         #: every key phrase holds one of these: a file without them holds no template
         self.anchors = frozenset(min(k, key=self.order.__getitem__) for k in self.keys)
 
-    def places(self, words: list[bytes], present: set[bytes]) -> dict[int, dict[int, float]]:
-        """For each template the places of its key phrase, with the share of the template's words there."""
-        wanted = {t for t, key in enumerate(self.key_sets) if key <= present}
-        found: dict[int, dict[int, float]] = {}
+    def tops(self, words: list[bytes], present: set[bytes]) -> dict[int, set[int]]:
+        """For each template the places at which it would begin, by all of its ANCHORS rarest words of the key phrase."""
+        wanted = {t: ANCHORS for t, key in enumerate(self.key_sets) if key <= present}
+        found: dict[int, set[int]] = {}
         for word in sorted(present & self.vocabulary, key=self.order.__getitem__):
-            here = [(t, r) for t, r in self.postings[word] if t in wanted]
+            here = [(t, places) for t, places in self.postings[word].items() if wanted.get(t)]
             if not here:
                 continue
-            for p in _positions(words, word):
-                for t, r in here:
-                    key, start = self.keys[t], p - r
-                    if start >= 0 and words[start : start + len(key)] == key:
-                        top = start - self.key_at[t]
-                        hits = sum(1 for i, w in enumerate(self.words[t]) if 0 <= top + i < len(words) and words[top + i] == w)
-                        found.setdefault(t, {})[start] = hits / len(self.words[t])
-            wanted -= {t for t, _ in here}
+            at = list(_positions(words, word))
+            for t, places in here:
+                tops = {p - r for r in places for p in at}
+                found[t] = found[t] & tops if t in found else tops
+                wanted[t] = wanted[t] - 1 if found[t] else 0
+        return found
+
+    def places(self, words: list[bytes], present: set[bytes]) -> dict[int, dict[int, float]]:
+        """For each template the places of its key phrase, with the share of the template's words there."""
+        found: dict[int, dict[int, float]] = {}
+        for t, tops in self.tops(words, present).items():
+            key, at, text = self.keys[t], self.key_at[t], self.words[t]
+            for top in tops:
+                if top + at >= 0 and words[top + at : top + at + len(key)] == key:
+                    hits = sum(1 for i, w in enumerate(text) if 0 <= top + i < len(words) and words[top + i] == w)
+                    found.setdefault(t, {})[top + at] = hits / len(text)
         return found
 
 
@@ -169,3 +225,25 @@ KINDS = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64()]
 
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(common.documents(spark, sf_dir))
+
+
+def _oracle() -> str:
+    def listed(words: list[bytes]) -> str:
+        return "[" + ", ".join(f"'{w.decode()}'" for w in words) + "]"
+
+    index = TemplateIndex()
+    rows = ", ".join(f"({t}, '{x.label}', {t < len(BASE)}, {listed(index.words[t])}, {listed(index.keys[t])}, {index.key_at[t]})" for t, x in enumerate(TEMPLATES))
+    letters = "".join(map(chr, range(65, 91)))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{letters}', '{letters.lower()}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT * FROM (VALUES {rows}) v(t, label, base, words, phrase, phrase_at)),
+f AS (SELECT row_id, label, base, words, phrase_at, w, unnest(list_filter(range(len(w) - len(phrase) + 1), lambda p: w[p + 1 : p + len(phrase)] = phrase)) AS p FROM d, t WHERE list_has_all(w, phrase)),
+s AS (SELECT row_id, label, base, p, len(list_filter(range(len(words)), lambda i: p - phrase_at + i >= 0 AND w[p - phrase_at + i + 1] = words[i + 1])) / len(words) AS share FROM f),
+a AS (SELECT row_id, count(*) FILTER (WHERE base) AS n_base, min(p) FILTER (WHERE base) AS first_word, max(p) FILTER (WHERE base) AS last_word,
+      array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE base)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(share) AS score FROM s GROUP BY row_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN a USING (row_id)"""
+
+
+ORACLE = _oracle()

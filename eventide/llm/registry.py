@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .language import op5_language_id
+from .licenses import ORACLE as LICENSES_SQL
 from .licenses import op8_license_scans
 from .media import op9_media_columns
 from .neardup import op6_ngram_jaccard_join
@@ -19,4 +20,4 @@ from .token_store import op2_token_id_output
 from .vectors import op4_embedding_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece_sampling, op2_token_id_output, op3_secret_scans, op4_embedding_near_dedup, op5_language_id, op6_ngram_jaccard_join, op7_quality_classifier, op8_license_scans, op9_media_columns, op10_best_fit_packing)}
-ORACLES: dict[str, str] = {"op3_secret_scans": SECRETS_SQL}
+ORACLES: dict[str, str] = {"op3_secret_scans": SECRETS_SQL, "op8_license_scans": LICENSES_SQL}

@@ -1,5 +1,8 @@
+import random
 import re
 
+import duckdb
+
 from eventide.llm import licenses
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -44,3 +47,34 @@ def test_whole_table_by_brute_force(spark):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     for r in licenses.op8_license_scans(spark, "/root/testdata/sf0.01").collect():
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"]) == by_hand(texts[r["doc_id"]])
+
+
+def test_a_whole_table_by_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    expected = con.execute(licenses.ORACLE)
+    names = [d[0] for d in expected.description]
+    got = licenses.op8_license_scans(spark, sf)
+    assert got.columns == names and sorted(map(tuple, got.collect())) == sorted(expected.fetchall())
+
+
+def test_odd_rows_by_sql(spark, tmp_path):
+    spark.createDataFrame([(i if i != 7 else None, t) for i, t in enumerate(TEXTS)], "doc_id long, text string").write.parquet(f"file://{tmp_path}/d")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    got = licenses.scan(spark.read.parquet(f"file://{tmp_path}/d")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.execute(licenses.ORACLE).fetchall()))
+
+
+def test_rare_words_agree_on_a_place():
+    """The postings of several words are intersected: only places on which they agree are verified."""
+    rng = random.Random(4)
+    key = licenses.words_of("permission is hereby granted free of charge")
+    words = [rng.choice(key) for _ in range(4000)] + licenses.MORE[14].text.encode().split() + [rng.choice(key) for _ in range(4000)]
+    index = licenses.TemplateIndex(frequency={w: k for k, w in enumerate(key)})
+    t = index.keys.index(key)
+    present = index.vocabulary.intersection(words)
+    tops = index.tops(words, present)[t]
+    assert index.places(words, present)[t][4000] == 1 and 4000 in tops
+    assert len(tops) < 0.1 * sum(w == key[0] for w in words)
