@@ -8,8 +8,8 @@ their place by their rank among the pieces of their length; ranks come from coun
 partition, so that no length, however frequent, meets in one task.
 
 Defined cases: a null text counts as empty (its one piece is the end id); equal rows and rows that
-share a doc_id are packed one by one; a null doc_id stays null; other columns are not looked at; an
-empty table gives an empty result.
+share a doc_id are packed one by one; which of the pieces of one length gets which place is not said; a null doc_id
+stays null; texts of any length are cut whole; other columns are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -187,7 +187,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     pieces = common.materialize(cut_pieces(docs, tokenizer or public_tokenizers.path("byte_bpe_50k.json"), capacity, end_id), "pieces")
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    # a row for each length that a task of the first step has met: small numbers, joined by broadcast as long as they are few
+    bases = common.sized(common.materialize(counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"), "bases"))
     histogram = np.zeros(capacity + 1, np.int64)
     for row in pieces.groupBy("length").agg(F.count("*").alias("n")).collect():  # a row per length, at most the capacity
         histogram[row["length"]] = row["n"]

@@ -6,8 +6,12 @@ the other, with each document's byte offset and number of ids: the offset index)
 ascending doc_id order over the shards. To read a few documents, the blocks' first and last ids pick the
 blocks, and the offsets the frames: nothing else is decompressed.
 
+Texts are encoded and compressed where they are read. The frames are written, and it is they that are dealt by range;
+a running number in the range's key lets rows of one doc_id lie in several shards.
+
 Defined cases: a null text counts as empty (its only id is the end id); a null doc_id sorts first;
-rows that share a doc_id are all kept, next to each other; extra columns are not looked at; an empty
+rows that share a doc_id are all kept, next to each other, in the order of their texts' hashes (equal rows are alike, so
+their order is of no account); texts of any length are encoded whole; extra columns are not looked at; an empty
 table gives an empty store with a dictionary of no samples.
 """
 
@@ -29,8 +33,8 @@ from . import common
 from .encoding import text_encoder
 
 END_ID = 1
-#: Bytes of a trained dictionary, documents it is trained on, and the longest one in bytes of ids.
-DICTIONARY_BYTES, SAMPLES, SAMPLE_BYTES = 64 << 10, 1000, 64 << 10
+#: Bytes of a trained dictionary, documents it is trained on, and the longest of them in bytes of text.
+DICTIONARY_BYTES, SAMPLES, SAMPLE_BYTES = 64 << 10, 1000, 16 << 10
 #: Bytes of frames after which a block ends.
 BLOCK_BYTES = 2 << 20
 LEVEL = 3
@@ -38,26 +42,26 @@ BLOCKS = "shard int, block int, in_shard long, first_id long, last_id long, dict
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> bytes:
-    """A dictionary from at most SAMPLES documents, chosen by a hash of the id. It changes sizes, not results."""
-    total = docs.count()
-    share = max(1, -(-total // SAMPLES))
+    """A dictionary from about SAMPLES different documents, twice as many at most, chosen by a hash. It changes sizes, not results."""
+    text = common.text_column()
+    share = max(1, -(-docs.count() // SAMPLES))
     end = np.array([end_id], "<u4").tobytes()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = text_encoder(tokenizer)
         for batch in common.slices(batches, 64):
-            ids = [encoder.encode(text) + end for text in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x in ids if len(x) <= SAMPLE_BYTES], pa.binary())], names=["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([encoder.encode(x) + end for x in batch["text"].to_pylist()], pa.binary())], names=["ids"])
 
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select(common.text_column().alias("text"))
-    samples = [bytes(row["ids"]) for row in chosen.mapInArrow(task, "ids binary").limit(2 * SAMPLES).collect()]
+    hashed = docs.select(F.xxhash64("doc_id", text).alias("hash"), text.alias("text"))
+    chosen = hashed.where((F.pmod("hash", F.lit(share)) == 0) & (F.octet_length("text") <= SAMPLE_BYTES)).groupBy("hash").agg(F.first("text").alias("text"))
+    samples = [bytes(row["ids"]) for row in chosen.orderBy("hash").limit(2 * SAMPLES).select("text").mapInArrow(task, "ids binary").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on
         return b"".join(samples)[:DICTIONARY_BYTES]
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> None:
+def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, block_bytes: int = BLOCK_BYTES) -> None:
     """Encode every document and write the store."""
     spark = docs.sparkSession
     tokenizer = tokenizer or public_tokenizers.path("word_bpe_49k.json")
@@ -66,10 +70,17 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     spark.createDataFrame([(digest, bytearray(dictionary), end_id)], "sha256 string, dictionary binary, end_id int").coalesce(1).write.parquet(f"{path}/dictionary")
     end = np.array([end_id], "<u4").tobytes()
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = text_encoder(tokenizer), TaskContext.get().partitionId()
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, number = text_encoder(tokenizer), TaskContext.get().partitionId() << 33
         compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None).compress
-        frames: list[bytes] = []
+        for batch in common.slices(batches, 512):
+            ids = [encoder.encode(text) + end for text in batch["text"].to_pylist()]
+            counts, numbers = [len(x) // 4 for x in ids], range(number, number + len(ids))
+            number += len(ids)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["hash"], pa.array(numbers, pa.int64()), pa.array(counts, pa.int64()), pa.array(map(compress, ids), pa.binary())], names=["doc_id", "hash", "number", "n_tokens", "frame"])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, frames = TaskContext.get().partitionId(), []
         doc_ids: list[int | None] = []
         counts: list[int] = []
         held = block = in_shard = 0
@@ -78,30 +89,34 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
             offsets, known = np.cumsum([0, *map(len, frames)]), [i for i in doc_ids if i is not None]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((shard, pa.int32()), (block, pa.int32()), (in_shard, pa.int64()), (known[0] if known else None, pa.int64()), (known[-1] if known else None, pa.int64()), (digest, pa.string()), (b"".join(frames), pa.binary()), (doc_ids, pa.list_(pa.int64())), (offsets.tolist(), pa.list_(pa.int64())), (counts, pa.list_(pa.int64())))], names=["shard", "block", "in_shard", "first_id", "last_id", "dictionary_sha256", "body", "doc_ids", "offsets", "n_tokens"])
 
-        for batch in common.slices(batches, 512):
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                ids = encoder.encode(text) + end
-                frames.append(compress(ids))
+        for batch in batches:
+            for doc_id, count, frame in zip(batch["doc_id"].to_pylist(), batch["n_tokens"].to_pylist(), batch["frame"].to_pylist(), strict=True):
+                frames.append(frame)
                 doc_ids.append(doc_id)
-                counts.append(len(ids) // 4)
-                held += len(frames[-1])
-                if held >= BLOCK_BYTES:
+                counts.append(count)
+                held += len(frame)
+                if held >= block_bytes:
                     yield closed()
                     in_shard += sum(counts)
                     frames, doc_ids, counts, held, block = [], [], [], 0, block + 1
         if frames:
             yield closed()
 
-    ordered = docs.select("doc_id", common.text_column().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(task, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    text = common.text_column()
+    frames = docs.select("doc_id", F.xxhash64(text).alias("hash"), text.alias("text")).mapInArrow(encoded, "doc_id long, hash long, number long, n_tokens long, frame binary")
+    frames = common.materialize(frames, "frames")
+    key = ["doc_id", "hash", "number"]
+    ordered = frames.repartitionByRange(*key).sortWithinPartitions(*key).select("doc_id", "n_tokens", "frame")
+    ordered.mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read_some(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
     """doc_id, start and ids of these documents only."""
     wanted = sorted(set(doc_ids))
-    near = F.lit(False)
-    for i in wanted:
-        near |= (F.col("first_id") <= i) & (F.col("last_id") >= i)
+    if not wanted:
+        return read_store(spark, path).drop("n_tokens").limit(0)
+    # the first two comparisons reach the files' statistics
+    near = (F.col("first_id") <= wanted[-1]) & (F.col("last_id") >= wanted[0]) & F.exists(F.lit(wanted).cast("array<long>"), lambda i: i.between(F.col("first_id"), F.col("last_id")))
     return _read(spark, path, lambda ids: ids, "ids binary", pa.binary(), near, frozenset(wanted)).drop("n_tokens")
 
 
@@ -114,7 +129,8 @@ def _read(spark: SparkSession, path: str, value, column: str, kind: pa.DataType,
     held = spark.read.parquet(f"{path}/dictionary").first()
     digest, dictionary = held["sha256"], bytes(held["dictionary"])
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
-    # A block knows how many ids of its shard come before it; a row per shard says how many come before the shard.
+    # A block knows how many ids of its shard come before it; a row per shard says how many come before the shard. The
+    # window over these rows is one task, whose rows are as many as the store has shards.
     ends = blocks.groupBy("shard").agg(F.max(F.col("in_shard") + F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
     earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = ends.select("shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shard_start"))

@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -7,15 +8,15 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from eventide.llm import packing, token_store
+from eventide.llm import common, packing, token_store
 from eventide.llm.encoding import TextEncoder
 
 FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 
 
 def plain(name):
+    """The library's ids for the given file, no setting changed: special tokens in a text have their own ids."""
     tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 
@@ -54,7 +55,50 @@ def test_store_of_an_empty_table(spark, docs, tmp_path):
     assert token_store.read_store(spark, f"file://{tmp_path}/none").count() == 0
 
 
-def test_packing_places_every_piece_once(spark, docs):
+def test_rows_of_one_id_lie_in_several_shards(spark, tmp_path):
+    """A null id and one id have nearly all rows, some of which are equal; blocks are small."""
+    rows = [(None if k % 3 else 5, f"some text {k % 50} " * 20) for k in range(600)] + [(9, "last"), (-1, "first")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    path = f"file://{tmp_path}/hot"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        token_store.write_store(docs, path, block_bytes=500)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    blocks = spark.read.parquet(f"{path}/blocks")
+    assert blocks.select("shard").distinct().count() > 1 and blocks.groupBy("shard").count().where("count > 1").count()
+    got = sorted(token_store.read_store(spark, path).collect(), key=lambda r: r["start"])
+    assert [-9 if r["doc_id"] is None else r["doc_id"] for r in got] == sorted(-9 if i is None else i for i, _ in rows)
+    assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1]]
+    encode = plain("word_bpe_49k.json")
+    assert Counter((r["doc_id"], r["ids"]) for r in got) == Counter((i, np.array(encode(t) + [1], "<u4").tobytes()) for i, t in rows)
+    assert token_store.read_some(spark, path, []).count() == 0 and token_store.read_some(spark, path, [9, -1, 77]).count() == 2
+
+
+def test_whole_tables_by_the_library(spark):
+    """op2 and op10 against one call of the library for each document."""
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    encode, expected, start = plain("word_bpe_49k.json"), {}, 0
+    for i in sorted(texts):
+        ids = np.array(encode(texts[i]) + [1], "<u4")
+        expected[i] = (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_store.op2_token_id_output(spark, sf).collect()} == expected
+    encode, expected = plain("byte_bpe_50k.json"), set()
+    for i, text in texts.items():
+        ids = np.array(encode(text) + [2], "<u4")
+        bounds = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]
+        expected |= {(i, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(bounds, bounds[1:]))}
+    got = packing.op10_best_fit_packing(spark, sf).collect()
+    assert len(got) == len(expected) and {(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got} == expected
+    used = check_sequences([(r["sequence_id"], r["offset"], r["length"]) for r in got])
+    assert used <= 1.02 * sum(r["length"] for r in got) / 1024 + 2
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_packing_places_every_piece_once(spark, docs, monkeypatch, most):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", most)
     got = packing.pack(docs).collect()
     encode = plain("byte_bpe_50k.json")
     expected = []
@@ -101,15 +145,9 @@ def test_near_the_least_number_of_sequences():
     assert sum(count for _, count in packing.plan_patterns(histogram, 1024)) <= 1.02 * least
 
 
-def by_default(name):
-    """The library's ids for the given file, no setting changed: special tokens in a text have their own ids."""
-    tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
-
-
 @pytest.mark.parametrize("name", FILES)
 def test_special_tokens_in_texts_keep_their_ids(name):
-    encoder, whole = TextEncoder(public_tokenizers.path(name), cached_words=50), by_default(name)
+    encoder, whole = TextEncoder(public_tokenizers.path(name), cached_words=50), plain(name)
     assert np.frombuffer(encoder.encode("one <|endoftext|> two"), "<u4").tolist() == {"byte_bpe_50k.json": [505, 220, 50256, 734], "word_bpe_49k.json": [637, 49407, 1237]}[name]
 
     @settings(max_examples=400, deadline=None)
@@ -125,7 +163,7 @@ def test_stored_and_packed_special_tokens(spark, tmp_path):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     token_store.write_store(docs, f"file://{tmp_path}/store")
     stored = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in token_store.read_store(spark, f"file://{tmp_path}/store").collect()}
-    assert stored == {i: by_default("word_bpe_49k.json")(text) + [1] for i, text in enumerate(texts)}
+    assert stored == {i: plain("word_bpe_49k.json")(text) + [1] for i, text in enumerate(texts)}
     packed = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in packing.pack(docs).collect()}
-    whole = {i: np.array(by_default("byte_bpe_50k.json")(text) + [2], "<u4") for i, text in enumerate(texts)}
+    whole = {i: np.array(plain("byte_bpe_50k.json")(text) + [2], "<u4") for i, text in enumerate(texts)}
     assert packed == {i: (len(ids), zlib.crc32(ids.tobytes())) for i, ids in whole.items()}
