@@ -5,7 +5,8 @@ to a file of its own and, beside it, the members' byte offsets; the commit lists
 successful tasks in a manifest, so what a lost task left behind is never read. A read plans byte ranges
 over the files: a partition streams the members that begin in its range, as Arrow batches of bounded
 size. A member that comes short or does not match its checksum is read again by its offset, on its own, a few
-times; then the read fails. Files are reached through pyarrow's file systems.
+times; then the read fails. An overwriting commit deletes the manifests before it, so their files are no longer read. Files
+are reached through pyarrow's file systems.
 
 The images are greyscale PNG files of 8-bit samples, 192 to a row. A text's payload is its UTF-8 bytes, padded
 with blanks to full rows; the number of bytes before padding stands in a text chunk.
@@ -33,20 +34,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from ..sources import files
 from . import common
 
 WIDTH = 192
 HEADER = struct.Struct("<4s?qQI")  # mark, whether there is an id, id, bytes, CRC-32
 MARK = b"MEDM"
 SPLIT_BYTES, BATCH_BYTES, TRIES = 16 << 20, 4 << 20, 4
+#: Offsets of an index file that are read at once.
+INDEX_ROWS = 8192
 SCHEMA = "doc_id long, media binary"
 ARROW = pa.schema([("doc_id", pa.int64()), ("media", pa.binary())])
 
 
-def _place(path: str) -> tuple[FileSystem, str]:
-    return FileSystem.from_uri(path if "://" in path or path.startswith("/") else f"file://{path}")
-
-
 @dataclass
 class Written(WriterCommitMessage):
     files: list[tuple[str, int]]
@@ -72,18 +72,18 @@ class MediaArchive(DataSource):
         return SCHEMA
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return ArchiveWriter(self.options["path"])
+        return ArchiveWriter(self.options["path"], overwrite)
 
     def reader(self, schema) -> DataSourceReader:
         return ArchiveReader(self.options["path"], int(self.options.get("split_bytes", SPLIT_BYTES)))
 
 
 class ArchiveWriter(DataSourceArrowWriter):
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, path: str, overwrite: bool = False) -> None:
+        self.path, self.overwrite = path, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        fs, root = _place(self.path)
+        fs, root = files.place(self.path)
         fs.create_dir(root, recursive=True)
         name, offsets, at = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", [], 0
         with fs.open_output_stream(f"{root}/{name}.arc") as out:
@@ -99,46 +99,64 @@ class ArchiveWriter(DataSourceArrowWriter):
         return Written([(name, at)] if offsets else [])
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        fs, root = _place(self.path)
+        fs, root = files.place(self.path)
         fs.create_dir(root, recursive=True)
+        before = manifests(fs, root)
         with fs.open_output_stream(f"{root}/manifest-{uuid.uuid4().hex}.json") as out:
             out.write(json.dumps([f for m in messages if m for f in m.files]).encode())
+        if self.overwrite:
+            for path in before:
+                fs.delete_file(path)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         """Files that no manifest lists are never read."""
 
 
+def manifests(fs: FileSystem, root: str) -> list[str]:
+    return sorted(i.path for i in fs.get_file_info(FileSelector(root)) if i.base_name.startswith("manifest-"))
+
+
+def offsets_between(fs: FileSystem, path: str, start: int, stop: int) -> np.ndarray:
+    """The offsets of an index file from start on and before stop. Of a long file only a part is read, found by halving."""
+    with fs.open_input_file(path) as index:
+        n = index.size() // 8
+
+        def first_from(bound: int) -> int:
+            low, high = 0, n
+            while high - low > INDEX_ROWS:
+                middle = (low + high) // 2
+                index.seek(8 * middle)
+                low, high = (middle + 1, high) if np.frombuffer(index.read(8), "<i8")[0] < bound else (low, middle)
+            index.seek(8 * low)
+            return low + int(np.searchsorted(np.frombuffer(index.read(8 * (high - low)), "<i8"), bound))
+
+        a, b = first_from(start), first_from(stop)
+        index.seek(8 * a)
+        return np.frombuffer(index.read(8 * (b - a)), "<i8")
+
+
 class ArchiveReader(DataSourceReader):
     def __init__(self, path: str, split_bytes: int) -> None:
         self.path, self.split_bytes = path, split_bytes
 
     def partitions(self) -> list[InputPartition]:
-        fs, root = _place(self.path)
-        listed = sorted(i.path for i in fs.get_file_info(FileSelector(root)) if i.base_name.startswith("manifest-"))
-        files = [f for path in listed for f in json.loads(fs.open_input_stream(path).read())]
-        ranges = [Range(name, start, start + self.split_bytes) for name, size in files for start in range(0, size, self.split_bytes)]
+        fs, root = files.place(self.path)
+        listed: list[tuple[str, int]] = []
+        for path in manifests(fs, root):
+            with fs.open_input_stream(path) as stream:
+                listed += json.loads(stream.read())
+        ranges = [Range(name, start, start + self.split_bytes) for name, size in listed for start in range(0, size, self.split_bytes)]
         return ranges or [Range("", 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         if not partition.name:
             return
-        fs, root = _place(self.path)
-        offsets = np.frombuffer(fs.open_input_stream(f"{root}/{partition.name}.idx").read(), "<i8")
-        mine = offsets[np.searchsorted(offsets, partition.start) : np.searchsorted(offsets, partition.stop)]
-        path = f"{root}/{partition.name}.arc"
+        fs, root = files.place(self.path)
+        mine = offsets_between(fs, f"{root}/{partition.name}.idx", partition.start, partition.stop)
         ids: list[int | None] = []
         media: list[bytes] = []
         held = 0
-        stream = fs.open_input_file(path)
-        if len(mine):
-            stream.seek(int(mine[0]))
-        for offset in mine.tolist():
-            try:
-                doc_id, body = read_member(stream)
-            except (OSError, ValueError):
-                doc_id, body = retry_member(fs, path, offset)
-                stream = fs.open_input_file(path)
-                stream.seek(offset + HEADER.size + len(body))
+        for doc_id, body in members(fs, f"{root}/{partition.name}.arc", mine.tolist()):
             ids.append(doc_id)
             media.append(body)
             held += len(body)
@@ -149,6 +167,24 @@ class ArchiveReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(media, pa.binary())], schema=ARROW)
 
 
+def members(fs: FileSystem, path: str, offsets: list[int]) -> Iterator[tuple[int | None, bytes]]:
+    """The members at these neighbouring offsets, as a stream that is opened again after a member that had to be retried."""
+    done = 0
+    while done < len(offsets):
+        with fs.open_input_file(path) as stream:
+            stream.seek(offsets[done])
+            while done < len(offsets):
+                try:
+                    found = read_member(stream)
+                except (OSError, ValueError):
+                    break
+                yield found
+                done += 1
+        if done < len(offsets):
+            yield retry_member(fs, path, offsets[done])
+            done += 1
+
+
 def read_member(stream) -> tuple[int | None, bytes]:
     """The member at the stream's place; raises ValueError if it is not whole."""
     head = stream.read(HEADER.size)

@@ -5,13 +5,14 @@ one feature at a time, round after round, adds up a lookup table per feature; th
 most of what is left get a table over two features' bins. A score is the logistic of a sum of table
 entries, added up for whole batches at once.
 
-The model is fitted on at most ``TRAIN_ROWS`` labelled rows, chosen by a hash of their id; everything
-else covers all rows. Features are computed once for each text, written, and used for both.
+The model is fitted on about ``TRAIN_ROWS`` labelled rows, twice as many at most, chosen by hashes, equal ones once;
+everything else covers all rows. Features are computed once for each text, written, and used for both.
 
 Defined cases: a null or empty text has features of its own (all zero) and gets a score; rows with a
 null label, with a label but no document, or with several labels that disagree count as they are; a
 null doc_id gets a score but no label; with no labelled row at all every score is 0.5; columns that
-are not named here are not looked at; repeated rows get equal scores.
+are not named here are not looked at; repeated rows get equal scores; texts of any length count whole; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -187,7 +188,8 @@ def training_labels(labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFram
 
 def fit_on(table: DataFrame, chosen: DataFrame) -> AdditiveModel:
     """Fit on the rows of a feature table that have a training label."""
-    rows = table.join(common.sized(chosen), "doc_id").select("doc_id", "features", "quality").limit(2 * TRAIN_ROWS).toPandas().sort_values(["doc_id", "quality"])
+    rows = table.join(common.sized(chosen), "doc_id").select("doc_id", "features", "quality").distinct()
+    rows = rows.orderBy(F.xxhash64("doc_id", "features", "quality"), "doc_id", "quality").limit(2 * TRAIN_ROWS).toPandas()
     x = np.array(rows["features"].tolist(), float).reshape(len(rows), len(FEATURES))
     return fit(x, rows["quality"].to_numpy().astype(float))
 
