@@ -4,10 +4,12 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from eventide.llm import common, language, neardup, quality, secrets
+from eventide.sources import files
 from tests.llm.test_neardup import by_hand
 from tests.llm.test_tokens import check_sequences
 
@@ -24,7 +26,10 @@ def redacted(text):
     return out + text[at:]
 
 
-def test_stages_against_brute_force(spark):
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_stages_against_brute_force(spark, monkeypatch, most):
+    """Also with joins that shuffle."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", most)
     docs = common.documents(spark, SF)
     states = [docs]
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -35,7 +40,9 @@ def test_stages_against_brute_force(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     good = {r["doc_id"] for r in quality.score(docs, labels).where("predicted = 1").collect()}
     assert len(good ^ set(rows[1])) <= 2  # the fit sees the same rows, bins apart
-    assert set(rows[2]) == {r["doc_id"] for r in language.identify(states[1]).where("lang_pred <> 'und'").collect()}
+    model = language.train(states[1], floors=True)
+    found, cosines, classes = model.predict([r["text"] for r in rows[1].values()])
+    assert set(rows[2]) == {i for i, x, y, k in zip(rows[1], found, cosines, classes) if x != "und" and y >= language.FLOOR * model.floors.get(k, 0)}
     assert len(rows[2]) >= 0.98 * len(rows[1])
     groups = by_hand([(i, r["text"]) for i, r in rows[2].items()])
     assert set(rows[3]) == {c for _, _, c in groups}
@@ -58,7 +65,11 @@ def test_run_and_odd_rows(spark, docs, tmp_path):
     path = f"file://{tmp_path}"
     clean.write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(1, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
-    assert corpus_pipeline.run(spark, path).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    before = set(files.names_in(files.shared_dir(spark)))
+    out = corpus_pipeline.run(spark, path)
+    (left,) = set(files.names_in(files.shared_dir(spark))) - before
+    assert left.startswith("eventide-best_fit_packing") and out.count() >= 0
+    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     spark.read.parquet(f"{path}/documents.parquet").limit(0).write.parquet(f"{path}/none/documents.parquet")
     spark.read.parquet(f"{path}/labels.parquet").limit(0).write.parquet(f"{path}/none/labels.parquet")
     assert corpus_pipeline.run(spark, f"{path}/none").count() == 0
