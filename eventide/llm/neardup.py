@@ -296,3 +296,15 @@ def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_similar(common.documents(spark, sf_dir))
+
+
+ORACLE = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT DISTINCT r, unnest(list_transform(range(greatest(len(w) - {WORDS - 1}, least(len(w), 1))), lambda i: array_to_string(w[i + 1 : i + {WORDS}], ' '))) AS gram FROM d),
+k AS (SELECT r, count(*) AS k FROM g GROUP BY r),
+c AS (SELECT a.r AS x, b.r AS y, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.r <> b.r GROUP BY 1, 2),
+l AS (SELECT x, y FROM c JOIN k p ON p.r = x JOIN k q ON q.r = y WHERE shared >= {THRESHOLD} * (p.k + q.k - shared) - 1e-6),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY x),
+reach(x, y) AS (SELECT r, r FROM d UNION SELECT reach.x, l.y FROM reach JOIN l ON l.x = reach.y),
+m AS (SELECT x, min(doc_id) AS component_id FROM reach JOIN d ON r = y GROUP BY x)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM d JOIN m ON m.x = d.r LEFT JOIN n ON n.x = d.r"""

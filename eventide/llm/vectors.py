@@ -15,10 +15,14 @@ A cell's members and its visitors are cut into blocks, and two blocks at a time
 returns counts and a spanning forest, not pairs. A link that both of its vectors find counts once: a visitor
 counts its own finds, and the member's side is counted only if the member does not visit the visitor's cell.
 
-Codebooks come from at most ``SAMPLE`` vectors chosen by a hash; every vector is indexed.
+Codebooks come from a sample of vectors chosen by a hash, about ``SAMPLE`` or ``PER_WORD`` for each codeword, twice as many at
+most; every vector is indexed. Cells hold about ``PER_CELL`` vectors up to the grid of ``MOST_WORDS`` words a half (268 million
+vectors); beyond, they grow with the table. N different vectors that are all alike are N * N / 2 links, each of which is verified,
+and each of them is sent to about N / ``MEMBERS`` tasks.
 
 Defined cases: a vector that is null, empty, zero or holds a null or non-finite component links with nothing and keeps
 its own id; equal vectors are linked with each other and handled as one; vectors of different lengths do not link;
+vectors of one component link if their signs agree; a cosine of just the threshold links; an empty table gives an empty result;
 rows that share a vec_id are separate vectors; a null vec_id is the smallest of its group only if there is no
 other; labels and other columns are not looked at. Vectors are told apart by xxHash64.
 """
@@ -38,7 +42,7 @@ from . import common
 from .components import connected_components
 
 THRESHOLD, RECALL = 0.95, 0.99
-SAMPLE, QUERIES, PER_CELL, MOST_WORDS = 20_000, 400, 64, 512
+SAMPLE, PER_WORD, QUERIES, PER_CELL, MOST_WORDS = 20_000, 32, 400, 64, 2048
 #: Queries with links outside large groups after which no more are asked, queries at most, and bands of the cosine from the threshold to 1.
 ENOUGH, MOST_QUERIES, BANDS = 100, 6400, 5
 MEMBERS, VISITORS = 1024, 2048
@@ -108,12 +112,14 @@ def usable(column: str):
 
 def build(distinct: DataFrame, total: int, threshold: float, recall: float) -> MultiIndex:
     """Codebooks from a sample, and the slack that reaches the recall for queries against all vectors."""
-    share = max(1, -(-total // SAMPLE))
-    rows = distinct.where(F.pmod(F.xxhash64("nid"), F.lit(share)) == 0).orderBy("nid").limit(2 * SAMPLE).select("vector").toArrow().combine_chunks()
+    size = int(np.clip(np.sqrt(total / PER_CELL), 1, MOST_WORDS))
+    sample = max(SAMPLE, PER_WORD * size)
+    share = max(1, -(-total // sample))
+    rows = distinct.where(F.pmod(F.xxhash64("nid"), F.lit(share)) == 0).orderBy("nid").limit(2 * sample).select("vector").toArrow().combine_chunks()
     x = unit(rows.to_batches()[0]) if rows.num_rows else np.zeros((0, 1))
     if not len(x):
         x = unit(distinct.limit(1000).select("vector").toArrow().combine_chunks().to_batches()[0])
-    size, half = int(np.clip(np.sqrt(total / PER_CELL), 1, MOST_WORDS)), x.shape[1] // 2
+    half = x.shape[1] // 2
     index = MultiIndex(codebook(x[:, :half], size), codebook(x[:, half:], size))
     order, asked = np.random.default_rng(4).permutation(len(x))[:MOST_QUERIES], 0
     needed: dict[tuple[int, int], np.ndarray] = {}
@@ -223,28 +229,11 @@ def met(groups: DataFrame, index: MultiIndex, threshold: float) -> DataFrame:
         return [ids[linked], np.concatenate([n_x, n_y])[linked], ids[label[linked]]]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, parts = None, []
-
-        def made(group: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            whole = pa.Table.from_batches(group).combine_chunks().to_batches()[0]
-            found = links(key[0], *[whole[c].to_numpy(zero_copy_only=False) for c in ("role", "nid", "copies")], unit(whole))
+        for (cell, _, _), whole in common.groups(batches, names):
+            found = links(cell, *[whole[c].to_numpy(zero_copy_only=False) for c in ("role", "nid", "copies")], unit(whole))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["nid", "links", "leader"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([batch[c].to_numpy() for c in ("cell", "block", "turn")], 1)
-            bounds = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(bounds, bounds[1:], strict=False):
-                if tuple(keys[a]) != key:
-                    if parts:
-                        yield from made(parts)
-                    key, parts = tuple(keys[a]), []
-                parts.append(batch.slice(a, b - a))
-        if parts:
-            yield from made(parts)
-
     names = ["cell", "block", "turn"]
     return groups.repartition(*names).sortWithinPartitions(*names).mapInArrow(task, "nid long, links long, leader long")
 
@@ -265,7 +254,9 @@ def found_links(distinct: DataFrame, threshold: float, recall: float, members: i
 
 def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, members: int = MEMBERS, visitors: int = VISITORS) -> DataFrame:
     """Per vector: vec_id, n_links, component_id, kept."""
-    rows = table.select("vec_id", F.when(usable("embedding"), F.col("embedding")).alias("vector"))
+    kind = table.schema["embedding"].dataType
+    direction = F.when(F.size("embedding") == 1, F.transform("embedding", F.signum).cast(kind)).otherwise(F.col("embedding"))
+    rows = table.select("vec_id", F.when(usable("embedding"), direction).alias("vector"))
     rows = rows.withColumn("nid", F.xxhash64("vector", F.size("vector")))
     distinct = common.materialize(rows.where("vector IS NOT NULL").groupBy("nid").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector")), "distinct")
     links = None
@@ -287,3 +278,13 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, recall: floa
 
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+ORACLE = f"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+u AS MATERIALIZED (SELECT r, vec_id, e FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.r AS x, b.r AS y FROM u a JOIN u b ON a.r <> b.r AND len(a.e) = len(b.e) WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) END >= {THRESHOLD}),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY x),
+reach(x, y) AS (SELECT r, r FROM v UNION SELECT reach.x, l.y FROM reach JOIN l ON l.x = reach.y),
+m AS (SELECT x, min(vec_id) AS component_id FROM reach JOIN v ON r = y GROUP BY x)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN m ON m.x = v.r LEFT JOIN n ON n.x = v.r"""

@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -118,6 +119,14 @@ def test_whole_table_by_brute_force(spark):
     assert Counter((r["doc_id"], r["n_links"], r["component_id"]) for r in got) == by_hand([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
+def test_a_whole_table_by_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    expected = con.execute(neardup.ORACLE).fetchall()
+    assert sorted(map(tuple, neardup.op6_ngram_jaccard_join(spark, sf).collect())) == sorted(expected) and any(r[1] for r in expected)
+
+
 def test_bands_reach_the_recall():
     bands, rows = neardup.plan_bands()
     assert bands * rows <= 128 and 1 - (1 - 0.8**rows) ** bands >= 0.9999
