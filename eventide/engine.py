@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import glob
 import gzip
 import json
+import os
 import re
+import tempfile
 import time
 from collections import Counter
 from dataclasses import dataclass
@@ -19,8 +22,14 @@ from .sources import files
 from .sources.schema import TIME
 from .sources.store import EventStore
 
-#: Literals and comments, in which $events is only text, and the token itself.
-_TOKEN = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/|(?P<events>\$events\b)", re.S)
+# Functions that have another name in Spark SQL.
+SPELLINGS = {"arg_max": "max_by", "arg_min": "min_by", "quantile_cont": "percentile", "list": "collect_list", "epoch": "unix_seconds", "epoch_ms": "unix_millis", "epoch_us": "unix_micros", "regexp_matches": "regexp_like", "starts_with": "startswith", "ends_with": "endswith", "len": "length", "list_contains": "array_contains", "list_sort": "array_sort", "list_distinct": "array_distinct", "strpos": "instr"}
+#: Literals and comments, in which $events is only text, the token itself, and the words that are spelt in another way.
+_TOKEN = re.compile(
+    r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/|(?P<events>\$events\b)"
+    r"|\btime_bucket\s*\(\s*INTERVAL\s+'?(?P<n>\d+)\s*(?P<unit>month|year)s?'?\s*,|\b(?P<zoned>TIMESTAMPTZ)(?=\s*')|\b(?P<name>" + "|".join(SPELLINGS) + r")(?=\s*\()",
+    re.S | re.I,
+)
 VIEW = "window_events"
 JSON = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
@@ -37,9 +46,44 @@ class QueryResult:
     total_files_size_bytes: int
 
 
+class TooManyRows(ValueError):
+    """The answer is larger than one response may be."""
+
+
+#: Rows of an answer; larger results are for ``export_files``.
+MOST_ROWS = 100_000
+
+
 def with_view(sql: str) -> str:
-    """The text with each $events token replaced by the view's name."""
-    return _TOKEN.sub(lambda m: VIEW if m["events"] else m[0], sql).strip().rstrip(";").rstrip()
+    """The text with each $events token replaced by the view's name, and with Spark's names of functions."""
+
+    def spelt(m: re.Match) -> str:
+        if m["n"]:
+            return f"month_bucket({int(m['n']) * (12 if m['unit'].lower() == 'year' else 1)},"
+        return VIEW if m["events"] else "TIMESTAMP" if m["zoned"] else SPELLINGS[m["name"].lower()] if m["name"] else m[0]
+
+    return _TOKEN.sub(spelt, sql).strip().rstrip(";").rstrip()
+
+
+def checked(df: DataFrame) -> DataFrame:
+    """The frame, if its plan reads nothing but the view and calls no Java method by name. Nothing has been run by then."""
+
+    def walk(node: Any) -> None:
+        if isinstance(node, list):
+            for x in node:
+                walk(x)
+        elif isinstance(node, dict):
+            kind = str(node.get("class", "")).rpartition(".")[2]
+            if kind == "CallMethodViaReflection":
+                raise NotAQuery("functions that call Java methods are refused")
+            # a view or table of the catalogue stands under an alias that names its database
+            if kind == "SubqueryAlias" and node["identifier"].get("qualifier") not in (None, "[]", []) or kind in ("DataSourceV2Relation", "HiveTableRelation"):
+                raise NotAQuery("only $events can be read")
+            for x in node.values():
+                walk(x)
+
+    walk(json.loads(df._jdf.queryExecution().analyzed().toJSON()))
+    return df
 
 
 def json_rows(df: DataFrame) -> DataFrame:
@@ -58,22 +102,26 @@ class Engine:
         """The query's result, lazily, and the segments it reads.
 
         The session of the request has one view and opens no files by name. Only what can stand in
-        parentheses as a subquery is run, so commands are refused before they run.
+        parentheses as a subquery is run, so commands are refused before they run; so are plans that read catalogue
+        tables or call Java methods.
         """
         session = request_session(self.spark)
         events, segments = self.store.events(start, end, session)
         events.createOrReplaceTempView(VIEW)
         text = with_view(sql)
         try:
-            session.sql(f"SELECT * FROM (\n{text}\n) LIMIT 0")
+            checked(session.sql(f"SELECT * FROM (\n{text}\n) LIMIT 0"))
         except Exception as error:
             raise NotAQuery(str(error)) from error
         return session.sql(text), segments
 
-    def query(self, sql: str, start: datetime, end: datetime) -> QueryResult:
+    def query(self, sql: str, start: datetime, end: datetime, most_rows: int = MOST_ROWS) -> QueryResult:
+        """The whole answer; TooManyRows if it has more than most_rows, as it is gathered in the driver."""
         frame, segments = self.frame(sql, start, end)
         began = time.monotonic()
-        rows = [json.loads(r["value"]) for r in json_rows(frame).collect()]
+        rows = [json.loads(r["value"]) for r in json_rows(frame).limit(most_rows + 1).collect()]
+        if len(rows) > most_rows:
+            raise TooManyRows(f"the answer has more than {most_rows} rows; add a LIMIT or export it")
         took = round((time.monotonic() - began) * 1000)
         return QueryResult(rows, took, [{"path": self.store.path(s.id), "size": s.bytes} for s in segments], sum(s.bytes for s in segments))
 
@@ -81,12 +129,12 @@ class Engine:
         """The window's events by time; where is one SQL expression."""
         session = request_session(self.spark)
         events, _ = self.store.events(start, end, session)
-        return (events.where(where) if where.strip() else events).orderBy(TIME)
+        return (checked(events.where(where)) if where.strip() else events).orderBy(TIME)
 
     def export(self, target: str | BinaryIO, start: datetime, end: datetime, where: str = "") -> int:
         """Write the window's events to one gzipped file or stream, a JSON object a line. Gives the number of rows.
 
-        The driver holds a partition at a time.
+        All rows pass through the driver, which holds a partition at a time: for large windows, use ``export_files``.
         """
         return self.write_rows(target, json_rows(self.ordered(start, end, where)))
 
@@ -120,8 +168,30 @@ class Engine:
             "segments": len(manifest.segments),
             "rows": dict(tiers),
             "batches": manifest.batches,
+            "memory": self.memory(),
+            "temporary_files": temporary_files(self.spark),
             "active_jobs": len(tracker.getActiveJobsIds()),
             "active_streams": [q.name for q in self.spark.streams.active],
             "tables_cached": [t.name for t in self.spark.catalog.listTables() if self.spark.catalog.isCached(t.name)],
             "errors": errors,
         }
+
+    def memory(self) -> list[dict[str, Any]]:
+        """Bytes of storage memory of the driver and each executor."""
+        held = self.spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(self.spark.sparkContext._jsc.sc().getExecutorMemoryStatus())
+        return [{"host": host, "most": held[host]._1(), "free": held[host]._2()} for host in held]
+
+
+def temporary_files(spark: SparkSession) -> dict[str, int]:
+    """Number and bytes of the files that Spark keeps in this machine's local folders."""
+    count = size = 0
+    for root in spark.sparkContext.getConf().get("spark.local.dir", tempfile.gettempdir()).split(","):
+        for folder in {*glob.glob(f"{glob.escape(root)}/blockmgr-*"), *glob.glob(f"{glob.escape(root)}/*/blockmgr-*")}:
+            for at, _, names in os.walk(folder):
+                for name in names:
+                    try:
+                        size += os.path.getsize(os.path.join(at, name))
+                        count += 1
+                    except OSError:  # it has gone meanwhile
+                        pass
+    return {"files": count, "bytes": size}

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import os
+from collections.abc import Iterable, Mapping
 
+from ..sources import files
 from ..sources.schema import EVENT_SCHEMA, TIME
-from ..sources.store import ARCHIVE, HOT, EventStore, Segment
+from ..sources.store import ARCHIVE, GRACE, HOT, EventStore, Segment
 
 ARCHIVE_ROWS = 122_880
 COMPACT_BYTES = 128 << 20
 LIMIT_BYTES = 10 << 30
 
 
+def limit_bytes(environ: Mapping[str, str] = os.environ) -> int:
+    """The store's limit, from STORAGE_LIMIT_GB where that is set."""
+    return int(float(environ["STORAGE_LIMIT_GB"]) * (1 << 30)) if environ.get("STORAGE_LIMIT_GB") else LIMIT_BYTES
+
+
 def _by_time(segments: Iterable[Segment]) -> list[Segment]:
     return sorted(segments, key=lambda s: (s.min_us is not None, s.min_us or 0, s.id))
 
@@ -56,8 +63,11 @@ def merge(store: EventStore, segments: list[Segment]) -> Segment | None:
     rows = store.spark.read.schema(EVENT_SCHEMA).parquet(*[store.path(s.id) for s in segments])
     parts = max(1, -(-sum(s.bytes for s in segments) // COMPACT_BYTES))
     merged = store.write_segment(rows.repartitionByRange(parts, TIME).sortWithinPartitions(TIME), ARCHIVE)
-    store.replace_segments(segments, merged)
-    return merged
+    if store.replace_segments(segments, merged):
+        return merged
+    if merged:  # another process has merged or dropped one of them
+        files.delete_dir(store.path(merged.id))
+    return None
 
 
 def archive(store: EventStore, threshold: int = ARCHIVE_ROWS) -> Segment | None:
@@ -67,22 +77,19 @@ def archive(store: EventStore, threshold: int = ARCHIVE_ROWS) -> Segment | None:
 
 def retain(store: EventStore, limit: int = LIMIT_BYTES) -> int:
     gone = plan_retention(store.manifest().segments, limit)
-    if gone:
-        store.replace_segments(gone, None)
-    return len(gone)
+    return len(gone) if gone and store.replace_segments(gone, None) else 0
 
 
 def compact(store: EventStore, target: int = COMPACT_BYTES) -> int:
-    plans = plan_compaction(store.manifest().segments, target)
-    for plan in plans:
-        merge(store, plan)
-    return len(plans)
+    return sum(merge(store, plan) is not None for plan in plan_compaction(store.manifest().segments, target))
 
 
-def tick(store: EventStore, limit: int = LIMIT_BYTES, vacuum: bool = True) -> None:
-    """What is due each minute: archive, then retention, then compaction."""
+def tick(store: EventStore, limit: int | None = None, grace: float = GRACE) -> None:
+    """What is due each minute: archive, then retention, then compaction, then the files whose time of grace is over.
+
+    It may run beside appends and queries.
+    """
     archive(store)
-    retain(store, limit)
+    retain(store, limit_bytes() if limit is None else limit)
     compact(store)
-    if vacuum:
-        store.vacuum()
+    store.vacuum(grace)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.summary import percentage, short_count
 from ..functions.time_bucket import time_bucket
 from ..operators import predicates as P
 from ..operators.asof import asof_join
@@ -18,7 +19,7 @@ from ..session import request_session
 from ..sources.bridge import BRIDGE_SQL, bridged
 from ..sources.files import new_path
 from ..sources.schema import conform
-from ..sources.store import EventStore
+from ..sources.store import ARCHIVE, EventStore, NoDataSources
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -155,6 +156,11 @@ on_events(
     ", c AS (SELECT ns AS namespace, count(*) AS n FROM e GROUP BY 1) SELECT namespace, n AS \"count\", n / max(n) OVER () AS ratio, CASE WHEN n / max(n) OVER () > 0.8 THEN 'error' WHEN n / max(n) OVER () > 0.5 THEN 'warning' ELSE 'info' END AS severity FROM c",
     lambda e: share_of_largest(counted(e, NS, "namespace")),
 )
+on_events(
+    "metric_card_texts",
+    "SELECT ns AS namespace, CASE WHEN count(*) >= 1000000 THEN printf('%.1fM', count(*) / 1e6) WHEN count(*) >= 1000 THEN printf('%.1fK', count(*) / 1000) ELSE CAST(count(*) AS VARCHAR) END AS total, printf('%.1f%%', count(*) FILTER (WHERE type = 'Warning') * 100.0 / count(*)) AS warnings FROM e GROUP BY 1",
+    lambda e: e.groupBy(F.col(NS).alias("namespace")).agg(short_count(F.count("*")).alias("total"), percentage(F.count_if(P.warning()), F.count("*")).alias("warnings")),
+)
 on_events(
     "reason_severity",
     "SELECT CASE WHEN contains(reason, 'Failed') OR contains(reason, 'Error') THEN 'error' WHEN contains(reason, 'Unhealthy') OR contains(reason, 'Warning') OR contains(reason, 'OutOf') THEN 'warning' ELSE 'info' END AS severity, count(*) AS n FROM e GROUP BY 1",
@@ -177,14 +183,6 @@ on_events("agent_oom_counts", group_sql("reason", "reason", "reason IN ('SystemO
 
 # --- the store --------------------------------------------------------------------------------
 
-on_events("archive_bounds", "SELECT min(ts) AS min_ts, max(ts) AS max_ts FROM e", lambda e: e.agg(F.min(TIME).alias("min_ts"), F.max(TIME).alias("max_ts")))
-on_events("archive_row_count", "SELECT count(*) AS n FROM e", lambda e: e.agg(count_as("n")))
-on_events(
-    "range_inclusive",
-    ", b AS (SELECT min(ts) AS low, max(ts) AS high FROM e) SELECT count(*) AS n FROM e, b WHERE ts BETWEEN low AND high",
-    lambda e: e.join(e.agg(F.min(TIME).alias("low"), F.max(TIME).alias("high")), F.col(TIME).between(F.col("low"), F.col("high"))).agg(count_as("n")),
-)
-on_events("range_empty", "SELECT count(*) AS n FROM e WHERE ts > TIMESTAMP '2030-01-01 00:00:00'", lambda e: e.where(F.col(TIME) > F.lit("2030-01-01").cast("timestamp_ntz")).agg(count_as("n")))
 on_events(
     "union_by_name",
     "SELECT rv AS resource_version, CASE WHEN type = 'Warning' THEN reason END AS reason, type FROM e",
@@ -197,13 +195,16 @@ on_events(
 )
 
 
+def native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bridged events with the schema of the store."""
+    return conform(bridged(spark, sf_dir).withColumns({c: F.col(c).cast("timestamp") for c in ("firstTimestamp", TIME)}))
+
+
 def loaded_store(spark: SparkSession, sf_dir: str, parts: int = 3) -> EventStore:
     """All events as hot segments, each sent twice: the second time nothing is new."""
-    store = EventStore(spark, new_path(spark, "store"))
-    events = bridged(spark, sf_dir)
-    native = conform(events.withColumns({c: F.col(c).cast("timestamp") for c in ("firstTimestamp", TIME)}))
+    store, events = EventStore(spark, new_path(spark, "store")), native(spark, sf_dir)
     for part in range(parts):
-        rows = native.where(F.pmod(F.xxhash64(RV), F.lit(parts)) == part)
+        rows = events.where(F.pmod(F.xxhash64(RV), F.lit(parts)) == part)
         for again in (0, 1):
             store.append(rows, "load", 2 * part + again)
     return store
@@ -212,8 +213,92 @@ def loaded_store(spark: SparkSession, sf_dir: str, parts: int = 3) -> EventStore
 STORED_SQL = f"WITH {BRIDGE_SQL} SELECT {FLAT_SQL} FROM e"
 
 
-def stored(store: EventStore) -> DataFrame:
-    return flat(store.events(START, END)[0]).withColumn("last_timestamp", F.col("last_timestamp").cast("timestamp_ntz"))
+def stored(store: EventStore, start: datetime = START, end: datetime = END) -> DataFrame:
+    return flat(store.events(start, end)[0]).withColumn("last_timestamp", F.col("last_timestamp").cast("timestamp_ntz"))
+
+
+#: A part of the time, which some segments lie outside of.
+WINDOW = datetime(2024, 1, 5), datetime(2024, 1, 12)
+WINDOW_SQL = f"{STORED_SQL} WHERE ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-12 00:00:00'"
+
+
+def weekly_store(spark: SparkSession, sf_dir: str, archived: bool = False) -> EventStore:
+    """A segment for each week of the month."""
+    store, events = EventStore(spark, new_path(spark, "store")), native(spark, sf_dir)
+    for week in range(5):
+        store.append(events.where(F.floor((F.dayofmonth(TIME) - 1) / 7) == week), "weeks", week)
+        if archived:
+            archive(store, threshold=0)
+    return store
+
+
+@query("window_hot", WINDOW_SQL)
+def window_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(weekly_store(spark, sf_dir), *WINDOW)
+
+
+@query("window_archived", WINDOW_SQL)
+def window_archived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(weekly_store(spark, sf_dir, archived=True), *WINDOW)
+
+
+@query("window_compacted", WINDOW_SQL)
+def window_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = weekly_store(spark, sf_dir, archived=True)
+    compact(store)
+    return stored(store, *WINDOW)
+
+
+@query("window_late_events", WINDOW_SQL)
+def window_late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A namespace's events come when all others are archived; they lie in the hot part, before the newest archived event."""
+    store, events = EventStore(spark, new_path(spark, "store")), native(spark, sf_dir)
+    store.append(events.where(f"{NS} <> 'ns-1'"))
+    archive(store, threshold=0)
+    store.append(events.where(f"{NS} = 'ns-1'"))
+    return stored(store, *WINDOW)
+
+
+@query("window_timeline", f"WITH {BRIDGE_SQL} SELECT time_bucket(INTERVAL '6 hours', ts) AS bucket, type, count(*) AS \"count\" FROM e WHERE ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-12 00:00:00' GROUP BY 1, 2")
+def window_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, _ = weekly_store(spark, sf_dir, archived=True).events(*WINDOW)
+    return timeline(events, "6 hours").withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+
+
+@query("archive_bounds", f"WITH {BRIDGE_SQL} SELECT CAST(floor((day(ts) - 1) / 7) AS INTEGER) AS week, min(ts) AS min_ts, max(ts) AS max_ts, count(*) AS n FROM e GROUP BY 1")
+def archive_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the manifest says of each archived segment."""
+    held = [s for s in weekly_store(spark, sf_dir, archived=True).manifest().segments if s.tier == ARCHIVE]
+    rows = spark.createDataFrame([(s.min_us, s.max_us, s.rows) for s in held], "low long, high long, n long")
+    low, high = (F.timestamp_micros(c).cast("timestamp_ntz") for c in ("low", "high"))
+    return rows.select(F.floor((F.dayofmonth(low) - 1) / 7).cast("int").alias("week"), low.alias("min_ts"), high.alias("max_ts"), "n")
+
+
+@query("archive_row_count", f"WITH {BRIDGE_SQL} SELECT count(*) AS n FROM e")
+def archive_row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by the manifest, and in the files."""
+    store = weekly_store(spark, sf_dir, archived=True)
+    listed = sum(s.rows for s in store.manifest().segments)
+    return store.events(START, END)[0].agg(count_as("n")).where(F.col("n") == listed)
+
+
+@query("range_inclusive", f"WITH {BRIDGE_SQL}, b AS (SELECT date_trunc('second', min(ts)) AS low, date_trunc('second', max(ts)) AS high FROM e) SELECT count(*) AS n FROM e, b WHERE ts BETWEEN low AND high")
+def range_inclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The window from the first event's second to the last one's."""
+    store = weekly_store(spark, sf_dir)
+    segments = store.manifest().segments
+    seconds = [f(us) // 1_000_000 for f, us in ((min, [s.min_us for s in segments]), (max, [s.max_us for s in segments]))]
+    return store.events(*[datetime.fromtimestamp(x, timezone.utc) for x in seconds])[0].agg(count_as("n"))
+
+
+@query("range_empty", f"WITH {BRIDGE_SQL} SELECT {FLAT_SQL} FROM e WHERE ts > TIMESTAMP '2030-01-01 00:00:00'")
+def range_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window after all events reads nothing."""
+    store = weekly_store(spark, sf_dir)
+    try:
+        return stored(store, datetime(2030, 1, 1), datetime(2030, 1, 2))
+    except NoDataSources:
+        return stored(store).limit(0)
 
 
 @query("append_dedup", STORED_SQL)
@@ -225,29 +310,45 @@ def append_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def roundtrip_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = loaded_store(spark, sf_dir)
     archive(store, threshold=0)
-    store.vacuum()
+    store.vacuum(grace=0)
     return stored(store)
 
 
 @query("roundtrip_compact", STORED_SQL)
 def roundtrip_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = EventStore(spark, new_path(spark, "store"))
-    events = bridged(spark, sf_dir)
-    native = conform(events.withColumns({c: F.col(c).cast("timestamp") for c in ("firstTimestamp", TIME)}))
+    store, events = EventStore(spark, new_path(spark, "store")), native(spark, sf_dir)
     for part in range(3):
-        store.append(native.where(F.pmod(F.xxhash64(RV), F.lit(3)) == part))
+        store.append(events.where(F.pmod(F.xxhash64(RV), F.lit(3)) == part))
         archive(store, threshold=0)
     compact(store)
-    store.vacuum()
+    store.vacuum(grace=0)
     return stored(store)
 
 
+# Fixed value: the dashboard's query.
+TIMELINE_TEXT = "SELECT time_bucket(INTERVAL '3 hours', lastTimestamp) AS bucket, type, COUNT(*) AS count FROM $events WHERE 1=1 GROUP BY bucket, type ORDER BY bucket, type;"
+
+
 @query("sql_timeline", f"WITH {BRIDGE_SQL} SELECT time_bucket(INTERVAL '3 hours', ts) AS bucket, type, count(*) AS \"count\" FROM e GROUP BY 1, 2")
 def sql_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dashboard's SQL text, over the store."""
     from ..engine import Engine
 
-    text = "SELECT time_bucket(INTERVAL '3 hours', lastTimestamp) AS bucket, type, COUNT(*) AS count FROM $events WHERE 1=1 GROUP BY bucket, type ORDER BY bucket, type;"
+    frame, _ = Engine(spark, loaded_store(spark, sf_dir, 1)).frame(TIMELINE_TEXT, START, END)
+    return frame.withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+
+
+@query(
+    "sql_spellings",
+    f"WITH {BRIDGE_SQL} SELECT time_bucket(INTERVAL '1 month', ts) AS bucket, reason, arg_max(rv, struct_pack(a := ts, b := rv)) AS latest, quantile_cont(event_id, 0.5) AS middle, count(*) AS n FROM e WHERE ts >= TIMESTAMP '2024-01-03 00:00:00' AND regexp_matches(reason, '^Fail') GROUP BY 1, 2",
+)
+def sql_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query text with functions and literals in spellings that Spark does not have."""
+    from ..engine import Engine
+
+    text = """SELECT time_bucket(INTERVAL '1 month', lastTimestamp) AS bucket, reason, arg_max(metadata.resourceVersion, struct(lastTimestamp, metadata.resourceVersion)) AS latest,
+      quantile_cont(CAST(metadata.resourceVersion AS BIGINT), 0.5) AS middle, count(*) AS n
+      FROM $events WHERE lastTimestamp >= TIMESTAMPTZ '2024-01-03T00:00:00Z' AND regexp_matches(reason, '^Fail') GROUP BY ALL"""
     frame, _ = Engine(spark, loaded_store(spark, sf_dir, 1)).frame(text, START, END)
     return frame.withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
@@ -309,7 +410,25 @@ on_tables(
     "supplier", "nation",
 )
 on_tables("join_semi", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", lambda c, o: c.join(o, o["o_custkey"] == c["c_custkey"], "left_semi").select("c_custkey"), "customer", "orders")
-on_tables("join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", lambda c, o: c.join(o, o["o_custkey"] == c["c_custkey"], "left_anti").select("c_custkey"), "customer", "orders")
+on_tables(
+    "join_anti",
+    "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 49)",
+    lambda p, t: p.join(t.where("l_quantity > 49"), t["l_partkey"] == p["p_partkey"], "left_anti").select("p_partkey"),
+    "part", "lineitem",
+)
+on_tables(
+    "join_right",
+    "SELECT n_name, c_custkey FROM nation RIGHT JOIN customer ON c_nationkey = n_nationkey AND n_regionkey = 1",
+    lambda n, c: n.join(c, (c["c_nationkey"] == n["n_nationkey"]) & (n["n_regionkey"] == 1), "right").select("n_name", "c_custkey"),
+    "nation", "customer",
+)
+on_tables("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation", lambda r, n: r.crossJoin(n).select("r_name", "n_name"), "region", "nation")
+on_tables(
+    "join_theta",
+    "SELECT n_name, count(*) AS n FROM nation JOIN supplier ON s_acctbal > n_nationkey * 300 GROUP BY 1",
+    lambda n, s: n.join(s, s["s_acctbal"] > n["n_nationkey"] * 300).groupBy("n_name").agg(count_as("n")),
+    "nation", "supplier",
+)
 on_tables(
     "join_three",
     "SELECT r_name, sum(s_acctbal) AS balance, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1",
@@ -325,7 +444,7 @@ on_tables(
 on_tables(
     "join_asof",
     "SELECT p.event_id, coalesce(v.event_id, -1) AS view_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'view' GROUP BY 1, 2) v ON p.user_id = v.user_id AND p.ts >= v.ts",
-    lambda e: asof_join(e.where("event_type = 'purchase'").select("user_id", "ts", "event_id"), e.where("event_type = 'view'").groupBy("user_id", "ts").agg(F.max("event_id").alias("view_id")), ["user_id"], "ts").select("event_id", F.coalesce("view_id", F.lit(-1)).alias("view_id")),
+    lambda e: asof_join(e.where("event_type = 'purchase'").select("user_id", "ts", "event_id"), e.where("event_type = 'view'").groupBy("user_id", "ts").agg(F.max("event_id").alias("view_id")), ["user_id"], "ts", F.date_trunc("day", "ts")).select("event_id", F.coalesce("view_id", F.lit(-1)).alias("view_id")),
     "events",
 )
 on_tables(
@@ -369,7 +488,18 @@ on_tables(
 )
 _CUSTOMERS = lambda c, o: (c.select("c_custkey"), o.select(F.col("o_custkey").alias("c_custkey")))
 on_tables("intersect", "SELECT c_custkey FROM customer INTERSECT SELECT o_custkey FROM orders", lambda c, o: (x := _CUSTOMERS(c, o))[0].intersect(x[1]), "customer", "orders")
-on_tables("except", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders", lambda c, o: (x := _CUSTOMERS(c, o))[0].subtract(x[1]), "customer", "orders")
+on_tables("except", "SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 49", lambda p, t: p.select("p_partkey").subtract(t.where("l_quantity > 49").select("l_partkey")), "part", "lineitem")
+on_tables("approx_count_distinct", "SELECT l_returnflag, TRUE AS near FROM lineitem GROUP BY 1", lambda t: t.groupBy("l_returnflag").agg((F.abs(F.approx_count_distinct("l_partkey", 0.02) / F.countDistinct("l_partkey") - 1) < 0.1).alias("near")), "lineitem")
+on_tables("mode_list", "SELECT l_linestatus, mode(l_returnflag) AS usual, array_to_string(list_sort(list(DISTINCT l_returnflag)), ',') AS flags FROM lineitem GROUP BY 1", lambda t: t.groupBy("l_linestatus").agg(F.mode("l_returnflag").alias("usual"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("flags")), "lineitem")
+
+
+@query("group_by_all", "SELECT l_returnflag, l_linestatus, count(*) AS n, max(l_shipdate) AS latest FROM lineitem GROUP BY ALL")
+def group_by_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session = request_session(spark)
+    session.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("lineitem")
+    return session.sql("SELECT l_returnflag, l_linestatus, count(*) AS n, max(l_shipdate) AS latest FROM lineitem GROUP BY ALL")
+
+
 on_tables("union_distinct", "SELECT c_custkey FROM customer UNION SELECT o_custkey FROM orders", lambda c, o: (x := _CUSTOMERS(c, o))[0].union(x[1]).distinct(), "customer", "orders")
 on_tables("count_distinct", "SELECT l_returnflag, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY 1", lambda t: t.groupBy("l_returnflag").agg(F.countDistinct("l_suppkey").alias("suppliers")), "lineitem")
 on_tables("percentile", "SELECT event_type, quantile_cont(value, 0.9) AS p90, median(value) AS p50 FROM events GROUP BY 1", lambda e: e.groupBy("event_type").agg(F.percentile("value", 0.9).alias("p90"), F.median("value").alias("p50")), "events")
@@ -388,6 +518,24 @@ on_tables(
     lambda c: c.select("c_custkey", F.upper("c_name").alias("up"), F.length("c_name").cast("long").alias("n"), F.substring("c_name", 1, 4).alias("head"), F.replace("c_name", F.lit("#"), F.lit("-")).alias("dashed"), F.split_part("c_name", F.lit("#"), F.lit(2)).alias("tail"), F.instr("c_name", "#").cast("long").alias("place"), F.regexp_extract("c_name", "([0-9]+)", 1).alias("digits"), F.col("c_name").rlike("[13579]$").alias("odd"), F.col("c_name").startswith("C").alias("c"), F.concat_ws("/", "c_name", "c_mktsegment").alias("both")),
     "customer",
 )
+on_tables(
+    "more_string_functions",
+    "SELECT c_custkey, lower(c_name) AS low, trim('  ' || c_mktsegment || ' ') AS bare, ltrim('xx' || c_mktsegment, 'x') AS cut, contains(c_name, '01') AS has, lpad(c_mktsegment, 12, '*') AS padded, reverse(c_mktsegment) AS turned, left(c_name, 3) AS head, right(c_name, 3) AS tail, repeat(left(c_name, 1), 3) AS thrice, ascii(c_name) AS code FROM customer",
+    lambda c: c.select("c_custkey", F.lower("c_name").alias("low"), F.trim(F.concat(F.lit("  "), "c_mktsegment", F.lit(" "))).alias("bare"), F.ltrim(F.concat(F.lit("xx"), "c_mktsegment"), F.lit("x")).alias("cut"), F.contains("c_name", F.lit("01")).alias("has"), F.lpad("c_mktsegment", 12, "*").alias("padded"), F.reverse("c_mktsegment").alias("turned"), F.left("c_name", F.lit(3)).alias("head"), F.right("c_name", F.lit(3)).alias("tail"), F.repeat(F.left("c_name", F.lit(1)), 3).alias("thrice"), F.ascii("c_name").alias("code")),
+    "customer",
+)
+on_tables(
+    "more_date_functions",
+    "SELECT o_orderkey, CAST(date_part('quarter', o_orderdate) AS INTEGER) AS quarter, CAST(date_part('doy', o_orderdate) AS INTEGER) AS doy, date_diff('day', o_orderdate, TIMESTAMP '2000-01-01 00:00:00') AS days, last_day(o_orderdate) AS month_end, CAST(extract(week FROM o_orderdate) AS INTEGER) AS week, CAST(o_orderdate AS DATE) AS d FROM orders",
+    lambda o: o.select("o_orderkey", F.date_part(F.lit("quarter"), "o_orderdate").alias("quarter"), F.date_part(F.lit("doy"), "o_orderdate").alias("doy"), F.datediff(F.lit("2000-01-01").cast("date"), "o_orderdate").cast("long").alias("days"), F.last_day("o_orderdate").alias("month_end"), F.weekofyear("o_orderdate").alias("week"), F.to_date("o_orderdate").alias("d")),
+    "orders",
+)
+on_tables(
+    "more_math_functions",
+    "SELECT s_suppkey, abs(s_acctbal) AS size, power(s_nationkey, 2) AS square, CAST(ceil(s_acctbal) AS BIGINT) AS up, CAST(sign(s_acctbal) AS INTEGER) AS way, exp(s_nationkey / 10.0) AS grown, log10(s_nationkey + 1) AS digits, s_nationkey & 7 AS low_bits, trunc(s_acctbal) AS whole FROM supplier",
+    lambda s: s.select("s_suppkey", F.abs("s_acctbal").alias("size"), F.pow("s_nationkey", F.lit(2)).alias("square"), F.ceil("s_acctbal").alias("up"), F.signum("s_acctbal").cast("int").alias("way"), F.exp(F.col("s_nationkey") / 10.0).alias("grown"), F.log10(F.col("s_nationkey") + 1).alias("digits"), F.col("s_nationkey").bitwiseAND(7).alias("low_bits"), (F.signum("s_acctbal") * F.floor(F.abs("s_acctbal"))).alias("whole")),
+    "supplier",
+)
 on_tables(
     "date_functions",
     "SELECT o_orderkey, date_trunc('month', o_orderdate) AS month, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(dayofweek(o_orderdate) AS INTEGER) AS weekday, CAST(epoch(o_orderdate) AS BIGINT) AS seconds, epoch_ms(o_orderdate) AS millis, strftime(o_orderdate, '%Y-%m') AS label, o_orderdate + INTERVAL 90 DAY AS due FROM orders",

@@ -8,7 +8,7 @@ from datetime import datetime
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlsplit
 
-from .engine import Engine, json_rows
+from .engine import Engine, TooManyRows, json_rows
 from .streaming.ingest import CollectedCounter
 
 
@@ -24,6 +24,15 @@ def serve(engine: Engine, port: int = 8080, counter: CollectedCounter | None = N
             self.end_headers()
             self.wfile.write(body)
 
+        def do_OPTIONS(self) -> None:
+            """What browsers ask before they post JSON."""
+            self.send_response(204)
+            self.send_header("Access-Control-Allow-Origin", "*")
+            self.send_header("Access-Control-Allow-Methods", "GET, POST, OPTIONS")
+            self.send_header("Access-Control-Allow-Headers", "Content-Type")
+            self.send_header("Access-Control-Max-Age", "86400")
+            self.end_headers()
+
         def do_POST(self) -> None:
             if urlsplit(self.path).path != "/query":
                 return self.answer(405 if urlsplit(self.path).path in ("/download", "/stats") else 404, b"")
@@ -36,6 +45,8 @@ def serve(engine: Engine, port: int = 8080, counter: CollectedCounter | None = N
                 return self.answer(400, f"bad request: {error}".encode())
             try:
                 result = engine.query(sql, start, end)
+            except TooManyRows as error:
+                return self.answer(413, str(error).encode())
             except Exception as error:
                 return self.answer(500, str(error).encode())
             self.answer(200, json.dumps(asdict(result)).encode(), "application/json")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
-from pyarrow.fs import FileSelector, FileSystem, FileType
+from py4j.protocol import Py4JJavaError
+from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
 from pyspark.sql import SparkSession
 
 
@@ -50,14 +52,56 @@ def read_text(path: str) -> str:
         return stream.read().decode()
 
 
-def publish_text(path: str, text: str) -> None:
-    """Write a file so that it appears whole or not at all."""
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a file so that it appears whole or not at all; False if there is one of this name already.
+
+    Locally this is a hard link; elsewhere a rename by Hadoop that does not overwrite, which is atomic on HDFS. On an object
+    store without such a rename, only one process may write to a store.
+    """
     fs, at = place(path)
     fs.create_dir(at.rpartition("/")[0], recursive=True)
     name = f"{at}.{uuid.uuid4().hex}.tmp"
     with fs.open_output_stream(name) as stream:
         stream.write(text.encode())
-    fs.move(name, at)
+    try:
+        if isinstance(fs, LocalFileSystem):
+            os.link(name, at)
+        elif fs.get_file_info(at).type != FileType.NotFound:
+            return False
+        else:
+            _rename(spark, path, f"{path}{name[len(at):]}")
+    except FileExistsError:
+        return False
+    finally:
+        if fs.get_file_info(name).type != FileType.NotFound:
+            fs.delete_file(name)
+    return True
+
+
+def _rename(spark: SparkSession, path: str, name: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    never = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+    try:
+        hadoop.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()).rename(hadoop.Path(name), target, never)
+    except Py4JJavaError as error:
+        if "FileAlreadyExistsException" in str(error.java_exception):
+            raise FileExistsError(path) from error
+        raise
+
+
+def newest_change(path: str) -> float | None:
+    """When a file, or a folder or what it holds, was last changed, in seconds; None if there is none."""
+    fs, at = place(path)
+    held = [fs.get_file_info(at)]
+    if held[0].type == FileType.Directory:
+        held += fs.get_file_info(FileSelector(at, recursive=True, allow_not_found=True))
+    return max((i.mtime_ns / 1e9 for i in held if i.type != FileType.NotFound and i.mtime_ns is not None), default=None)
+
+
+def delete_file(path: str) -> None:
+    fs, at = place(path)
+    fs.delete_file(at)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -4,17 +4,21 @@ New micro-batches are hot segments; archiving and compaction replace segments by
 manifest version is one small file, published whole: readers see a change at once or not at all, and a
 segment that no manifest lists is never read. Segments carry the true bounds of their times, so a window
 reads only those it overlaps; Parquet statistics prune within them.
+
+Writers may run side by side. A version is only published if it is still the next one; else the writer looks again at what
+the manifest lists now: an append looks its keys up anew, a merge whose segments have gone gives up. ``vacuum`` deletes files
+only after a time of grace, in which readers and writers that know an older manifest come to their end.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
-from collections.abc import Iterable
 from dataclasses import asdict, dataclass, field, replace
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ingest import first_per_key, new_keys
@@ -49,14 +53,16 @@ class Manifest:
     segments: tuple[Segment, ...] = ()
     #: the last micro-batch of each stream that is in
     batches: dict[str, int] = field(default_factory=dict)
+    #: segments that were replaced, and when, in seconds
+    dropped: dict[str, float] = field(default_factory=dict)
 
     def to_json(self) -> str:
-        return json.dumps({"version": self.version, "segments": [asdict(s) for s in self.segments], "batches": self.batches})
+        return json.dumps({"version": self.version, "segments": [asdict(s) for s in self.segments], "batches": self.batches, "dropped": self.dropped})
 
     @staticmethod
     def from_json(text: str) -> Manifest:
         raw = json.loads(text)
-        return Manifest(raw["version"], tuple(Segment(**s) for s in raw["segments"]), raw["batches"])
+        return Manifest(raw["version"], tuple(Segment(**s) for s in raw["segments"]), raw["batches"], raw.get("dropped", {}))
 
 
 def micros(t: datetime) -> int:
@@ -69,20 +75,27 @@ def instant(us: int) -> F.Column:
     return F.timestamp_micros(F.lit(us))
 
 
+#: Seconds for which a file that is no longer listed, or not yet, is kept: longer than any query or write takes.
+GRACE = 3600.0
+
+
 class EventStore:
-    """One writer at a time; any number of readers."""
+    """Any number of readers, and of writers of one process or on a file system that renames without overwriting."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
+    def versions(self) -> list[str]:
+        return [n for n in files.names_in(f"{self.root}/manifest") if n.endswith(".json")]
+
     def manifest(self) -> Manifest:
-        names = [n for n in files.names_in(f"{self.root}/manifest") if n.endswith(".json")]
+        names = self.versions()
         return Manifest.from_json(files.read_text(f"{self.root}/manifest/{names[-1]}")) if names else Manifest()
 
-    def publish(self, before: Manifest, segments: Iterable[Segment], batches: dict[str, int] | None = None) -> Manifest:
-        now = Manifest(before.version + 1, tuple(segments), before.batches if batches is None else batches)
-        files.publish_text(f"{self.root}/manifest/{now.version:012d}.json", now.to_json())
-        return now
+    def publish(self, before: Manifest, **changes) -> bool:
+        """Publish the manifest with these changes, unless another version has come meanwhile."""
+        now = replace(before, version=before.version + 1, **changes)
+        return files.create_text(self.spark, f"{self.root}/manifest/{now.version:012d}.json", now.to_json())
 
     def path(self, segment_id: str) -> str:
         return f"{self.root}/segments/{segment_id}"
@@ -105,29 +118,32 @@ class EventStore:
         A stream's batch that is in already is skipped, so a repeated batch changes nothing. Keys are looked
         up in the segments whose times overlap the batch's: an event that is listed again has the same times.
         """
-        now = self.manifest()
-        if stream is not None and batch is not None and now.batches.get(stream, -1) >= batch:
-            return 0
-        fresh = first_per_key(conform(events), KEY)
-        staged = self.write_segment(fresh, HOT)
-        added: Segment | None = None
-        if staged:
-            low = -(1 << 62) if staged.min_us is None else staged.min_us
-            high = (1 << 62) if staged.max_us is None else staged.max_us
-            near = [s for s in now.segments if s.overlaps(low, high)]
-            if near:
-                held = self.spark.read.schema(EVENT_SCHEMA).parquet(*[self.path(s.id) for s in near])
-                if staged.min_us is not None:
-                    held = held.where(F.col(TIME).between(instant(low), instant(high)) | F.col(TIME).isNull())
-                rows = self.spark.read.schema(EVENT_SCHEMA).parquet(self.path(staged.id))
-                added = self.write_segment(new_keys(rows, held, KEY), HOT)
-                files.delete_dir(self.path(staged.id))
-            else:
-                added = staged
-        batches = now.batches if stream is None or batch is None else now.batches | {stream: batch}
-        if added or batches != now.batches:
-            self.publish(now, [*now.segments, *([added] if added else [])], batches)
-        return added.rows if added else 0
+        fresh, bounds = conform(events), None
+        while True:
+            now = self.manifest()
+            if stream is not None and batch is not None and now.batches.get(stream, -1) >= batch:
+                return 0
+            bounds = bounds or fresh.agg(F.count("*").alias("n"), F.unix_micros(F.min(TIME)).alias("low"), F.unix_micros(F.max(TIME)).alias("high"), F.count_if(F.col(TIME).isNull()).alias("timeless")).first()
+            added = self.write_segment(self.new_rows(fresh, now, bounds), HOT) if bounds["n"] else None
+            batches = now.batches if stream is None or batch is None else now.batches | {stream: batch}
+            if not added and batches == now.batches:
+                return 0
+            if self.publish(now, segments=(*now.segments, *([added] if added else [])), batches=batches):
+                return added.rows if added else 0
+            if added:  # another version came first: look the keys up again
+                files.delete_dir(self.path(added.id))
+
+    def new_rows(self, fresh: DataFrame, now: Manifest, bounds: Row) -> DataFrame:
+        """The first row of each key that the manifest's segments lack."""
+        rows = first_per_key(fresh, KEY)
+        low, high = (-(1 << 62), 1 << 62) if bounds["timeless"] else (bounds["low"], bounds["high"])
+        near = [s for s in now.segments if s.overlaps(low, high)]
+        if not near:
+            return rows
+        held = self.spark.read.schema(EVENT_SCHEMA).parquet(*[self.path(s.id) for s in near])
+        if not bounds["timeless"]:
+            held = held.where(F.col(TIME).between(instant(low), instant(high)) | F.col(TIME).isNull())
+        return new_keys(rows, held, KEY)
 
     def relevant(self, start: datetime, end: datetime) -> list[Segment]:
         return [s for s in self.manifest().segments if s.overlaps(micros(start), micros(end))]
@@ -148,16 +164,34 @@ class EventStore:
         held = (spark or self.spark).read.schema(EVENT_SCHEMA).parquet(*[self.path(s.id) for s in chosen])
         return held.where(F.col(TIME).between(instant(micros(start)), instant(micros(end)))), chosen
 
-    def replace_segments(self, old: list[Segment], new: Segment | None) -> None:
-        """Publish the exchange; the old files stay until ``vacuum``."""
-        now, gone = self.manifest(), {s.id for s in old}
-        kept = [s for s in now.segments if s.id not in gone]
-        self.publish(now, [*kept, *([replace(new, tier=ARCHIVE)] if new else [])])
-
-    def vacuum(self) -> int:
-        """Delete what the newest manifest does not list. Call it when no older reader is left."""
-        listed = {s.id for s in self.manifest().segments}
-        unlisted = [n for n in files.names_in(f"{self.root}/segments") if n not in listed]
-        for name in unlisted:
+    def replace_segments(self, old: list[Segment], new: Segment | None) -> bool:
+        """Publish the exchange; the old files stay until ``vacuum``. False, and nothing is changed, if one of the old is no longer listed."""
+        gone = {s.id for s in old}
+        while True:
+            now = self.manifest()
+            kept = [s for s in now.segments if s.id not in gone]
+            if len(kept) + len(gone) != len(now.segments):
+                return False
+            if self.publish(now, segments=(*kept, *([replace(new, tier=ARCHIVE)] if new else [])), dropped=now.dropped | dict.fromkeys(gone, time.time())):
+                return True
+
+    def vacuum(self, grace: float = GRACE) -> int:
+        """Delete replaced segments, segments that were never listed, and old manifest versions, each after so many seconds.
+
+        Gives the number of segments deleted.
+        """
+        before, now = time.time() - grace, self.manifest()
+        listed = {s.id for s in now.segments}
+        old = [i for i, at in now.dropped.items() if at <= before]
+        for name in files.names_in(f"{self.root}/segments"):
+            if name not in listed and name not in now.dropped and (files.newest_change(self.path(name)) or before) < before:
+                old.append(name)
+        for name in old:
             files.delete_dir(self.path(name))
-        return len(unlisted)
+        for name in files.names_in(f"{self.root}/manifest"):
+            path = f"{self.root}/manifest/{name}"
+            if name != f"{now.version:012d}.json" and (files.newest_change(path) or before) < before:
+                files.delete_file(path)
+        while set(old) & set(now.dropped) and not self.publish(now, dropped={i: at for i, at in now.dropped.items() if i not in old}):
+            now = self.manifest()
+        return len(old)

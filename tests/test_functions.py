@@ -3,7 +3,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from eventide.functions import presentation as show
+from eventide.functions.summary import percentage, short_count, summarize
 from eventide.functions.time_bucket import dynamic_width, register_time_bucket, time_bucket
 from eventide.functions.time_range import QUICK_RANGES, parse_range, parse_time
 from eventide.operators import predicates as P
@@ -44,12 +44,14 @@ def test_buckets_agree_in_both_forms(spark):
         time_bucket("ts", "1 month")
 
 
-def test_texts():
-    assert [show.short_count(n) for n in (999, 1000, 1_500_000)] == ["999", "1.0K", "1.5M"] and show.short_count(1_500_000, millions=False) == "1500.0K"
-    assert show.percentage(1, 0) == "0%" and show.percentage(1, 3) == "33.3%"
-    assert show.summarize_result([]) == "Query returned no results (an empty list: [])."
-    assert show.summarize_result([], "x") == "Query failed with error: x"
-    assert show.summarize_result([{"a": 1, "b": None}]) == 'Query returned 1 rows. Columns: a, b. First row summary: {"a":1,"b":null}'
+def test_texts(spark):
+    rows = spark.createDataFrame([(n,) for n in (0, 999, 1000, 1_500_000)], "n long")
+    assert [r[0] for r in rows.select(short_count("n")).collect()] == ["0", "999", "1.0K", "1.5M"]
+    assert rows.where("n = 1500000").select(short_count("n", ((1_000, "K"),))).first()[0] == "1500.0K"
+    shares = spark.createDataFrame([(1, 0), (1, 3), (2, 2)], "part long, total long").select(percentage("part", "total"))
+    assert [r[0] for r in shares.collect()] == ["0%", "33.3%", "100.0%"]
+    assert summarize([]) == {"ok": True, "rows": 0, "columns": [], "first": None}
+    assert summarize([{"a": 1, "b": None}])["columns"] == ["a", "b"] and summarize([], "no")["error"] == "no"
 
 
 def test_predicates_hold_values_apart_from_the_text(spark):

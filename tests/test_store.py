@@ -4,7 +4,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from eventide.engine import Engine, NotAQuery, with_view
+from eventide.engine import Engine, NotAQuery, TooManyRows, with_view
 from eventide.operators import lifecycle
 from eventide.operators.asof import asof_join
 from eventide.sources.schema import EVENT_SCHEMA, conform, normalise
@@ -97,7 +97,7 @@ def test_any_history_gives_the_same_events(store, spark, seed):
         for step in (lambda: lifecycle.archive(store, rng.choice([0, 30])), lambda: lifecycle.compact(store)):
             if rng.random() < 0.7:
                 step()
-    lifecycle.tick(store)
+    lifecycle.tick(store, grace=0)
     got = keys(store.events(at(0), at(1000))[0])
     assert got == sorted(str(k) for k in range(60))
     assert len(store.manifest().segments) == len([n for n in __import__("eventide.sources.files", fromlist=["x"]).names_in(f"{store.root}/segments")])
@@ -148,7 +148,13 @@ def test_queries(store, spark):
     assert ask("SELECT eventTime FROM $events WHERE eventTime IS NOT NULL").results[0]["eventTime"].startswith("0001-01-02")
     assert ask("SELECT time_bucket(INTERVAL 1 MINUTE, lastTimestamp) AS b, count(*) AS n FROM $events GROUP BY 1 ORDER BY 1").results == [{"b": "2024-01-01T00:00:00.000000Z", "n": 1}, {"b": "2024-01-01T00:01:00.000000Z", "n": 2}]
     spark.range(1).createOrReplaceTempView("elsewhere")
-    for bad in ("DROP VIEW window_events", "SET a=b", "CREATE TABLE t AS SELECT 1", "SELECT 1; SELECT 2", "INSERT INTO window_events SELECT * FROM $events", f"SELECT * FROM parquet.`{store.path(store.manifest().segments[0].id)}`", "SELECT * FROM elsewhere", "SELECT 1 AS a, 2 AS a FROM $events", "SHOW TABLES", "x"):
+    spark.range(1).createOrReplaceGlobalTempView("everywhere")
+    with pytest.raises(NotAQuery):
+        engine.ordered(at(0), at(60), "reason = java_method('java.lang.System', 'getProperty', 'user.home')")
+    assert engine.query("SELECT * FROM $events", at(0), at(60), most_rows=3).results[2]
+    with pytest.raises(TooManyRows):
+        engine.query("SELECT * FROM $events", at(0), at(60), most_rows=2)
+    for bad in ("DROP VIEW window_events", "SET a=b", "CREATE TABLE t AS SELECT 1", "SELECT 1; SELECT 2", "INSERT INTO window_events SELECT * FROM $events", f"SELECT * FROM parquet.`{store.path(store.manifest().segments[0].id)}`", "SELECT * FROM elsewhere", "SELECT 1 AS a, 2 AS a FROM $events", "SHOW TABLES", "x", "SELECT java_method('java.lang.System', 'getProperty', 'user.home') AS x FROM $events", "SELECT 1 AS a FROM $events WHERE IDENTIFIER('refl' || 'ect')('java.lang.System', 'getProperty', 'user.home') = 'x'", "SELECT * FROM $events WHERE reason IN (SELECT try_reflect('java.lang.System', 'getProperty', 'user.home'))", "SELECT * FROM global_temp.everywhere", "SELECT * FROM $events WHERE EXISTS (SELECT 1 FROM global_temp.everywhere)"):
         with pytest.raises(NotAQuery):
             ask(bad)
 
@@ -165,6 +171,7 @@ def test_export_and_stats(store, spark, tmp_path):
     engine.export_files(f"file://{tmp_path}/parts", at(0), at(200))
     assert spark.read.text(f"file://{tmp_path}/parts").count() == 20
     stats = engine.stats()
+    assert stats["memory"][0]["most"] > 0 and stats["temporary_files"]["bytes"] >= 0
     assert stats["rows"] == {"hot": 20} and stats["data_dir_size"] > 0 and stats["errors"] == []
 
 
@@ -194,6 +201,8 @@ def test_http(store, spark):
     assert code == 200 and json.loads(body)["results"] == [{"n": 2}]
     assert ask("/query", {"query": "", **window})[0] == ask("/query", {"query": "x"})[0] == 400
     assert ask("/query", {"query": "DROP TABLE x", **window})[0] == 500
+    with urllib.request.urlopen(urllib.request.Request(f"{base}/query", method="OPTIONS")) as r:
+        assert r.status == 204 and "POST" in r.headers["Access-Control-Allow-Methods"] and r.headers["Access-Control-Allow-Headers"] == "Content-Type"
     assert ask("/query")[0] == 405 and ask("/none")[0] == 404 and ask("/download")[0] == 400
     code, body = ask("/download?from=2024-01-01T00:00:00Z&to=2024-01-01T00:00:30Z")
     assert code == 200 and len(gzip.decompress(body).splitlines()) == 1
@@ -216,6 +225,108 @@ def test_streaming_ingest_keeps_late_events(store, spark, tmp_path):
     assert store.manifest().batches["ingest"] == 1
 
 
+def test_words_are_spelt_as_spark_has_them():
+    text = "SELECT arg_max(a, b), 'arg_max(x)', list_contains(c, 1), length(d), time_bucket(INTERVAL '2 years', t), time_bucket(INTERVAL 1 month, t) FROM $events WHERE t > TIMESTAMPTZ '2024-01-01' -- epoch(t)"
+    assert with_view(text) == "SELECT max_by(a, b), 'arg_max(x)', array_contains(c, 1), length(d), month_bucket(24, t), month_bucket(1, t) FROM window_events WHERE t > TIMESTAMP '2024-01-01' -- epoch(t)"
+
+
+def test_the_limit_comes_from_the_environment():
+    assert lifecycle.limit_bytes({"STORAGE_LIMIT_GB": "1.5"}) == 3 << 29 and lifecycle.limit_bytes({}) == lifecycle.LIMIT_BYTES
+
+
+def between(monkeypatch, store, step):
+    """Runs a step once, after the store has written its next segment and before it is published."""
+    usual, done = store.write_segment, []
+
+    def write(*args):
+        out = usual(*args)
+        if not done:
+            done.append(1)
+            step()
+        return out
+
+    monkeypatch.setattr(store, "write_segment", write)
+
+
+@pytest.mark.parametrize("step", ["archive", "append", "compact", "retain", "tick"])
+def test_an_append_meets_another_writer(store, spark, monkeypatch, step):
+    for k in range(3):
+        store.append(frame(spark, event(k, 10 + k)))
+        lifecycle.archive(store, 0)
+    store.append(frame(spark, event(7, 12)))
+    other = EventStore(spark, store.root)
+    steps = {"archive": lambda: lifecycle.archive(other, 0), "append": lambda: other.append(frame(spark, event(8, 12), event(20, 11))), "compact": lambda: lifecycle.compact(other), "retain": lambda: lifecycle.retain(other, other.manifest().segments[0].bytes), "tick": lambda: lifecycle.tick(other)}
+    between(monkeypatch, store, steps[step])
+    added = store.append(frame(spark, event(8, 12), event(7, 12), event(1, 11)), "s", 0)
+    got = keys(store.events(at(0), at(99))[0])
+    assert len(got) == len(set(got)) and {"7", "8"} <= set(got) and added == {"append": 0, "retain": 2}.get(step, 1)
+    assert store.manifest().batches == {"s": 0}
+    if step == "append":
+        assert "20" in got
+    if step != "retain":
+        assert {"0", "1", "2"} <= set(got)
+
+
+@pytest.mark.parametrize("step", ["append", "archive", "retain"])
+def test_a_merge_meets_another_writer(store, spark, monkeypatch, step):
+    store.append(frame(spark, event(1, 10)))
+    store.append(frame(spark, event(2, 20)))
+    other = EventStore(spark, store.root)
+    steps = {"append": lambda: other.append(frame(spark, event(3, 15))), "archive": lambda: lifecycle.archive(other, 0), "retain": lambda: (lifecycle.archive(other, 0), lifecycle.retain(other, 0))}
+    between(monkeypatch, store, steps[step])
+    merged = lifecycle.archive(store, 0)
+    assert (merged is None) == (step != "append")
+    store.append(frame(spark, event(9, 12)))
+    assert keys(store.events(at(0), at(99))[0]) == {"append": ["1", "2", "3", "9"], "archive": ["1", "2", "9"], "retain": ["9"]}[step]
+
+
+def test_writers_in_threads_lose_nothing(store, spark):
+    import threading
+
+    errors = []
+
+    def run(what):
+        try:
+            what()
+        except Exception as error:
+            errors.append(error)
+
+    def appends(first):
+        for k in range(3):
+            EventStore(spark, store.root).append(frame(spark, event(first + k, k), event(100 + k, k)), f"t{first}", k)
+
+    work = [lambda: appends(0), lambda: appends(10), lambda: [lifecycle.tick(EventStore(spark, store.root), grace=600) or lifecycle.archive(EventStore(spark, store.root), 0) for _ in range(3)]]
+    threads = [threading.Thread(target=run, args=(w,)) for w in work]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert errors == []
+    assert keys(store.events(at(0), at(99))[0]) == sorted(map(str, [0, 1, 2, 10, 11, 12, 100, 101, 102]))
+
+
+def test_vacuum_keeps_what_may_be_in_use(store, spark):
+    store.append(frame(spark, event(1, 10)))
+    store.append(frame(spark, event(2, 20)))
+    before, _ = store.events(at(0), at(99))
+    lifecycle.archive(store, 0)
+    staged = store.write_segment(conform(frame(spark, event(3, 30))), HOT)
+    assert store.vacuum() == 0 and keys(before) == ["1", "2"]
+    assert store.vacuum(grace=0) == 3 and len(store.versions()) <= 2 and store.manifest().dropped == {}
+    assert keys(store.events(at(0), at(99))[0]) == ["1", "2"] and staged.id not in [s.id for s in store.manifest().segments]
+
+
+@pytest.mark.parametrize("bucket", [None, "floor(t / 3)", "1"])
+def test_asof_by_hand(spark, bucket):
+    rng = random.Random(5)
+    left = [(rng.choice("abc") if rng.random() < 0.9 else None, rng.randrange(40), k) for k in range(120)]
+    right = list({(rng.choice("abd"), rng.randrange(40)): (k, None)[k % 7 == 0] for k in range(60)}.items())
+    held = [(k, t, v) for (k, t), v in right]
+    got = asof_join(spark.createDataFrame(left, "k string, t int, id int"), spark.createDataFrame(held, "k string, t int, v int"), ["k"], "t", bucket and F.expr(bucket))
+    expected = {i: max(((u, v) for j, u, v in held if j == k and u <= t), default=(0, None), key=lambda x: x[0])[1] for k, t, i in left}
+    assert {r["id"]: r["v"] for r in got.collect()} == expected
+
+
 def test_asof(spark):
     left = spark.createDataFrame([("a", 5, 1), ("a", 1, 2), ("b", 9, 3)], "k string, t int, id int")
     right = spark.createDataFrame([("a", 2, "x"), ("a", 5, "y"), ("a", 7, "z"), ("b", 10, "w")], "k string, t int, v string")
