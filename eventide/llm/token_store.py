@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import files
 from . import common
 from .encoding import text_encoder
 
@@ -64,6 +65,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> b
 def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, block_bytes: int = BLOCK_BYTES) -> None:
     """Encode every document and write the store."""
     spark = docs.sparkSession
+    common.bounded_batches(spark)
     tokenizer = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     dictionary = train_dictionary(docs, tokenizer, end_id)
     digest = hashlib.sha256(dictionary).hexdigest()
@@ -104,10 +106,11 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
 
     text = common.text_column()
     frames = docs.select("doc_id", F.xxhash64(text).alias("hash"), text.alias("text")).mapInArrow(encoded, "doc_id long, hash long, number long, n_tokens long, frame binary")
-    frames = common.materialize(frames, "frames")
-    key = ["doc_id", "hash", "number"]
-    ordered = frames.repartitionByRange(*key).sortWithinPartitions(*key).select("doc_id", "n_tokens", "frame")
+    held, key = common.new_path(spark, "frames"), ["doc_id", "hash", "number"]
+    frames.write.option("compression", "none").parquet(held)
+    ordered = spark.read.schema(frames.schema).parquet(held).repartitionByRange(*key).sortWithinPartitions(*key).select("doc_id", "n_tokens", "frame")
     ordered.mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    files.remove(spark, held)
 
 
 def read_some(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
