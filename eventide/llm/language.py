@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import common
 
 DIMENSIONS = 512
-PER_LANGUAGE, LOWEST, FLOOR = 5_000, 0.01, 0.7
+PER_LANGUAGE, LOWEST, FLOOR = 5_000, 0.01, 0.5
 FOLDS, HELD_OUT = 5, 0
 #: Symbols up to here have a table: 0 between words, the letters a to z, and small letters of Latin scripts. Other letters' symbols are
 #: their code points from here on, of up to so many bits.
