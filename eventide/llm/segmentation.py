@@ -18,7 +18,8 @@ a probability in proportion to 1 / (r + ``RANK_SHIFT``). Characters outside the
 
 Defined cases: a null or empty text has one segmentation, the empty one, with probability 1; a text with fewer
 than k segmentations gives all it has, each with inclusion 1; a null doc_id has a key of its own; rows that repeat an id draw from the
-same random numbers; other columns are not looked at; texts of any length, with blanks or without, are segmented whole.
+same random numbers; of branches with equal perturbed values the earliest path's is followed; other columns are not looked at; texts of
+any length, with blanks or without, are segmented whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
