@@ -158,7 +158,7 @@ on_events(
 )
 on_events(
     "metric_card_texts",
-    "SELECT ns AS namespace, CASE WHEN count(*) >= 1000000 THEN printf('%.1fM', count(*) / 1e6) WHEN count(*) >= 1000 THEN printf('%.1fK', count(*) / 1000) ELSE CAST(count(*) AS VARCHAR) END AS total, printf('%.1f%%', count(*) FILTER (WHERE type = 'Warning') * 100.0 / count(*)) AS warnings FROM e GROUP BY 1",
+    "SELECT ns AS namespace, CASE WHEN count(*) >= 1000000 THEN printf('%.1fM', round(count(*) / 1e6, 1)) WHEN count(*) >= 1000 THEN printf('%.1fK', round(count(*) / 1000, 1)) ELSE CAST(count(*) AS VARCHAR) END AS total, printf('%.1f%%', round(count(*) FILTER (WHERE type = 'Warning') * 100.0 / count(*), 1)) AS warnings FROM e GROUP BY 1",
     lambda e: e.groupBy(F.col(NS).alias("namespace")).agg(short_count(F.count("*")).alias("total"), percentage(F.count_if(P.warning()), F.count("*")).alias("warnings")),
 )
 on_events(
