@@ -110,6 +110,12 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def bytes_in(spark: SparkSession, path: str) -> int:
+    """Bytes of what a folder that Spark wrote holds, on any file system that Spark knows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
+
 def delete_dir(path: str) -> None:
     fs, at = place(path)
     if fs.get_file_info(at).type == FileType.Directory:
