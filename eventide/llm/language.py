@@ -173,8 +173,10 @@ def chosen_rows(docs: DataFrame, per_language: int) -> DataFrame:
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, floors: bool = False) -> Model:
-    """The model, if asked with low cosines of its training texts."""
+    """The model, if asked with low cosines of its training texts, which are written then, so that the texts are searched for them once."""
     chosen = chosen_rows(docs, per_language)
+    if floors:
+        chosen = common.materialize(chosen, "training")
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

@@ -10,7 +10,7 @@ everything else covers all rows. Features are computed once for each text, writt
 
 Defined cases: a null or empty text has features of its own (all zero) and gets a score; rows with a
 null label, with a label but no document, or with several labels that disagree count as they are; a
-null doc_id gets a score but no label; with no labelled row at all every score is 0.5; columns that
+null doc_id gets a score but no label; with no labelled row at all every score is 0.5, and the pipeline's stage keeps all documents; columns that
 are not named here are not looked at; repeated rows get equal scores; texts of any length count whole; an empty table gives
 an empty result.
 """
@@ -120,6 +120,11 @@ class AdditiveModel:
     tables: list[np.ndarray]
     pairs: list[tuple[int, int, np.ndarray]]
 
+    @property
+    def learnt(self) -> bool:
+        """Whether there was anything to fit on."""
+        return bool(self.pairs)
+
     def scores(self, x: np.ndarray) -> np.ndarray:
         bins = [np.searchsorted(e, x[:, k], "right") for k, e in enumerate(self.edges)]
         total = np.full(len(x), self.intercept)
@@ -212,12 +217,15 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose text is predicted to be good, with the columns they came with.
 
-    The model is fitted first; its decision is then made beside each row, so no text is shuffled.
+    The model is fitted first; its decision is then made beside each row, so no text is shuffled. With no labelled row to learn
+    from, all documents stay.
     """
     chosen = training_labels(labels)
     ids = common.sized(chosen.select("doc_id").distinct())
     table = common.materialize(feature_table(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")), "quality")
     model = fit_on(table, chosen)
+    if not model.learnt:
+        return docs
     return common.keep_rows(docs, lambda texts: model.scores(features(texts)) >= THRESHOLD)
 
 

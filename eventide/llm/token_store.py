@@ -38,6 +38,8 @@ END_ID = 1
 DICTIONARY_BYTES, SAMPLES, SAMPLE_BYTES = 64 << 10, 1000, 16 << 10
 #: Bytes of frames after which a block ends.
 BLOCK_BYTES = 2 << 20
+#: Bytes of frames of a shard, about, where the session's shuffle partitions would give larger ones.
+SHARD_BYTES = 512 << 20
 LEVEL = 3
 BLOCKS = "shard int, block int, in_shard long, first_id long, last_id long, dictionary_sha256 string, body binary, doc_ids array<long>, offsets array<long>, n_tokens array<long>"
 
@@ -62,7 +64,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> b
         return b"".join(samples)[:DICTIONARY_BYTES]
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, block_bytes: int = BLOCK_BYTES) -> None:
+def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> None:
     """Encode every document and write the store."""
     spark = docs.sparkSession
     common.bounded_batches(spark)
@@ -108,7 +110,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     frames = docs.select("doc_id", F.xxhash64(text).alias("hash"), text.alias("text")).mapInArrow(encoded, "doc_id long, hash long, number long, n_tokens long, frame binary")
     held, key = common.new_path(spark, "frames"), ["doc_id", "hash", "number"]
     frames.write.option("compression", "none").parquet(held)
-    ordered = spark.read.schema(frames.schema).parquet(held).repartitionByRange(*key).sortWithinPartitions(*key).select("doc_id", "n_tokens", "frame")
+    shards = -(-files.bytes_in(spark, held) // shard_bytes)
+    number = [shards] if shards > int(spark.conf.get("spark.sql.shuffle.partitions")) else []
+    ordered = spark.read.schema(frames.schema).parquet(held).repartitionByRange(*number, *key).sortWithinPartitions(*key).select("doc_id", "n_tokens", "frame")
     ordered.mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     files.remove(spark, held)
 

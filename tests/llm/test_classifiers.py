@@ -37,6 +37,8 @@ def test_quality_of_odd_rows(spark, docs):
     assert quality.score(docs.limit(0), labels).count() == 0
     kept = quality.keep_good(docs, labels)
     assert kept.columns == docs.columns and kept.count() <= docs.count()
+    unknown = quality.keep_good(docs, labels.where("doc_id = 99"))  # labelled, but there is no such document
+    assert unknown.columns == docs.columns and unknown.count() == quality.keep_good(docs, labels.limit(0)).count() == docs.count()
 
 
 def test_pairs_explain_an_interaction():

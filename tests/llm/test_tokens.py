@@ -55,18 +55,19 @@ def test_store_of_an_empty_table(spark, docs, tmp_path):
     assert token_store.read_store(spark, f"file://{tmp_path}/none").count() == 0
 
 
-def test_rows_of_one_id_lie_in_several_shards(spark, tmp_path):
-    """A null id and one id have nearly all rows, some of which are equal; blocks are small."""
+@pytest.mark.parametrize("shard_bytes", [token_store.SHARD_BYTES, 1000])
+def test_rows_of_one_id_lie_in_several_shards(spark, tmp_path, shard_bytes):
+    """A null id and one id have nearly all rows, some of which are equal; blocks are small, and with small shards there are more than shuffle partitions."""
     rows = [(None if k % 3 else 5, f"some text {k % 50} " * 20) for k in range(600)] + [(9, "last"), (-1, "first")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     path = f"file://{tmp_path}/hot"
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        token_store.write_store(docs, path, block_bytes=500)
+        token_store.write_store(docs, path, block_bytes=500, shard_bytes=shard_bytes)
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     blocks = spark.read.parquet(f"{path}/blocks")
-    assert blocks.select("shard").distinct().count() > 1 and blocks.groupBy("shard").count().where("count > 1").count()
+    assert blocks.select("shard").distinct().count() > (1 if shard_bytes > 1000 else 4) and blocks.groupBy("shard").count().where("count > 1").count()
     got = sorted(token_store.read_store(spark, path).collect(), key=lambda r: r["start"])
     assert [-9 if r["doc_id"] is None else r["doc_id"] for r in got] == sorted(-9 if i is None else i for i, _ in rows)
     assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1]]
