@@ -17,7 +17,7 @@ def first_per_key(rows: DataFrame, key: str, *order: str) -> DataFrame:
     return keyed.union(rows.where(F.col(key).isNull()))
 
 
-def new_keys(rows: DataFrame, held: DataFrame, key: str) -> DataFrame:
+def new_keys(rows: DataFrame, held: DataFrame, key: str, held_key: str | None = None) -> DataFrame:
     """The rows whose key the held rows lack."""
-    keys = held.select(F.col(key).alias("_held_key"))
+    keys = held.select(F.col(held_key or key).alias("_held_key"))
     return rows.join(keys, F.col(key) == F.col("_held_key"), "left_anti")

@@ -5,8 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterable, Mapping
 
-from ..sources import files
-from ..sources.schema import EVENT_SCHEMA, TIME
+from ..sources.schema import TIME
 from ..sources.store import ARCHIVE, GRACE, HOT, EventStore, Segment
 
 ARCHIVE_ROWS = 122_880
@@ -60,13 +59,13 @@ def plan_retention(segments: Iterable[Segment], limit: int = LIMIT_BYTES) -> lis
 
 def merge(store: EventStore, segments: list[Segment]) -> Segment | None:
     """Write the segments' rows as one archived segment, sorted by time, and publish the exchange."""
-    rows = store.spark.read.schema(EVENT_SCHEMA).parquet(*[store.path(s.id) for s in segments])
+    rows = store.rows_of(*[s.id for s in segments])
     parts = max(1, -(-sum(s.bytes for s in segments) // COMPACT_BYTES))
     merged = store.write_segment(rows.repartitionByRange(parts, TIME).sortWithinPartitions(TIME), ARCHIVE)
     if store.replace_segments(segments, merged):
         return merged
     if merged:  # another process has merged or dropped one of them
-        files.delete_dir(store.path(merged.id))
+        store.delete_segment(merged.id)
     return None
 
 

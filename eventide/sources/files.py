@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 from py4j.protocol import Py4JJavaError
-from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import SparkSession
 
 
@@ -52,42 +52,59 @@ def read_text(path: str) -> str:
         return stream.read().decode()
 
 
+#: Hadoop's file systems with a rename that does not overwrite; others are taken for object stores.
+RENAMING = ("hdfs", "viewfs", "webhdfs", "swebhdfs")
+
+
 def create_text(spark: SparkSession, path: str, text: str) -> bool:
     """Write a file so that it appears whole or not at all; False if there is one of this name already.
 
-    Locally this is a hard link; elsewhere a rename by Hadoop that does not overwrite, which is atomic on HDFS. On an object
-    store without such a rename, only one process may write to a store.
+    Locally this is a hard link, on HDFS a rename that does not overwrite, and on object stores a conditional create: these show a
+    file when it is closed, and the condition is checked by the store. A store that cannot do so is refused with an error.
     """
+    scheme = path.partition("://")[0] if "://" in path else "file"
+    if scheme != "file":
+        return _create_by_hadoop(spark, path, text, scheme)
     fs, at = place(path)
     fs.create_dir(at.rpartition("/")[0], recursive=True)
     name = f"{at}.{uuid.uuid4().hex}.tmp"
     with fs.open_output_stream(name) as stream:
         stream.write(text.encode())
     try:
-        if isinstance(fs, LocalFileSystem):
-            os.link(name, at)
-        elif fs.get_file_info(at).type != FileType.NotFound:
-            return False
-        else:
-            _rename(spark, path, f"{path}{name[len(at):]}")
+        os.link(name, at)
     except FileExistsError:
         return False
     finally:
-        if fs.get_file_info(name).type != FileType.NotFound:
-            fs.delete_file(name)
+        fs.delete_file(name)
     return True
 
 
-def _rename(spark: SparkSession, path: str, name: str) -> None:
-    hadoop = spark._jvm.org.apache.hadoop.fs
+def _create_by_hadoop(spark: SparkSession, path: str, text: str, scheme: str) -> bool:
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
     target = hadoop.Path(path)
-    never = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+    fs = target.getFileSystem(conf)
+    renaming = scheme in RENAMING
+    if fs.exists(target):
+        return False
+    written = hadoop.Path(f"{path}.{uuid.uuid4().hex}.tmp") if renaming else target
     try:
-        hadoop.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()).rename(hadoop.Path(name), target, never)
+        builder = fs.createFile(written).recursive().overwrite(False)
+        if scheme in ("s3", "s3a", "s3n"):
+            builder.must("fs.option.create.conditional.overwrite", True)
+        stream = builder.build()
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        if renaming:
+            never = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+            hadoop.FileContext.getFileContext(target.toUri(), conf).rename(written, target, never)
     except Py4JJavaError as error:
-        if "FileAlreadyExistsException" in str(error.java_exception):
-            raise FileExistsError(path) from error
+        if any(name in str(error.java_exception) for name in ("FileAlreadyExistsException", "already exists", "PreconditionFailed", "412")):
+            return False
         raise
+    finally:
+        if renaming and fs.exists(written):
+            fs.delete(written, False)
+    return True
 
 
 def newest_change(path: str) -> float | None:

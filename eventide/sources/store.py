@@ -12,17 +12,18 @@ only after a time of grace, in which readers and writers that know an older mani
 
 from __future__ import annotations
 
-import json
 import time
 import uuid
 from dataclasses import asdict, dataclass, field, replace
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ingest import first_per_key, new_keys
 from . import files
+from .keys import FILTER, key_filter, segments_with, slots_for
+from .log import Folder, SharedFolder, VersionLog
 from .schema import EVENT_SCHEMA, KEY, TIME, conform
 
 HOT, ARCHIVE = "hot", "archive"
@@ -34,7 +35,11 @@ class NoDataSources(Exception):
 
 @dataclass(frozen=True)
 class Segment:
-    """min_us and max_us bound the last times, in microseconds; None: unknown, so always read."""
+    """min_us and max_us bound the last times, in microseconds; None: unknown, so always read.
+
+    low_key and high_key bound the keys, by length and then by text; slots is the size of their filter (0: no row has a key; None: there
+    is no filter, so appends read the segment).
+    """
 
     id: str
     tier: str
@@ -42,6 +47,16 @@ class Segment:
     bytes: int
     min_us: int | None
     max_us: int | None
+    low_key: str | None = None
+    high_key: str | None = None
+    slots: int | None = None
+
+    def may_hold(self, low: str, high: str) -> bool:
+        """Whether keys between these may be in the segment, by the bounds alone."""
+        if self.slots is None or self.low_key is None or self.high_key is None:
+            return self.slots != 0
+        place = lambda key: (len(key), key.encode())
+        return place(self.low_key) <= place(high) and place(self.high_key) >= place(low)
 
     def overlaps(self, start_us: int, end_us: int) -> bool:
         return self.min_us is None or self.max_us is None or (self.max_us >= start_us and self.min_us <= end_us)
@@ -55,14 +70,15 @@ class Manifest:
     batches: dict[str, int] = field(default_factory=dict)
     #: segments that were replaced, and when, in seconds
     dropped: dict[str, float] = field(default_factory=dict)
+    #: the tokens of the versions that led here
+    lineage: tuple[str, ...] = ()
 
-    def to_json(self) -> str:
-        return json.dumps({"version": self.version, "segments": [asdict(s) for s in self.segments], "batches": self.batches, "dropped": self.dropped})
+    def to_record(self) -> dict:
+        return {"version": self.version, "lineage": list(self.lineage), "segments": [asdict(s) for s in self.segments], "batches": self.batches, "dropped": self.dropped}
 
     @staticmethod
-    def from_json(text: str) -> Manifest:
-        raw = json.loads(text)
-        return Manifest(raw["version"], tuple(Segment(**s) for s in raw["segments"]), raw["batches"], raw.get("dropped", {}))
+    def from_record(raw: dict) -> Manifest:
+        return Manifest(raw["version"], tuple(Segment(**s) for s in raw["segments"]), raw["batches"], raw.get("dropped", {}), tuple(raw.get("lineage", ())))
 
 
 def micros(t: datetime) -> int:
@@ -80,70 +96,113 @@ GRACE = 3600.0
 
 
 class EventStore:
-    """Any number of readers, and of writers of one process or on a file system that renames without overwriting."""
+    """Any number of readers and writers, of any processes.
+
+    log: where the manifest's versions are kept, if not in a folder of the store (for stores that need a service to create a file only once).
+    """
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
+    def __init__(self, spark: SparkSession, root: str, log: Folder | None = None) -> None:
         self.spark, self.root = spark, root.rstrip("/")
+        self.log = VersionLog(log or SharedFolder(spark, f"{self.root}/manifest"))
 
     def versions(self) -> list[str]:
-        return [n for n in files.names_in(f"{self.root}/manifest") if n.endswith(".json")]
+        return self.log.names()
 
     def manifest(self) -> Manifest:
-        names = self.versions()
-        return Manifest.from_json(files.read_text(f"{self.root}/manifest/{names[-1]}")) if names else Manifest()
+        newest = self.log.newest()
+        return Manifest.from_record(newest) if newest else Manifest()
 
     def publish(self, before: Manifest, **changes) -> bool:
         """Publish the manifest with these changes, unless another version has come meanwhile."""
-        now = replace(before, version=before.version + 1, **changes)
-        return files.create_text(self.spark, f"{self.root}/manifest/{now.version:012d}.json", now.to_json())
+        return self.log.follow(before.to_record() if before.version else None, replace(before, **changes).to_record())
 
     def path(self, segment_id: str) -> str:
         return f"{self.root}/segments/{segment_id}"
 
+    def filter_path(self, segment_id: str) -> str:
+        return f"{self.root}/filters/{segment_id}"
+
+    def delete_segment(self, segment_id: str) -> None:
+        files.delete_dir(self.path(segment_id))
+        files.delete_dir(self.filter_path(segment_id))
+
+    def rows_of(self, *segment_ids: str) -> DataFrame:
+        return self.spark.read.schema(EVENT_SCHEMA).parquet(*[self.path(i) for i in segment_ids])
+
+    def keys_of(self, *segment_ids: str) -> DataFrame:
+        return self.rows_of(*segment_ids).select(F.col(KEY).alias("key"))
+
     def write_segment(self, rows: DataFrame, tier: str) -> Segment | None:
-        """Write rows as a segment that no manifest lists yet; None if there are no rows."""
-        segment_id = uuid.uuid4().hex
-        rows.write.option("compression", "zstd").parquet(self.path(segment_id))
-        held = self.spark.read.schema(EVENT_SCHEMA).parquet(self.path(segment_id))
-        found = held.agg(F.count("*").alias("n"), F.unix_micros(F.min(TIME)).alias("low"), F.unix_micros(F.max(TIME)).alias("high"), F.count_if(F.col(TIME).isNull()).alias("timeless")).first()
+        """Write rows as a segment that no manifest lists yet, with the filter of its keys; None if there are no rows.
+
+        Counts and bounds are taken while the rows are written; only the keys are read again.
+        """
+        segment_id, seen, key = uuid.uuid4().hex, Observation(), F.col(KEY)
+        placed = F.when(key.isNotNull(), F.struct(F.length(key), key))
+        figures = [F.count(F.lit(1)).alias("n"), F.count(key).alias("keys"), F.count(TIME).alias("timed"), F.unix_micros(F.min(TIME)).alias("low"), F.unix_micros(F.max(TIME)).alias("high"), F.min(placed).alias("low_key"), F.max(placed).alias("high_key")]
+        rows.observe(seen, *figures).write.option("compression", "zstd").parquet(self.path(segment_id))
+        found = seen.get
         if not found["n"]:
-            files.delete_dir(self.path(segment_id))
+            self.delete_segment(segment_id)
             return None
-        bounds = (None, None) if found["timeless"] else (found["low"], found["high"])
-        return Segment(segment_id, tier, found["n"], files.size_of(self.path(segment_id)), *bounds)
+        slots = slots_for(found["keys"])
+        if slots:
+            key_filter(self.keys_of(segment_id), segment_id, slots).write.parquet(self.filter_path(segment_id))
+        times = (found["low"], found["high"]) if found["timed"] == found["n"] else (None, None)
+        ends = [found[c][1] if found[c] else None for c in ("low_key", "high_key")]
+        return Segment(segment_id, tier, found["n"], files.size_of(self.path(segment_id)), *times, *ends, slots)
 
     def append(self, events: DataFrame, stream: str | None = None, batch: int | None = None) -> int:
         """Add the events whose key is new; the first of a key wins. Gives the number of rows that are added.
 
-        A stream's batch that is in already is skipped, so a repeated batch changes nothing. Keys are looked
-        up in the segments whose times overlap the batch's: an event that is listed again has the same times.
+        A stream's batch that is in already is skipped, so a repeated batch changes nothing. The batch is written once,
+        and once more only if the store holds some of its keys.
         """
-        fresh, bounds = conform(events), None
+        now = self.manifest()
+        known = lambda: stream is not None and batch is not None and now.batches.get(stream, -1) >= batch
+        if known():
+            return 0
+        added, checked = self.write_segment(first_per_key(conform(events), KEY), HOT), set()
+        now = self.manifest()
         while True:
-            now = self.manifest()
-            if stream is not None and batch is not None and now.batches.get(stream, -1) >= batch:
+            if known():
+                if added:
+                    self.delete_segment(added.id)
                 return 0
-            bounds = bounds or fresh.agg(F.count("*").alias("n"), F.unix_micros(F.min(TIME)).alias("low"), F.unix_micros(F.max(TIME)).alias("high"), F.count_if(F.col(TIME).isNull()).alias("timeless")).first()
-            added = self.write_segment(self.new_rows(fresh, now, bounds), HOT) if bounds["n"] else None
+            if added:
+                added = self.without_known(added, [s for s in now.segments if s.id not in checked])
+                checked |= {s.id for s in now.segments}
             batches = now.batches if stream is None or batch is None else now.batches | {stream: batch}
             if not added and batches == now.batches:
                 return 0
             if self.publish(now, segments=(*now.segments, *([added] if added else [])), batches=batches):
                 return added.rows if added else 0
-            if added:  # another version came first: look the keys up again
-                files.delete_dir(self.path(added.id))
-
-    def new_rows(self, fresh: DataFrame, now: Manifest, bounds: Row) -> DataFrame:
-        """The first row of each key that the manifest's segments lack."""
-        rows = first_per_key(fresh, KEY)
-        low, high = (-(1 << 62), 1 << 62) if bounds["timeless"] else (bounds["low"], bounds["high"])
-        near = [s for s in now.segments if s.overlaps(low, high)]
+            now = self.manifest()  # another version came first: look the keys up in what it has brought
+
+    def without_known(self, added: Segment, held: list[Segment]) -> Segment | None:
+        """The segment, or another without the rows whose keys these segments hold; None if no row is left."""
+        near = self.holders(added, held)
         if not near:
-            return rows
-        held = self.spark.read.schema(EVENT_SCHEMA).parquet(*[self.path(s.id) for s in near])
-        if not bounds["timeless"]:
-            held = held.where(F.col(TIME).between(instant(low), instant(high)) | F.col(TIME).isNull())
-        return new_keys(rows, held, KEY)
+            return added
+        rows = new_keys(self.rows_of(added.id), self.keys_of(*near), KEY, "key")
+        fewer = self.write_segment(rows, added.tier)
+        if fewer and fewer.rows == added.rows:
+            self.delete_segment(fewer.id)
+            return added
+        self.delete_segment(added.id)
+        return fewer
+
+    def holders(self, added: Segment, held: list[Segment]) -> list[str]:
+        """The segments that may hold a key of this one, by the bounds of their keys and their filters."""
+        if not added.slots or added.low_key is None or added.high_key is None:
+            return [] if added.slots == 0 else [s.id for s in held]
+        near = [s for s in held if s.may_hold(added.low_key, added.high_key)]
+        asked = [s for s in near if s.slots]
+        found = set()
+        if asked:
+            filters = self.spark.read.schema(FILTER).parquet(*[self.filter_path(s.id) for s in asked])
+            found = set(segments_with(self.keys_of(added.id), filters, sorted({s.slots for s in asked})))
+        return [s.id for s in near if s.slots is None or s.id in found]
 
     def relevant(self, start: datetime, end: datetime) -> list[Segment]:
         return [s for s in self.manifest().segments if s.overlaps(micros(start), micros(end))]
@@ -187,11 +246,8 @@ class EventStore:
             if name not in listed and name not in now.dropped and (files.newest_change(self.path(name)) or before) < before:
                 old.append(name)
         for name in old:
-            files.delete_dir(self.path(name))
-        for name in files.names_in(f"{self.root}/manifest"):
-            path = f"{self.root}/manifest/{name}"
-            if name != f"{now.version:012d}.json" and (files.newest_change(path) or before) < before:
-                files.delete_file(path)
+            self.delete_segment(name)
+        self.log.prune(before)
         while set(old) & set(now.dropped) and not self.publish(now, dropped={i: at for i, at in now.dropped.items() if i not in old}):
             now = self.manifest()
         return len(old)
