@@ -7,19 +7,22 @@ import gzip
 import json
 import os
 import re
+import shutil
 import tempfile
 import time
 from collections import Counter
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import datetime
 from typing import Any, BinaryIO
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .session import request_session
 from .sources import files
-from .sources.schema import TIME
+from .sources.schema import KEY, TIME
 from .sources.store import EventStore
 
 # Functions that have another name in Spark SQL.
@@ -94,6 +97,29 @@ def json_rows(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*"), JSON).alias("value"))
 
 
+@dataclass
+class Members:
+    """The gzip members of an export: path and size of each, and the number of rows in all."""
+
+    parts: list[tuple[str, int]]
+    rows: int
+
+    @property
+    def size(self) -> int:
+        return sum(size for _, size in self.parts) or len(NOTHING)
+
+    def pass_on(self, out: BinaryIO) -> None:
+        for path, _ in self.parts:
+            with files.open_input(path) as stream:
+                shutil.copyfileobj(stream, out, 1 << 20)
+        if not self.parts:
+            out.write(NOTHING)
+
+
+#: A gzipped empty file.
+NOTHING = gzip.compress(b"", mtime=0)
+
+
 class Engine:
     def __init__(self, spark: SparkSession, store: EventStore) -> None:
         self.spark, self.store = spark, store
@@ -126,30 +152,39 @@ class Engine:
         return QueryResult(rows, took, [{"path": self.store.path(s.id), "size": s.bytes} for s in segments], sum(s.bytes for s in segments))
 
     def ordered(self, start: datetime, end: datetime, where: str = "") -> DataFrame:
-        """The window's events by time; where is one SQL expression."""
+        """The window's events by time, then by key; where is one SQL expression."""
         session = request_session(self.spark)
         events, _ = self.store.events(start, end, session)
-        return (checked(events.where(where)) if where.strip() else events).orderBy(TIME)
+        return (checked(events.where(where)) if where.strip() else events).orderBy(TIME, KEY)
 
     def export(self, target: str | BinaryIO, start: datetime, end: datetime, where: str = "") -> int:
-        """Write the window's events to one gzipped file or stream, a JSON object a line. Gives the number of rows.
+        """Write the window's events, by time, to one gzipped file or stream, a JSON object a line. Gives the number of rows.
 
-        All rows pass through the driver, which holds a partition at a time: for large windows, use ``export_files``.
+        Executors sort and write the parts; the driver only passes on their bytes, a block at a time.
         """
-        return self.write_rows(target, json_rows(self.ordered(start, end, where)))
-
-    @staticmethod
-    def write_rows(target: str | BinaryIO, rows: DataFrame) -> int:
-        n = 0
-        with gzip.open(target, "wt", encoding="utf-8") as out:
-            for row in rows.toLocalIterator():
-                out.write(row["value"] + "\n")
-                n += 1
-        return n
-
-    def export_files(self, path: str, start: datetime, end: datetime, where: str = "") -> None:
-        """The same as a folder of gzipped part files, which executors write."""
-        json_rows(self.ordered(start, end, where)).write.option("compression", "gzip").text(path)
+        with self.members(start, end, where) as found:
+            if isinstance(target, str):
+                with open(target, "wb") as out:
+                    found.pass_on(out)
+            else:
+                found.pass_on(target)
+        return found.rows
+
+    @contextmanager
+    def members(self, start: datetime, end: datetime, where: str = "") -> Iterator[Members]:
+        """The export as gzip members, in order, which together are one gzipped file; they are deleted afterwards."""
+        path = files.new_path(self.spark, "export")
+        try:
+            rows = self.export_files(path, start, end, where)
+            yield Members(files.parts_in(path), rows)
+        finally:
+            files.remove(self.spark, path)
+
+    def export_files(self, path: str, start: datetime, end: datetime, where: str = "") -> int:
+        """The same as a folder of gzipped part files, which executors write. The parts' order is that of the events. Gives the number of rows."""
+        seen = Observation()
+        json_rows(self.ordered(start, end, where)).observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", "gzip").text(path)
+        return seen.get["n"]
 
     def stats(self) -> dict[str, Any]:
         manifest, errors = self.store.manifest(), []

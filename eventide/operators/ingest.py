@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 def first_per_key(rows: DataFrame, key: str, *order: str) -> DataFrame:
     """One row per key: the first by the given order, or by arrival. Rows whose key is null all stay.
 
-    It is an aggregate, so copies of a frequent key are combined before the shuffle.
+    It is an aggregate, so copies of a frequent key are combined before the shuffle. The rows are read once.
     """
-    first_by = [F.col(c) for c in order] or [F.monotonically_increasing_id()]
-    packed = rows.select(F.col(key).alias("key"), F.struct(*rows.columns).alias("row"), F.struct(*[c.alias(f"o{k}") for k, c in enumerate(first_by)]).alias("at"))
-    keyed = packed.where("key IS NOT NULL").groupBy("key").agg(F.min_by("row", "at").alias("row")).select("row.*")
-    return keyed.union(rows.where(F.col(key).isNull()))
+    arrival = F.monotonically_increasing_id()
+    at = F.struct(*[F.col(c).alias(f"o{k}") for k, c in enumerate(order)]) if order else arrival
+    alone = F.when(F.col(key).isNull(), arrival)
+    packed = rows.select(F.col(key).alias("key"), alone.alias("alone"), F.struct(*rows.columns).alias("row"), at.alias("at"))
+    return packed.groupBy("key", "alone").agg(F.min_by("row", "at").alias("row")).select("row.*")
 
 
 def new_keys(rows: DataFrame, held: DataFrame, key: str, held_key: str | None = None) -> DataFrame:

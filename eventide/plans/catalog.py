@@ -13,6 +13,7 @@ from ..functions.time_bucket import time_bucket
 from ..operators import predicates as P
 from ..operators.asof import asof_join
 from ..operators.ingest import first_per_key
+from ..operators.interval import interval_join
 from ..operators.lifecycle import archive, compact
 from ..operators.timeline import reason_severity, share_of_largest, timeline, timeline_shares, timeline_wide
 from ..session import request_session
@@ -438,7 +439,7 @@ on_tables(
 on_tables(
     "join_range",
     "SELECT a.event_id, count(*) AS n FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL '1 hour' GROUP BY 1",
-    lambda e: e.alias("a").join(e.alias("b"), F.expr("a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL '1' HOUR")).groupBy("a.event_id").agg(count_as("n")),
+    lambda e: interval_join(e.select("user_id", "ts", "event_id"), e.select("user_id", "ts"), ["user_id"], "ts", 0, 3600, "right").groupBy("l.event_id").agg(count_as("n")),
     "events",
 )
 on_tables(

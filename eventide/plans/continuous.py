@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.bridge import BRIDGE_SQL
 from ..sources.files import new_path
 from ..sources.store import EventStore
-from .catalog import RV, STORED_SQL, TIME, native, query, stored
+from .catalog import END, RV, START, STORED_SQL, TIME, loaded_store, native, query, stored
 
 
 @query("append_known_keys", STORED_SQL)
@@ -20,3 +21,21 @@ def append_known_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     later = F.col(TIME) + F.expr("INTERVAL 9 DAYS")
     store.append(events.withColumn(TIME, F.when(third < 2, later).otherwise(F.col(TIME))))
     return stored(store)
+
+
+@query("download_ordered", f"WITH {BRIDGE_SQL} SELECT count(*) AS n, 0 AS out_of_order FROM e")
+def download_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of a download, and the rows among them that come before one that should be earlier: within a part, or in the part before."""
+    from ..engine import Engine
+
+    path = new_path(spark, "download")
+    Engine(spark, loaded_store(spark, sf_dir, 2)).export_files(path, START, END)
+    part = F.regexp_extract(F.col("_metadata.file_name"), "part-([0-9]+)", 1).cast("int")
+    place = F.struct(F.get_json_object("value", f"$.{TIME}"), F.get_json_object("value", f"$.{RV}"))
+    rows = spark.read.text(path).select(part.alias("part"), F.monotonically_increasing_id().alias("line"), place.alias("place"))
+    within = Window.partitionBy("part").orderBy("line")
+    parts = rows.withColumn("falls", F.coalesce(F.lag("place").over(within) > F.col("place"), F.lit(False))).groupBy("part")
+    ends = parts.agg(F.count("*").alias("n"), F.count_if("falls").alias("falls"), F.min("place").alias("low"), F.max("place").alias("high"))
+    between = F.coalesce(F.lag("high").over(Window.orderBy("part")) > F.col("low"), F.lit(False)).cast("long")  # a row for each part
+    ends = ends.withColumn("falls", F.col("falls") + between)
+    return ends.agg(F.sum("n").alias("n"), F.sum("falls").cast("int").alias("out_of_order"))

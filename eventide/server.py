@@ -8,7 +8,7 @@ from datetime import datetime
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlsplit
 
-from .engine import Engine, TooManyRows, json_rows
+from .engine import Engine, TooManyRows
 from .streaming.ingest import CollectedCounter
 
 
@@ -63,16 +63,22 @@ def serve(engine: Engine, port: int = 8080, counter: CollectedCounter | None = N
                     start, end = (datetime.fromisoformat(given[k].replace(" ", "+")) for k in ("from", "to"))
                 except (ValueError, KeyError) as error:
                     return self.answer(400, f"bad request: {error}".encode())
+                begun = False
                 try:
-                    rows = json_rows(engine.ordered(start, end, given.get("where", "")))
+                    with engine.members(start, end, given.get("where", "")) as found:
+                        self.send_response(200)
+                        self.send_header("Content-Type", "application/octet-stream")
+                        self.send_header("Content-Length", str(found.size))
+                        self.send_header("Content-Disposition", f'attachment; filename="events_{given["from"]}_{given["to"]}.jsonl.gz"')
+                        self.send_header("Access-Control-Allow-Origin", "*")
+                        self.end_headers()
+                        begun = True
+                        found.pass_on(self.wfile)
                 except Exception as error:
-                    return self.answer(500, str(error).encode())
-                self.send_response(200)
-                self.send_header("Content-Type", "application/octet-stream")
-                self.send_header("Content-Disposition", f'attachment; filename="events_{given["from"]}_{given["to"]}.jsonl.gz"')
-                self.send_header("Access-Control-Allow-Origin", "*")
-                self.end_headers()
-                engine.write_rows(self.wfile, rows)
+                    if begun:  # the answer's head is out: only a cut connection can tell
+                        self.close_connection = True
+                        raise
+                    self.answer(500, str(error).encode())
             else:
                 self.answer(405 if url.path == "/query" else 404, b"")
 

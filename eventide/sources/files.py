@@ -46,6 +46,18 @@ def names_in(path: str) -> list[str]:
     return sorted(i.base_name for i in fs.get_file_info(FileSelector(root, allow_not_found=True)))
 
 
+def parts_in(path: str) -> list[tuple[str, int]]:
+    """Path and size of the part files that Spark wrote to a folder, in the order of its partitions."""
+    fs, root = place(path)
+    found = [i for i in fs.get_file_info(FileSelector(root, allow_not_found=True)) if i.base_name.startswith("part-")]
+    return [(f"{path}/{i.base_name}", i.size) for i in sorted(found, key=lambda i: int(i.base_name.split("-")[1]))]
+
+
+def open_input(path: str):
+    fs, at = place(path)
+    return fs.open_input_stream(at, compression=None)
+
+
 def read_text(path: str) -> str:
     fs, at = place(path)
     with fs.open_input_stream(at) as stream:

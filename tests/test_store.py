@@ -168,13 +168,38 @@ def test_export_and_stats(store, spark, tmp_path):
     assert engine.export(f"{tmp_path}/out.gz", at(0), at(200), "reason = 'a'") == 10
     rows = [json.loads(x) for x in gzip.open(f"{tmp_path}/out.gz", "rt")]
     assert [r["lastTimestamp"] for r in rows] == sorted(r["lastTimestamp"] for r in rows) and "related" in rows[0]
-    engine.export_files(f"file://{tmp_path}/parts", at(0), at(200))
+    assert engine.export_files(f"file://{tmp_path}/parts", at(0), at(200)) == 20
     assert spark.read.text(f"file://{tmp_path}/parts").count() == 20
     stats = engine.stats()
     assert stats["memory"][0]["most"] > 0 and stats["temporary_files"]["bytes"] >= 0
     assert stats["rows"] == {"hot": 20} and stats["data_dir_size"] > 0 and stats["errors"] == []
 
 
+def test_a_download_is_one_file_of_many_members(store, spark, tmp_path, monkeypatch):
+    import gzip
+    import io
+    import json
+
+    from eventide.sources import files
+
+    for part in range(3):
+        store.append(frame(spark, *[event(f"{k:04}", (k * 37) % 500) for k in range(part, 600, 3)]))
+    monkeypatch.setitem(__import__("eventide.session", fromlist=["x"]).SETTINGS, "spark.sql.adaptive.enabled", "false")
+    engine, out = Engine(spark, store), io.BytesIO()
+    made = []
+    usual = files.new_path
+    monkeypatch.setattr(files, "new_path", lambda *a: made.append(usual(*a)) or made[-1])
+    with engine.members(at(0), at(500)) as found:
+        assert len(found.parts) > 1 and found.rows == 600
+        found.pass_on(out)
+        assert found.size == len(out.getvalue())
+    assert files.parts_in(made[0]) == []
+    rows = [json.loads(x) for x in gzip.decompress(out.getvalue()).splitlines()]
+    places = [(r["lastTimestamp"], r["metadata"]["resourceVersion"]) for r in rows]
+    assert len(places) == 600 and places == sorted(places)
+    assert engine.export(f"{tmp_path}/none.gz", at(0), at(500), "reason = 'none'") == 0 and gzip.open(f"{tmp_path}/none.gz").read() == b""
+
+
 def test_http(store, spark):
     import gzip
     import json
