@@ -34,7 +34,7 @@ from . import common
 
 UNIT, LEAST_DOCUMENTS, RANKS = 1_000_000_000, 3, 200
 #: Rows and columns of a tile, and of a leaf; leaves that are compared at once; and distinct counts that a task holds before it passes them on.
-TILE, BLOCK, LEAF, AT_ONCE, HELD = 128, 1024, 8, 1024, 200_000
+TILE, BLOCK, LEAF, AT_ONCE, HELD = 128, 1024, 4, 512, 500_000
 #: Bytes that terms consist of, A to Z lower-cased; all other bytes become blanks.
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -129,10 +129,10 @@ class QuadTree:
 
 
 def divergences(a: QuadTree, b: QuadTree, rows: tuple[int, int], columns: int) -> tuple[np.ndarray, np.ndarray]:
-    """The divergences of all rows of a from all rows of b, and of b from a (with a's rows first), over so many columns."""
+    """The divergences of all rows of a from all rows of b, and of b from a (with a's rows first; left out if they are one), over so many columns."""
     height = len(a.bits)
-    side = 1 << height
-    empty = np.zeros((side, side), np.int64)  # columns in which both rows have no count, by squares of rows
+    side, high, wide = 1 << height, -(-rows[0] // LEAF), -(-rows[1] // LEAF)
+    empty = np.zeros((high, wide), np.int64)  # columns in which both rows have no count, by squares of rows
     some = lambda tree: np.zeros(1, np.int64) - (not len(tree.leaves))
     na, nb, ra, rb, c = some(a), some(b), *np.zeros((3, 1), np.int64)
     for level in range(height):
@@ -151,17 +151,35 @@ def divergences(a: QuadTree, b: QuadTree, rows: tuple[int, int], columns: int) -
         both = (na < 0) & (nb < 0)
         empty += columns * both
         na, nb, ra, rb, c = (x[~both] for x in (na, nb, ra, rb, c))
-    sums = np.zeros((2, side, side, LEAF, LEAF), np.int64)
+    order = np.lexsort((rb, ra))
+    na, nb, ra, rb, c = (x[order] for x in (na, nb, ra, rb, c))
+    # a tile with itself has all its pairs in one direction already
+    sums = np.zeros((1 if a is b else 2, high, wide, LEAF, LEAF), np.int64)
     for at in range(0, len(c), AT_ONCE):
         x, y, where = ra[at : at + AT_ONCE], rb[at : at + AT_ONCE], c[at : at + AT_ONCE]
         p, q = a.shares(na[at : at + AT_ONCE], x)[:, :, None, :], b.shares(nb[at : at + AT_ONCE], y)[:, None, :, :]
-        square = (p - q) ** 2 * (where[:, None] * LEAF + np.arange(LEAF) < columns)[:, None, None, :]
-        for k, by in enumerate((q, p)):
-            np.add.at(sums[k], (x, y), (square // by).sum(3))
-    flat = sums.transpose(0, 1, 3, 2, 4).reshape(2, side * LEAF, side * LEAF)
+        within = where[:, None] * LEAF + np.arange(LEAF) < columns
+        firsts = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+        for k, by in enumerate((q, p)[: len(sums)]):
+            found = quotients(p - q, by)
+            if not within.all():
+                found = found * within[:, None, None, :]
+            np.add.at(sums[k], (x[firsts], y[firsts]), np.add.reduceat(found.sum(3), firsts).astype(np.int64))
+    flat = sums.transpose(0, 1, 3, 2, 4).reshape(len(sums), high * LEAF, wide * LEAF)
     counts = np.repeat(np.repeat(empty, LEAF, 0), LEAF, 1)
-    p, q = a.zero[:, None], b.zero[None, :]
-    return tuple((flat[k] + counts * ((p - q) ** 2 // by))[: rows[0], : rows[1]] for k, by in enumerate((q, p)))
+    p, q = a.zero[: high * LEAF, None], b.zero[None, : wide * LEAF]
+    return tuple((flat[k] + counts * ((p - q) ** 2 // by))[: rows[0], : rows[1]] for k, by in enumerate((q, p)[: len(sums)]))
+
+
+def quotients(difference: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """floor(difference * difference / by). In doubles, which are fast, where they are exact: below 2 ** 53 a quotient of integers that is no
+    integer is never rounded to one, and sums of the quotients of a chunk of leaves stay exact too."""
+    if float(np.abs(difference).max(initial=0)) ** 2 * LEAF * AT_ONCE < 1 << 53:
+        square = difference.astype(np.float64)
+        square *= square
+        square /= by
+        return np.floor(square, out=square)
+    return difference**2 // by
 
 
 def pair_sums(cells: DataFrame, groups: DataFrame, tile: int = TILE) -> DataFrame:
@@ -210,7 +228,9 @@ def audit(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, ranks: int =
     docs = docs.select(empty("lang"), empty("source"), empty("text"))
     counts = common.materialize(term_counts(docs), "counts")
     kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs")).where(F.col("docs") >= least_documents)
-    langs = kept.groupBy("lang").agg(F.count("*").alias("kinds"), F.sum("total").alias("all"))
+    kept = common.materialize(kept, "kept")
+    # Written, so that its size is known when the joins with it are planned: a join that is planned as a shuffle would deal terms by language.
+    langs = common.materialize(kept.groupBy("lang").agg(F.count("*").alias("kinds"), F.sum("total").alias("all")), "langs")
     placed = kept.join(langs, "lang").withColumn("block", F.expr(f"CAST(pmod(xxhash64(term), ceil(kinds / {block})) AS INT)"))
     in_block = Window.partitionBy("lang", "block").orderBy(F.desc("docs"), "term")
     terms = common.materialize(placed.withColumn("col", F.row_number().over(in_block) - 1), "terms")

@@ -60,8 +60,10 @@ def test_groups_by_brute_force(spark, options):
 
 def test_trees_by_brute_force():
     rng = np.random.default_rng(3)
-    for rows, other, columns, height in ((5, 9, 70, 4), (16, 16, 16, 1), (8, 3, 5, 0), (20, 20, 0, 2)):
-        trees, full = [], []
+    for rows, other, columns in ((5, 9, 70), (16, 16, 16), (4, 3, 4), (20, 20, 0), (30, 2, 9)):
+        trees, full, height = [], [], 0
+        while divergence.LEAF << height < max(rows, other, columns):
+            height += 1
         for n in (rows, other):
             cells = np.argwhere(rng.random((n, columns)) < 0.15)
             zero, value = rng.integers(1, 1000, n), rng.integers(1, 10**9, len(cells))
@@ -75,6 +77,16 @@ def test_trees_by_brute_force():
         assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
 
 
+@pytest.mark.parametrize("most", [10**9, 3000])
+def test_quotients_are_exact(most):
+    rng = np.random.default_rng(4)
+    by = rng.integers(1, most, 200_000)
+    difference = rng.integers(-most, most, 200_000)
+    some = by * rng.integers(1, 50, 200_000)  # squares near multiples
+    for d in (difference, np.sqrt(some).astype(np.int64)):
+        assert (divergence.quotients(d, by) == d**2 // by).all()
+
+
 def test_sql_on_a_whole_table(spark):
     sf = "/root/testdata/sf0.001"
     got = sorted(tuple(r) for r in divergence.op11_source_divergence(spark, sf).collect())
