@@ -11,7 +11,7 @@ import shutil
 import tempfile
 import time
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import datetime
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .session import request_session
-from .sources import files
+from .sources import files, sketches
 from .sources.schema import KEY, TIME
 from .sources.store import EventStore
 
@@ -186,6 +186,10 @@ class Engine:
         json_rows(self.ordered(start, end, where)).observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", "gzip").text(path)
         return seen.get["n"]
 
+    def approximate(self, start: datetime, end: datetime, distinct: Sequence[str] = (), quantiles: Mapping[str, Sequence[float]] | None = None, width: str | None = None) -> DataFrame:
+        """Distinct counts and quantiles of a window by the segments' sketches: see ``sources.sketches``."""
+        return sketches.approximate(self.store, start, end, distinct, quantiles, width)
+
     def stats(self) -> dict[str, Any]:
         manifest, errors = self.store.manifest(), []
         try:

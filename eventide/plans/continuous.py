@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.bridge import BRIDGE_SQL
 from ..sources.files import new_path
+from ..sources.sketches import approximate
 from ..sources.store import EventStore
-from .catalog import END, RV, START, STORED_SQL, TIME, loaded_store, native, query, stored
+from .catalog import END, RV, START, STORED_SQL, TIME, loaded_store, native, query, stored, weekly_store
 
 
 @query("append_known_keys", STORED_SQL)
@@ -39,3 +42,26 @@ def download_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     between = F.coalesce(F.lag("high").over(Window.orderBy("part")) > F.col("low"), F.lit(False)).cast("long")  # a row for each part
     ends = ends.withColumn("falls", F.col("falls") + between)
     return ends.agg(F.sum("n").alias("n"), F.sum("falls").cast("int").alias("out_of_order"))
+
+
+@query(
+    "sketched_hours",
+    f"WITH {BRIDGE_SQL} SELECT time_bucket(INTERVAL '1 hour', ts) AS bucket, count(*) AS n, count(DISTINCT pod) AS objects_distinct, count(DISTINCT reason) AS reasons_distinct, 1.0 AS median_count FROM e WHERE ts BETWEEN TIMESTAMP '2024-01-02 00:30:00' AND TIMESTAMP '2024-01-20 10:20:30' GROUP BY 1",
+)
+def sketched_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct counts by hour from sketches of archived segments, and from the rows of hot ones and of the window's ends. Sets this small are exact."""
+    store = weekly_store(spark, sf_dir, archived=True)
+    found = approximate(store, datetime(2024, 1, 2, 0, 30), datetime(2024, 1, 20, 10, 20, 30), ["objects", "reasons"], {"count": [0.5]}, "1 hour")
+    return found.select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "n", "objects_distinct", "reasons_distinct", F.col("count_quantiles")[0].alias("median_count"))
+
+
+@query(
+    "sketched_window",
+    f"WITH {BRIDGE_SQL} SELECT count(*) AS n, count(DISTINCT pod) AS objects, TRUE AS within FROM e WHERE ts BETWEEN TIMESTAMP '2024-01-03 00:00:00' AND TIMESTAMP '2024-01-26 12:00:00'",
+)
+def sketched_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact number of objects in a window, and whether the sketches' number is within their bound of 5 % of it."""
+    store, window = weekly_store(spark, sf_dir, archived=True), (datetime(2024, 1, 3), datetime(2024, 1, 26, 12))
+    exact = store.events(*window)[0].agg(F.count_distinct("involvedObject.name").alias("objects"))
+    near = approximate(store, *window, ["objects"]).crossJoin(exact)  # one row each
+    return near.select("n", "objects", (F.abs(F.col("objects_distinct") - F.col("objects")) <= F.ceil(0.05 * F.col("objects"))).alias("within"))

@@ -25,6 +25,7 @@ from . import files
 from .keys import FILTER, key_filter, segments_with, slots_for
 from .log import Folder, SharedFolder, VersionLog
 from .schema import EVENT_SCHEMA, KEY, TIME, conform
+from .sketches import sketched
 
 HOT, ARCHIVE = "hot", "archive"
 
@@ -50,6 +51,8 @@ class Segment:
     low_key: str | None = None
     high_key: str | None = None
     slots: int | None = None
+    #: whether sketches lie beside it
+    sketched: bool = False
 
     def may_hold(self, low: str, high: str) -> bool:
         """Whether keys between these may be in the segment, by the bounds alone."""
@@ -122,9 +125,12 @@ class EventStore:
     def filter_path(self, segment_id: str) -> str:
         return f"{self.root}/filters/{segment_id}"
 
+    def sketch_path(self, segment_id: str) -> str:
+        return f"{self.root}/sketches/{segment_id}"
+
     def delete_segment(self, segment_id: str) -> None:
-        files.delete_dir(self.path(segment_id))
-        files.delete_dir(self.filter_path(segment_id))
+        for path in (self.path(segment_id), self.filter_path(segment_id), self.sketch_path(segment_id)):
+            files.delete_dir(path)
 
     def rows_of(self, *segment_ids: str) -> DataFrame:
         return self.spark.read.schema(EVENT_SCHEMA).parquet(*[self.path(i) for i in segment_ids])
@@ -135,7 +141,7 @@ class EventStore:
     def write_segment(self, rows: DataFrame, tier: str) -> Segment | None:
         """Write rows as a segment that no manifest lists yet, with the filter of its keys; None if there are no rows.
 
-        Counts and bounds are taken while the rows are written; only the keys are read again.
+        Counts and bounds are taken while the rows are written; only the keys are read again, and what archived segments have sketches of.
         """
         segment_id, seen, key = uuid.uuid4().hex, Observation(), F.col(KEY)
         placed = F.when(key.isNotNull(), F.struct(F.length(key), key))
@@ -148,9 +154,11 @@ class EventStore:
         slots = slots_for(found["keys"])
         if slots:
             key_filter(self.keys_of(segment_id), segment_id, slots).write.parquet(self.filter_path(segment_id))
+        if tier == ARCHIVE:
+            sketched(self.rows_of(segment_id)).write.option("compression", "zstd").parquet(self.sketch_path(segment_id))
         times = (found["low"], found["high"]) if found["timed"] == found["n"] else (None, None)
         ends = [found[c][1] if found[c] else None for c in ("low_key", "high_key")]
-        return Segment(segment_id, tier, found["n"], files.size_of(self.path(segment_id)), *times, *ends, slots)
+        return Segment(segment_id, tier, found["n"], files.size_of(self.path(segment_id)), *times, *ends, slots, tier == ARCHIVE)
 
     def append(self, events: DataFrame, stream: str | None = None, batch: int | None = None) -> int:
         """Add the events whose key is new; the first of a key wins. Gives the number of rows that are added.
