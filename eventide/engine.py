@@ -6,7 +6,6 @@ import glob
 import gzip
 import json
 import os
-import re
 import shutil
 import tempfile
 import time
@@ -15,25 +14,20 @@ from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import datetime
+from itertools import count
 from typing import Any, BinaryIO
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from .dialect import VIEW, Asof, Spark, candidates
+from .operators.asof import asof_join
 from .session import request_session
 from .sources import files, sketches
 from .sources.schema import KEY, TIME
 from .sources.store import EventStore
 
-# Functions that have another name in Spark SQL.
-SPELLINGS = {"arg_max": "max_by", "arg_min": "min_by", "quantile_cont": "percentile", "list": "collect_list", "epoch": "unix_seconds", "epoch_ms": "unix_millis", "epoch_us": "unix_micros", "regexp_matches": "regexp_like", "starts_with": "startswith", "ends_with": "endswith", "len": "length", "list_contains": "array_contains", "list_sort": "array_sort", "list_distinct": "array_distinct", "strpos": "instr"}
-#: Literals and comments, in which $events is only text, the token itself, and the words that are spelt in another way.
-_TOKEN = re.compile(
-    r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/|(?P<events>\$events\b)"
-    r"|\btime_bucket\s*\(\s*INTERVAL\s+'?(?P<n>\d+)\s*(?P<unit>month|year)s?'?\s*,|\b(?P<zoned>TIMESTAMPTZ)(?=\s*')|\b(?P<name>" + "|".join(SPELLINGS) + r")(?=\s*\()",
-    re.S | re.I,
-)
-VIEW = "window_events"
 JSON = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
@@ -57,17 +51,6 @@ class TooManyRows(ValueError):
 MOST_ROWS = 100_000
 
 
-def with_view(sql: str) -> str:
-    """The text with each $events token replaced by the view's name, and with Spark's names of functions."""
-
-    def spelt(m: re.Match) -> str:
-        if m["n"]:
-            return f"month_bucket({int(m['n']) * (12 if m['unit'].lower() == 'year' else 1)},"
-        return VIEW if m["events"] else "TIMESTAMP" if m["zoned"] else SPELLINGS[m["name"].lower()] if m["name"] else m[0]
-
-    return _TOKEN.sub(spelt, sql).strip().rstrip(";").rstrip()
-
-
 def checked(df: DataFrame) -> DataFrame:
     """The frame, if its plan reads nothing but the view and calls no Java method by name. Nothing has been run by then."""
 
@@ -89,6 +72,38 @@ def checked(df: DataFrame) -> DataFrame:
     return df
 
 
+def analysed(session: SparkSession, text: str) -> DataFrame:
+    """The text's frame, without rows: it can stand in brackets as a subquery, and reads nothing but the view."""
+    return checked(session.sql(f"SELECT * FROM (\n{text}\n) LIMIT 0"))
+
+
+def asking(session: SparkSession) -> Spark:
+    """What the dialect asks of a session."""
+    views = count()
+
+    def asof_view(left: str, right: str, join: Asof) -> str:
+        sides = [session.table(VIEW).limit(0)] * 2
+        for k, text in enumerate((left, right)):
+            analysed(session, text)
+            sides[k] = session.sql(text)
+        names = [f"key{n}" for n in range(len(join.keys))]
+        packed = [side.select(*[F.col(pair[k]).alias(n) for pair, n in zip(join.keys, names, strict=True)], F.col(join.times[k]).alias("at"), F.struct(*side.columns).alias(name)) for k, (side, name) in enumerate(zip(sides, (join.left, join.right), strict=True))]
+        if join.left.lower() == join.right.lower():
+            raise NotAQuery("the sides of an ASOF join have one name")
+        day = F.date_trunc("day", "at") if packed[0].schema["at"].dataType.typeName().startswith("timestamp") else None
+        met = asof_join(packed[0], packed[1], names, "at", day, join.strict)
+        if not join.outer:
+            met = met.where(F.col(join.right).isNotNull())
+        held = Counter(c.lower() for side in sides for c in side.columns)
+        merged = {x.lower() for x, _ in (*join.keys, join.times)} if join.using else set()
+        alone = [F.col(f"{name}.`{c}`").alias(c) for k, (side, name) in enumerate(zip(sides, (join.left, join.right), strict=True)) for c in side.columns if c.lower() not in (join.left.lower(), join.right.lower()) and (held[c.lower()] == 1 or not k and c.lower() in merged)]
+        view = f"asof_{next(views)}"
+        met.select(join.left, join.right, *alone).createOrReplaceTempView(view)
+        return view
+
+    return Spark(lambda text: analysed(session, text).columns, asof_view)
+
+
 def json_rows(df: DataFrame) -> DataFrame:
     """A column ``value``: each row as JSON, nulls included. Serialised in the JVM, which knows all times."""
     twice = [name for name, n in Counter(df.columns).items() if n > 1]
@@ -134,12 +149,17 @@ class Engine:
         session = request_session(self.spark)
         events, segments = self.store.events(start, end, session)
         events.createOrReplaceTempView(VIEW)
-        text = with_view(sql)
+        failed: Exception | None = None
         try:
-            checked(session.sql(f"SELECT * FROM (\n{text}\n) LIMIT 0"))
+            for text in candidates(sql, asking(session)):
+                try:
+                    analysed(session, text)
+                    return session.sql(text), segments
+                except AnalysisException as error:
+                    failed = failed or error
         except Exception as error:
             raise NotAQuery(str(error)) from error
-        return session.sql(text), segments
+        raise NotAQuery(str(failed)) from failed
 
     def query(self, sql: str, start: datetime, end: datetime, most_rows: int = MOST_ROWS) -> QueryResult:
         """The whole answer; TooManyRows if it has more than most_rows, as it is gathered in the driver."""

@@ -65,3 +65,36 @@ def sketched_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     exact = store.events(*window)[0].agg(F.count_distinct("involvedObject.name").alias("objects"))
     near = approximate(store, *window, ["objects"]).crossJoin(exact)  # one row each
     return near.select("n", "objects", (F.abs(F.col("objects_distinct") - F.col("objects")) <= F.ceil(0.05 * F.col("objects"))).alias("within"))
+
+
+# --- query texts in the dashboards' dialect -----------------------------------------------------
+
+#: The oracle's columns of the bridged events, as a query text over $events.
+FLAT_TEXT = f"e AS (SELECT {RV} AS rv, metadata.namespace AS ns, involvedObject.name AS pod, reason, type, {TIME} AS ts FROM $events)"
+
+
+def dialect(name: str, text: str, *times: str, sql: str | None = None) -> None:
+    """The same text for both engines, over e. times: columns that are given without zone."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from ..engine import Engine
+
+        frame, _ = Engine(spark, loaded_store(spark, sf_dir, 1)).frame(f"WITH {FLAT_TEXT}{text}", START, END)
+        return frame.withColumns({c: F.col(c).cast("timestamp_ntz") for c in times})
+
+    query(name, f"WITH {BRIDGE_SQL}{sql or text}")(run)
+
+
+dialect("sql_qualify", " SELECT pod, rv, row_number() OVER (PARTITION BY pod ORDER BY ts DESC, rv) AS k FROM e WHERE type = 'Warning' QUALIFY k <= 3 ORDER BY pod, k")
+dialect("sql_qualify_groups", " SELECT ns, reason, count(*) AS n FROM e GROUP BY ns, reason QUALIFY row_number() OVER (PARTITION BY ns ORDER BY count(*) DESC, reason) = 1")
+dialect("sql_exclude", " SELECT * EXCLUDE (ts, pod) FROM (SELECT rv, ns, pod, reason, type, ts FROM e) WHERE reason = 'Evicted'")
+dialect("sql_union_by_name", ", w AS (SELECT ns, reason, count(*) AS n FROM e GROUP BY 1, 2) SELECT ns, reason, n FROM w WHERE n > 1 UNION ALL BY NAME SELECT max(n) AS n, reason FROM w GROUP BY reason")
+dialect("sql_asof", " SELECT p.rv, q.rv AS before FROM (SELECT * FROM e WHERE reason = 'BackOff') p ASOF LEFT JOIN (SELECT pod, ts, max(rv) AS rv FROM e WHERE reason = 'Pulled' GROUP BY 1, 2) q ON p.pod = q.pod AND p.ts >= q.ts")
+dialect("sql_strftime", " SELECT strftime(ts, '%Y-%m-%d %H:00') AS label, strftime('%j', ts) AS day, count(*) AS n FROM e GROUP BY 1, 2")
+dialect("sql_len", " SELECT ns, len(list(rv)) AS many, CAST(max(len(reason)) AS INTEGER) AS longest, len(string_split(ns, '-')) AS parts FROM e GROUP BY ns", sql=" SELECT ns, CAST(len(list(rv)) AS INTEGER) AS many, CAST(max(len(reason)) AS INTEGER) AS longest, CAST(len(string_split(ns, '-')) AS INTEGER) AS parts FROM e GROUP BY ns")
+dialect("sql_lists", " SELECT reason, list_sort(list_distinct(list(ns)))[1] AS first, len(list_filter(list(ns), lambda x: x = 'ns-1')) AS ones, array_to_string(list_transform(list_sort(list_distinct(list(ns))), lambda x: upper(x)), '+') AS loud FROM e GROUP BY reason", sql=" SELECT reason, list_sort(list_distinct(list(ns)))[1] AS first, CAST(len(list_filter(list(ns), lambda x: x = 'ns-1')) AS INTEGER) AS ones, array_to_string(list_transform(list_sort(list_distinct(list(ns))), lambda x: upper(x)), '+') AS loud FROM e GROUP BY reason")
+dialect("sql_unnest", ", w AS (SELECT unnest(string_split(reason || '-' || ns, '-')) AS word FROM e) SELECT word, count(*) AS n FROM w GROUP BY word")
+dialect(
+    "sql_approx_quantile",
+    " SELECT reason, count(*) AS n, abs(approx_quantile(CAST(rv AS BIGINT), 0.5) - quantile_cont(CAST(rv AS BIGINT), 0.5)) <= 0.05 * (max(CAST(rv AS BIGINT)) - min(CAST(rv AS BIGINT))) AS near FROM e GROUP BY reason",
+)

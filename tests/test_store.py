@@ -4,7 +4,8 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from eventide.engine import Engine, NotAQuery, TooManyRows, with_view
+from eventide.dialect import with_view
+from eventide.engine import Engine, NotAQuery, TooManyRows
 from eventide.operators import lifecycle
 from eventide.operators.asof import asof_join
 from eventide.sources.schema import EVENT_SCHEMA, conform, normalise
