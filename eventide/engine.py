@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import glob
 import gzip
 import json
-import os
 import shutil
-import tempfile
 import time
 from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
@@ -21,6 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from . import figures
 from .dialect import VIEW, Asof, Spark, candidates
 from .operators.asof import asof_join
 from .session import request_session
@@ -217,6 +215,11 @@ class Engine:
         except OSError as error:
             size = 0
             errors.append(f"size of the data folder: {error}")
+        try:
+            folders = figures.local_folders(self.spark)
+        except Exception as error:
+            folders = []
+            errors.append(f"temporary files: {error}")
         tracker = self.spark.sparkContext.statusTracker()
         tiers = Counter({s.tier: 0 for s in manifest.segments})
         for s in manifest.segments:
@@ -227,30 +230,10 @@ class Engine:
             "segments": len(manifest.segments),
             "rows": dict(tiers),
             "batches": manifest.batches,
-            "memory": self.memory(),
-            "temporary_files": temporary_files(self.spark),
+            "memory": figures.executors(self.spark),
+            "temporary_files": {"files": sum(f["files"] for f in folders), "bytes": sum(f["bytes"] for f in folders), "folders": folders},
             "active_jobs": len(tracker.getActiveJobsIds()),
             "active_streams": [q.name for q in self.spark.streams.active],
             "tables_cached": [t.name for t in self.spark.catalog.listTables() if self.spark.catalog.isCached(t.name)],
             "errors": errors,
         }
-
-    def memory(self) -> list[dict[str, Any]]:
-        """Bytes of storage memory of the driver and each executor."""
-        held = self.spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(self.spark.sparkContext._jsc.sc().getExecutorMemoryStatus())
-        return [{"host": host, "most": held[host]._1(), "free": held[host]._2()} for host in held]
-
-
-def temporary_files(spark: SparkSession) -> dict[str, int]:
-    """Number and bytes of the files that Spark keeps in this machine's local folders."""
-    count = size = 0
-    for root in spark.sparkContext.getConf().get("spark.local.dir", tempfile.gettempdir()).split(","):
-        for folder in {*glob.glob(f"{glob.escape(root)}/blockmgr-*"), *glob.glob(f"{glob.escape(root)}/*/blockmgr-*")}:
-            for at, _, names in os.walk(folder):
-                for name in names:
-                    try:
-                        size += os.path.getsize(os.path.join(at, name))
-                        count += 1
-                    except OSError:  # it has gone meanwhile
-                        pass
-    return {"files": count, "bytes": size}

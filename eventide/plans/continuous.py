@@ -11,6 +11,8 @@ from ..sources.bridge import BRIDGE_SQL
 from ..sources.files import new_path
 from ..sources.sketches import approximate
 from ..sources.store import EventStore
+from ..streaming.incidents import incidents, with_state
+from ..streaming.joins import followed_by
 from .catalog import END, RV, START, STORED_SQL, TIME, loaded_store, native, query, stored, weekly_store
 
 
@@ -98,3 +100,45 @@ dialect(
     "sql_approx_quantile",
     " SELECT reason, count(*) AS n, abs(approx_quantile(CAST(rv AS BIGINT), 0.5) - quantile_cont(CAST(rv AS BIGINT), 0.5)) <= 0.05 * (max(CAST(rv AS BIGINT)) - min(CAST(rv AS BIGINT))) AS near FROM e GROUP BY reason",
 )
+
+
+# --- streams --------------------------------------------------------------------------------------
+
+
+def streamed(spark: SparkSession, rows: DataFrame, last: DataFrame | None = None, parts: int = 3) -> DataFrame:
+    """The rows as a stream of several files, dealt by hash, so most of them come late; then the last ones."""
+    folder = new_path(spark, "rows")
+    for part in range(parts):
+        rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(parts)) == part).repartition(1).write.parquet(f"{folder}/{part}")
+    if last is not None:
+        last.coalesce(1).write.parquet(f"{folder}/{parts}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+
+
+def drained(spark: SparkSession, frame: DataFrame) -> DataFrame:
+    """What the stream gives for all that is there."""
+    out = new_path(spark, "out")
+    frame.writeStream.outputMode("append").option("checkpointLocation", new_path(spark, "offsets")).format("parquet").option("path", out).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(frame.schema).parquet(out)
+
+
+@query("stream_join", f"WITH {BRIDGE_SQL} SELECT w.rv AS cause, n.rv AS effect FROM e w JOIN e n ON w.pod = n.pod AND n.ts BETWEEN w.ts AND w.ts + INTERVAL '1 hour' WHERE w.reason = 'FailedMount' AND n.reason = 'Started'")
+def stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts within an hour of a failed mount of the same object, from two streams."""
+    rows = native(spark, sf_dir).select(F.col(RV).alias("rv"), F.col("involvedObject.name").alias("pod"), "reason", F.col(TIME).alias("ts"))
+    sides = [streamed(spark, rows.where(F.col("reason") == r)) for r in ("FailedMount", "Started")]
+    return drained(spark, followed_by(*sides, ["pod"], "ts", "1 HOUR", "60 days")).select(F.col("cause.rv").alias("cause"), F.col("effect.rv").alias("effect"))
+
+
+@query(
+    "stream_incidents",
+    f"WITH {BRIDGE_SQL}, s AS (SELECT pod, ts, sum(fresh) OVER (PARTITION BY pod ORDER BY ts, rv) AS k FROM (SELECT pod, ts, rv, CASE WHEN lag(ts) OVER (PARTITION BY pod ORDER BY ts, rv) + INTERVAL '2 hours' > ts THEN 0 ELSE 1 END AS fresh FROM e WHERE type = 'Warning')) "
+    "SELECT pod, min(ts) AS first, max(ts) AS last, count(*) AS n FROM s GROUP BY pod, k",
+)
+def stream_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Warnings of an object without two hours of silence, from keyed state; an event far ahead closes them all."""
+    session = with_state(spark)
+    rows = native(session, sf_dir).where("type = 'Warning'").select(F.col("involvedObject.name").alias("pod"), F.col(TIME).alias("ts"), F.col(RV).alias("rv"))
+    end = rows.limit(1).select(F.lit("end").alias("pod"), F.lit("2100-01-01").cast("timestamp").alias("ts"), F.lit("end").alias("rv"))
+    found = drained(session, incidents(streamed(session, rows, end), "pod", "ts", 7200, "60 days"))
+    return found.select(F.col("key").alias("pod"), F.col("first").cast("timestamp_ntz").alias("first"), F.col("last").cast("timestamp_ntz").alias("last"), "n")
