@@ -72,3 +72,26 @@ def test_every_match_satisfies_its_query():
     assert trigram_query(r"[0-9a-f]{24,}") == [] and trigram_query(r"a.b?c") == []
     assert trigram_query(r"abc?d") == [[frozenset({"abc", "bcd"}), frozenset({"abd"})]]
     assert trigram_query(r"(abc)+xyz") == [[frozenset({"abc"})], [frozenset({"xyz"})]]
+
+
+def many(n):
+    """A text of so many hashes, some tied together by assignments, and its spans and its text without them, by hand."""
+    parts = [f"{'token=' if k % 3 == 0 else ''}{k:024x}{'é' * (k % 5)} " for k in range(n)]
+    return "x".join(parts)
+
+
+def test_long_texts_with_many_spans(spark):
+    import time
+
+    took = {}
+    for n in (2000, 16_000, 64_000):
+        text = many(n)
+        docs = spark.createDataFrame([(1, text, len(text))], "doc_id long, text string, n_chars int")
+        began = time.perf_counter()
+        spans = secrets.find_spans(docs).select(secrets.joined_spans("secret_spans")).first()[0]
+        row = secrets.redact(docs).first()
+        took[n] = time.perf_counter() - began
+        assert spans == by_hand(text) and spans.count(",") == n + -(-n // 3) - 1
+        assert row["text"] == re.sub(r"(token=)?[0-9a-f]{24}", "[SECRET]", text) and row["n_chars"] == len(row["text"])
+    assert took[64_000] < 6 * took[16_000]
+    print(took)
