@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,18 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
         _made.reset(before)
 
 
+def tidied(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, which writes its result and deletes what else it has written on its way, if it has written anything."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with scratch(spark) as written:
+            out = query(spark, sf_dir)
+            return written(out, "result") if _made.get() else out
+
+    return run
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: it cuts lineage and survives lost executors."""
     spark = df.sparkSession
@@ -116,6 +129,11 @@ def text_column(text_col: str = "text") -> Column:
     return F.coalesce(F.col(text_col), F.lit(""))
 
 
+def long_id(id_col: str = "doc_id") -> Column:
+    """The id as a long, whatever kind of integer the table has."""
+    return F.col(id_col).cast("long").alias(id_col)
+
+
 def fold_of(id_col: str, parts: int) -> Column:
     """crc32 of the id written as text, modulo parts (a null id: fold of the empty text)."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % parts

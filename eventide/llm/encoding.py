@@ -2,7 +2,7 @@
 
 A word-level pre-tokenizer never joins across the places where the texts are cut here, so the ids of
 a text are the ids of its pieces in order. Each Python worker keeps the ids of the words that it has
-met, up to a fixed number of words. A text that has white space where a cut might matter is encoded
+met, up to a fixed number of bytes, and none of very long words. A text that has white space where a cut might matter is encoded
 in one call.
 """
 
@@ -12,11 +12,14 @@ import json
 import re
 from array import array
 from functools import lru_cache
+from sys import getsizeof
 
 from tokenizers import Tokenizer
 
-#: Words whose ids a worker keeps.
-CACHED_WORDS = 400_000
+#: Bytes of words and ids, about, that a worker keeps for each of its two kinds of words; and letters of the longest word that it keeps.
+CACHED_BYTES, LONGEST_KEPT = 72 << 20, 256
+#: Bytes of an entry of a dictionary, about.
+SLOT = 100
 #: ASCII marks that may be cut off after a letter; the apostrophe is missing, as it starts contractions.
 MARKS = ".,*%$&#!|:;?)]}"
 #: Letters from here on may turn into a letter and a mark when a text is normalised.
@@ -42,7 +45,7 @@ class _Words(dict):
 
     def __init__(self, tokenizer: Tokenizer, room: int, lead: str = "", bare: _Words | None = None) -> None:
         super().__init__()
-        self.tokenizer, self.room, self.lead = tokenizer, room, lead
+        self.tokenizer, self.room, self.lead, self.held = tokenizer, room, lead, 0
         self.bare = self if bare is None else bare
         self.model, self.folded = tokenizer.model, False
 
@@ -63,19 +66,23 @@ class _Words(dict):
             found = self[word[:at]] + self.bare["\n"] + self.bare[word[at + 1 :]]
         else:
             found = array("I", self.tokenizer.encode(self.lead + word, add_special_tokens=False).ids).tobytes()
-        if len(self) >= self.room:
-            self.clear()
-        self[word] = found
+        if len(word) <= LONGEST_KEPT:
+            size = getsizeof(word) + getsizeof(found) + SLOT
+            if self.held + size > self.room:
+                self.clear()
+                self.held = 0
+            self.held += size
+            self[word] = found
         return found
 
 
 class TextEncoder:
     """encode(text): the ids of a whole text as little-endian uint32 bytes."""
 
-    def __init__(self, path: str, cached_words: int = CACHED_WORDS) -> None:
+    def __init__(self, path: str, cached_bytes: int = CACHED_BYTES) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.bare = _Words(self.tokenizer, cached_words)
-        self.spaced = _Words(self.tokenizer, cached_words, " ", self.bare)
+        self.bare = _Words(self.tokenizer, cached_bytes)
+        self.spaced = _Words(self.tokenizer, cached_bytes, " ", self.bare)
         parts = json.loads(self.tokenizer.to_str())
         before = parts["pre_tokenizer"] or {}
         steps = [step.get("type") for step in before.get("pretokenizers", [before])]

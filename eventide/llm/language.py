@@ -214,7 +214,7 @@ def identify(docs: DataFrame) -> DataFrame:
             found, cosines, _ = model.predict(batch["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(found, pa.string()), pa.array(cosines)], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    rows = docs.select("doc_id", (common.fold_of("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "text")
+    rows = docs.select(common.long_id(), (common.fold_of("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "text")
     return rows.mapInArrow(task, "doc_id long, held_out boolean, lang_pred string, score double")
 
 

@@ -273,7 +273,7 @@ def write_images(docs: DataFrame, path: str) -> None:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(media, pa.binary())], schema=ARROW)
 
     docs.sparkSession.dataSource.register(MediaArchive)
-    docs.select("doc_id", "text").mapInArrow(task, SCHEMA).write.format("media_archive").mode("append").save(path)
+    docs.select(common.long_id(), "text").mapInArrow(task, SCHEMA).write.format("media_archive").mode("append").save(path)
 
 
 def read_images(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:

@@ -125,7 +125,7 @@ def sign(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
             hashes, sizes = signer.band_hashes(batch["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["cid"], batch["sum32"], pa.array(sizes, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=["doc_id", "cid", "sum32", "grams", "bands"])
 
-    keyed = docs.select("doc_id", *text_keys(), common.text_column().alias("text"))
+    keyed = docs.select(common.long_id(), *text_keys(), common.text_column().alias("text"))
     return keyed.mapInArrow(task, "doc_id long, cid long, sum32 long, grams long, bands array<long>")
 
 

@@ -180,7 +180,7 @@ def feature_table(docs: DataFrame) -> DataFrame:
             x = features(batch["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "held_out", "features"])
 
-    rows = docs.select("doc_id", (common.fold_of("doc_id", FOLDS) == HELD_OUT).alias("held_out"), common.text_column().alias("text"))
+    rows = docs.select(common.long_id(), (common.fold_of("doc_id", FOLDS) == HELD_OUT).alias("held_out"), common.text_column().alias("text"))
     return rows.mapInArrow(task, "doc_id long, held_out boolean, features array<double>")
 
 

@@ -442,7 +442,7 @@ def sample_segmentations(docs: DataFrame, model: str | None = None, samples: int
                 rows.append((doc_ids[d], k, len(ids), log_prob, perturbed, inclusion, whole, zlib.crc32(ids.astype("<u4").tobytes()) if digest else ids))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    keyed = docs.select("doc_id", common.text_column().alias("text"), F.xxhash64(F.lit(seed), "doc_id").alias("key"))
+    keyed = docs.select(common.long_id(), common.text_column().alias("text"), F.xxhash64(F.lit(seed), "doc_id").alias("key"))
     return keyed.mapInArrow(task, f"doc_id long, sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, decoded boolean, {last[0]} {last[2]}")
 
 

@@ -107,7 +107,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
             yield closed()
 
     text = common.text_column()
-    frames = docs.select("doc_id", F.xxhash64(text).alias("hash"), text.alias("text")).mapInArrow(encoded, "doc_id long, hash long, number long, n_tokens long, frame binary")
+    frames = docs.select(common.long_id(), F.xxhash64(text).alias("hash"), text.alias("text")).mapInArrow(encoded, "doc_id long, hash long, number long, n_tokens long, frame binary")
     held, key = common.new_path(spark, "frames"), ["doc_id", "hash", "number"]
     frames.write.option("compression", "none").parquet(held)
     shards = -(-files.bytes_in(spark, held) // shard_bytes)

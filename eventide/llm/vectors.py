@@ -47,6 +47,8 @@ SAMPLE, PER_WORD, QUERIES, PER_CELL, MOST_WORDS = 20_000, 32, 400, 64, 2048
 ENOUGH, MOST_QUERIES, BANDS = 100, 6400, 5
 MEMBERS, VISITORS = 1024, 2048
 BINS, WIDEST = 4000, 4.0
+#: Vectors that the driver compares with all codewords at once.
+SLICE = 2048
 
 
 @dataclass
@@ -88,10 +90,9 @@ def codebook(x: np.ndarray, size: int, rounds: int = 8) -> np.ndarray:
     """Codewords by Lloyd's algorithm."""
     words = x[np.random.default_rng(3).permutation(len(x))[:size]].copy()
     for _ in range(rounds):
-        nearest = _squares(x, words).argmin(1)
+        nearest = np.concatenate([_squares(x[at : at + SLICE], words).argmin(1) for at in range(0, len(x), SLICE)])
         counts = np.bincount(nearest, minlength=len(words))
-        sums = np.zeros_like(words)
-        np.add.at(sums, nearest, x)
+        sums = np.stack([np.bincount(nearest, column, len(words)) for column in x.T], 1)
         words[counts > 0] = sums[counts > 0] / counts[counts > 0, None]
     return words
 
@@ -173,8 +174,9 @@ def made_slack(index: MultiIndex, x: np.ndarray, threshold: float, recall: float
     turned = np.random.default_rng(5).normal(size=x.shape)
     turned -= (turned * x).sum(1, keepdims=True) * x
     turned /= np.maximum(np.sqrt((turned**2).sum(1, keepdims=True)), 1e-12)
-    pairs = np.arange(len(x))
-    slack = slack_between(index, index.distances(x), index.distances(threshold * x + np.sqrt(1 - threshold**2) * turned), pairs, pairs)
+    like = threshold * x + np.sqrt(1 - threshold**2) * turned
+    pairs = [(x[at : at + SLICE], like[at : at + SLICE]) for at in range(0, len(x), SLICE)]
+    slack = np.concatenate([slack_between(index, index.distances(a), index.distances(b), np.arange(len(a)), np.arange(len(a))) for a, b in pairs])
     return float(np.quantile(slack, recall, method="higher")) + WIDEST / BINS
 
 

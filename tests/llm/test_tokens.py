@@ -1,3 +1,5 @@
+import sys
+import random
 import zlib
 from collections import Counter
 
@@ -9,7 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from eventide.llm import common, packing, token_store
-from eventide.llm.encoding import TextEncoder
+from eventide.llm.encoding import LONGEST_KEPT, TextEncoder
 
 FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 
@@ -22,7 +24,7 @@ def plain(name):
 
 @pytest.mark.parametrize("name", FILES)
 def test_words_give_the_ids_of_the_whole_text(name):
-    encoder, whole = TextEncoder(public_tokenizers.path(name), cached_words=50), plain(name)
+    encoder, whole = TextEncoder(public_tokenizers.path(name), cached_bytes=9000), plain(name)
 
     @settings(max_examples=400, deadline=None)
     @given(st.text(st.sampled_from(list("abThE's.,!*|9 \n\t\x1c ́é😀İΣ\0<|>")), max_size=40))
@@ -148,7 +150,7 @@ def test_near_the_least_number_of_sequences():
 
 @pytest.mark.parametrize("name", FILES)
 def test_special_tokens_in_texts_keep_their_ids(name):
-    encoder, whole = TextEncoder(public_tokenizers.path(name), cached_words=50), plain(name)
+    encoder, whole = TextEncoder(public_tokenizers.path(name), cached_bytes=9000), plain(name)
     assert np.frombuffer(encoder.encode("one <|endoftext|> two"), "<u4").tolist() == {"byte_bpe_50k.json": [505, 220, 50256, 734], "word_bpe_49k.json": [637, 49407, 1237]}[name]
 
     @settings(max_examples=400, deadline=None)
@@ -168,3 +170,15 @@ def test_stored_and_packed_special_tokens(spark, tmp_path):
     packed = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in packing.pack(docs).collect()}
     whole = {i: np.array(plain("byte_bpe_50k.json")(text) + [2], "<u4") for i, text in enumerate(texts)}
     assert packed == {i: (len(ids), zlib.crc32(ids.tobytes())) for i, ids in whole.items()}
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_very_long_words_are_not_kept(name):
+    """What a worker keeps is bounded in bytes, whatever the words: minified code and base64 have words of any length."""
+    encoder, whole = TextEncoder(public_tokenizers.path(name), cached_bytes=200_000), plain(name)
+    rng = random.Random(1)
+    texts = [" ".join("".join(rng.choices("abcdefXYZ019+/=.", k=rng.choice([3, 200, 300, 20_000]))) for _ in range(4)) for _ in range(60)]
+    for text in texts:
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == whole(text)
+        for words in (encoder.bare, encoder.spaced):
+            assert sum(sys.getsizeof(w) + sys.getsizeof(x) for w, x in words.items()) <= words.held <= 200_000 and max(map(len, words), default=0) <= LONGEST_KEPT
