@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.time_bucket import time_bucket
@@ -31,12 +31,10 @@ def timeline_shares(events: DataFrame, width: str, time: str = "lastTimestamp")
 
 
 def share_of_largest(counts: DataFrame, column: str = "count") -> DataFrame:
-    """Adds each count's ratio to the largest one, and the severity that follows from it.
-
-    The window spans the whole frame: it is for grouped counts, of which there are few.
-    """
-    ratio = F.col(column) / F.max(column).over(Window.partitionBy(F.lit(1)))
-    return counts.withColumn("ratio", ratio).withColumn("severity", F.when(F.col("ratio") > 0.8, "error").when(F.col("ratio") > 0.5, "warning").otherwise("info"))
+    """Adds each count's ratio to the largest one, and the severity that follows from it. The largest is one row, which is broadcast."""
+    largest = counts.agg(F.max(column).alias("_largest"))
+    rows = counts.crossJoin(F.broadcast(largest)).withColumn("ratio", F.col(column) / F.col("_largest")).drop("_largest")
+    return rows.withColumn("severity", F.when(F.col("ratio") > 0.8, "error").when(F.col("ratio") > 0.5, "warning").otherwise("info"))
 
 
 def reason_severity(reason: str = "reason") -> Column:
