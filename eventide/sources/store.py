@@ -158,7 +158,7 @@ class EventStore:
             sketched(self.rows_of(segment_id)).write.option("compression", "zstd").parquet(self.sketch_path(segment_id))
         times = (found["low"], found["high"]) if found["timed"] == found["n"] else (None, None)
         ends = [found[c][1] if found[c] else None for c in ("low_key", "high_key")]
-        return Segment(segment_id, tier, found["n"], files.size_of(self.path(segment_id)), *times, *ends, slots, tier == ARCHIVE)
+        return Segment(segment_id, tier, found["n"], sum(size for _, size in files.parts_in(self.path(segment_id))), *times, *ends, slots, tier == ARCHIVE)
 
     def append(self, events: DataFrame, stream: str | None = None, batch: int | None = None) -> int:
         """Add the events whose key is new; the first of a key wins. Gives the number of rows that are added.

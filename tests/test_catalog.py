@@ -4,7 +4,7 @@ import os
 import duckdb
 import pytest
 
-from eventide.plans import catalog, continuous  # noqa: F401
+from eventide.plans import catalog, continuous, service  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
