@@ -9,6 +9,11 @@ key phrase must stand word for word. The share of the template's words found at
 The words that are intersected belong to the template's own key phrase, and only templates are asked for whose key
 words the file holds, so none is missed: rare words only come first because they give the fewest places.
 
+Whole licence texts have an index of all of their words. Of a file's licence words the rarest ``WHOLE_ANCHORS`` that a text has are looked
+up, and their postings intersected by relative position: the text is found at the places on which at least ``AGREE`` of them (all, if there are fewer)
+agree and where its key phrase stands. ``whole_labels`` names the texts of which at least ``WHOLE_SHARE`` of the words stand where they should, and
+``whole_share`` is the largest share of any that was found.
+
 Defined cases: a null or empty text has no words and no label; a null doc_id and repeated rows are
 documents like any other; words of equal frequency are looked up in the order of their letters, which changes no result;
 of several places of templates the best share is the score; texts of any length are scanned whole; other columns are
@@ -26,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .license_texts import WHOLE
 
 
 @dataclass(frozen=True)
@@ -170,6 +176,40 @@ class TemplateIndex:
         return found
 
 
+#: Rare words that are looked up for a whole text, those that have to agree on its place, and the share of its words that makes it whole.
+WHOLE_ANCHORS, AGREE, WHOLE_SHARE = 8, 3, 0.8
+WHOLE_TEMPLATES = tuple(Template(*x) for x in WHOLE)
+
+
+class WholeIndex(TemplateIndex):
+    """Postings of all words of whole texts."""
+
+    def __init__(self, templates: tuple[Template, ...] = WHOLE_TEMPLATES, frequency: dict[bytes, int] | None = None) -> None:
+        super().__init__(templates, frequency)
+        self.vocabulary = frozenset(w for words in self.words for w in words)
+        self.postings = {w: {} for w in self.vocabulary}
+        for t, words in enumerate(self.words):
+            for r, word in enumerate(words):
+                self.postings[word].setdefault(t, []).append(r)
+        self.order = {w: ((frequency or {}).get(w, 0), w) for w in self.vocabulary}
+        #: the rarest word of each key phrase: a file without them holds no text
+        self.anchors = frozenset(min(k, key=self.order.__getitem__) for k in self.keys)
+
+    def tops(self, words: list[bytes], present: set[bytes]) -> dict[int, set[int]]:
+        """For each text the places at which it would begin, by AGREE of its WHOLE_ANCHORS rarest words that the file holds."""
+        wanted = {t: WHOLE_ANCHORS for t, key in enumerate(self.key_sets) if key <= present}
+        votes: dict[int, Counter[int]] = {}
+        for word in sorted(present & self.vocabulary, key=self.order.__getitem__) if wanted else ():
+            here = [(t, places) for t, places in self.postings[word].items() if wanted.get(t)]
+            if not here:
+                continue
+            at = list(_positions(words, word))
+            for t, places in here:
+                votes.setdefault(t, Counter()).update({p - r for r in places for p in at})
+                wanted[t] -= 1
+        return {t: {top for top, n in found.items() if n >= min(AGREE, WHOLE_ANCHORS - wanted[t])} for t, found in votes.items()}
+
+
 def _positions(words: list[bytes], word: bytes) -> Iterator[int]:
     at = -1
     try:
@@ -181,8 +221,8 @@ def _positions(words: list[bytes], word: bytes) -> Iterator[int]:
 
 
 def frequencies(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> dict[bytes, int]:
-    """In how many documents each word of the key phrases occurs; a row per such word comes to the driver."""
-    vocabulary = TemplateIndex(templates).vocabulary
+    """In how many documents each word of the key phrases and of the whole texts occurs; a row per such word comes to the driver."""
+    vocabulary = TemplateIndex(templates).vocabulary | WholeIndex().vocabulary
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
@@ -195,7 +235,7 @@ def frequencies(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) ->
     return {bytes(r["word"]): r["n"] for r in counted.groupBy("word").agg(F.sum("n").alias("n")).collect()}
 
 
-RESULT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+RESULT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, whole_labels string, whole_share double"
 
 
 def scan(docs: DataFrame, templates: tuple[Template, ...] = MORE) -> DataFrame:
@@ -205,22 +245,24 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = MORE) -> DataFrame:
     n_base = len(BASE)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = TemplateIndex(every, frequency)
+        index, whole = TemplateIndex(every, frequency), WholeIndex(frequency=frequency)
+        both = index.vocabulary | whole.vocabulary
         for batch in common.slices(batches, 512):
             rows = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 words = words_of(text)
-                present = index.vocabulary.intersection(words)
+                present = both.intersection(words)
                 found = index.places(words, present) if present & index.anchors else {}
+                shares = [(max(places.values()), whole.templates[t].label) for t, places in whole.places(words, present).items()] if present & whole.anchors else []
                 base = [p for t, places in found.items() if t < n_base for p in places]
                 labels = [sorted({every[t].label for t in found if t < most}) for most in (n_base, len(every))]
-                rows.append((doc_id, len(words), len(base), min(base, default=None), max(base, default=None), ",".join(labels[0]), ",".join(labels[1]), max((s for places in found.values() for s in places.values()), default=0.0)))
+                rows.append((doc_id, len(words), len(base), min(base, default=None), max(base, default=None), ",".join(labels[0]), ",".join(labels[1]), max((s for places in found.values() for s in places.values()), default=0.0), ",".join(sorted({x for s, x in shares if s >= WHOLE_SHARE})), max((s for s, _ in shares), default=0.0)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), KINDS, strict=True)], names=[x.split()[0] for x in RESULT.split(", ")])
 
     return docs.select("doc_id", common.text_column().alias("text")).mapInArrow(task, RESULT)
 
 
-KINDS = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64()]
+KINDS = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64(), pa.string(), pa.float64()]
 
 
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,6 +275,8 @@ def _oracle() -> str:
 
     index = TemplateIndex()
     rows = ", ".join(f"({t}, '{x.label}', {t < len(BASE)}, {listed(index.words[t])}, {listed(index.keys[t])}, {index.key_at[t]})" for t, x in enumerate(TEMPLATES))
+    whole = WholeIndex()
+    texts = ", ".join(f"({t}, '{x.label}', {listed(whole.words[t])}, {listed(whole.keys[t])}, {whole.key_at[t]})" for t, x in enumerate(WHOLE_TEMPLATES))
     letters = "".join(map(chr, range(65, 91)))
     return f"""
 WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{letters}', '{letters.lower()}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
@@ -240,10 +284,22 @@ t AS (SELECT * FROM (VALUES {rows}) v(t, label, base, words, phrase, phrase_at))
 f AS (SELECT row_id, label, base, words, phrase_at, w, unnest(list_filter(range(len(w) - len(phrase) + 1), lambda p: w[p + 1 : p + len(phrase)] = phrase)) AS p FROM d, t WHERE list_has_all(w, phrase)),
 s AS (SELECT row_id, label, base, p, len(list_filter(range(len(words)), lambda i: p - phrase_at + i >= 0 AND w[p - phrase_at + i + 1] = words[i + 1])) / len(words) AS share FROM f),
 a AS (SELECT row_id, count(*) FILTER (WHERE base) AS n_base, min(p) FILTER (WHERE base) AS first_word, max(p) FILTER (WHERE base) AS last_word,
-      array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE base)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(share) AS score FROM s GROUP BY row_id)
+      array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE base)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(share) AS score FROM s GROUP BY row_id),
+x AS (SELECT * FROM (VALUES {texts}) v(t, label, words, phrase, phrase_at)),
+y AS (SELECT t, unnest(words) AS word, unnest(range(len(words))) AS r FROM x),
+q AS MATERIALIZED (SELECT * FROM (SELECT row_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM d) WHERE word IN (SELECT word FROM y)),
+i AS (SELECT word, count(DISTINCT row_id) AS df FROM q GROUP BY word),
+c AS (SELECT row_id, t FROM d, x WHERE list_has_all(w, phrase)),
+b AS (SELECT * FROM (SELECT c.row_id, c.t, u.word, row_number() OVER (PARTITION BY c.row_id, c.t ORDER BY i.df, u.word) AS k, count(*) OVER (PARTITION BY c.row_id, c.t) AS n
+      FROM c JOIN (SELECT DISTINCT t, word FROM y) u ON u.t = c.t JOIN (SELECT DISTINCT row_id, word FROM q) o ON o.row_id = c.row_id AND o.word = u.word JOIN i ON i.word = u.word) WHERE k <= {WHOLE_ANCHORS}),
+g AS (SELECT row_id, t, n, top FROM (SELECT DISTINCT b.row_id, b.t, b.n, b.word, q.p - y.r AS top FROM b JOIN q ON q.row_id = b.row_id AND q.word = b.word JOIN y ON y.t = b.t AND y.word = b.word) GROUP BY ALL HAVING count(*) >= least({AGREE}, least(n, {WHOLE_ANCHORS}))),
+h AS (SELECT g.row_id, x.label, len(list_filter(range(len(x.words)), lambda i: top + i >= 0 AND d.w[top + i + 1] = x.words[i + 1])) / len(x.words) AS share
+      FROM g JOIN x ON x.t = g.t JOIN d ON d.row_id = g.row_id WHERE top + phrase_at >= 0 AND CASE WHEN top + phrase_at >= 0 THEN d.w[top + phrase_at + 1 : top + phrase_at + len(phrase)] = phrase END),
+z AS (SELECT row_id, array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE share >= {WHOLE_SHARE})), ',') AS whole_labels, max(share) AS whole_share FROM h GROUP BY row_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
-       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
-FROM d LEFT JOIN a USING (row_id)"""
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score,
+       coalesce(whole_labels, '') AS whole_labels, CAST(coalesce(whole_share, 0) AS DOUBLE) AS whole_share
+FROM d LEFT JOIN a USING (row_id) LEFT JOIN z USING (row_id)"""
 
 
 ORACLE = _oracle()

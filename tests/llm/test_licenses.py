@@ -78,3 +78,61 @@ def test_rare_words_agree_on_a_place():
     tops = index.tops(words, present)[t]
     assert index.places(words, present)[t][4000] == 1 and 4000 in tops
     assert len(tops) < 0.1 * sum(w == key[0] for w in words)
+
+
+def edited(rng, template, changes):
+    """The text with so many words replaced, outside its key phrase."""
+    words, at = licenses.words_of(template.text), 0
+    key = licenses.words_of(template.key)
+    at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
+    for i in rng.sample([i for i in range(len(words)) if not at <= i < at + len(key)], changes):
+        words[i] = b"xx"
+    return b" ".join(words).decode()
+
+
+def whole_texts():
+    rng, out = random.Random(6), []
+    filler = [w.decode() for t in licenses.WHOLE_TEMPLATES[:4] for w in licenses.words_of(t.text)]
+    for k, t in enumerate(licenses.WHOLE_TEMPLATES):
+        n = len(licenses.words_of(t.text)) - len(licenses.words_of(t.key))
+        around = [" ".join(rng.choices(filler, k=rng.randrange(60))) for _ in range(2)]
+        out += [(t.label, t.text), (t.label, f"{around[0]} {t.text.upper()}\n{around[1]}"), (None, f"{around[0]} {edited(rng, t, int(0.1 * n))} {around[1]}"), (None, edited(rng, t, int(0.6 * n))), (None, t.key)]
+    return out
+
+
+def test_whole_texts_are_found(spark, tmp_path):
+    """Whole licences, in other text, edited, and cut to their key phrase, against SQL and by hand."""
+    cases = whole_texts()
+    rows = [(k, text) for k, (_, text) in enumerate(cases)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/d")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    got = {r["doc_id"]: r for r in licenses.scan(spark.read.parquet(f"file://{tmp_path}/d")).collect()}
+    assert sorted(map(str, map(tuple, got.values()))) == sorted(map(str, con.execute(licenses.ORACLE).fetchall()))
+    for k, (label, _) in enumerate(cases):
+        if label:
+            assert label in got[k]["whole_labels"].split(",") and got[k]["whole_share"] == 1
+        elif k % 5 == 4:
+            assert got[k]["whole_share"] < 1
+    labels = {t.label for t in licenses.WHOLE_TEMPLATES}
+    assert len(labels) >= 24 and sum(bool(got[k]["whole_labels"]) for k in range(2, len(cases), 5)) >= 0.9 * len(licenses.WHOLE_TEMPLATES)
+    assert not any(got[k]["whole_labels"] for k in range(3, len(cases), 5))
+
+
+def test_anchors_of_whole_texts_by_brute_force():
+    rng = random.Random(8)
+    frequency = {w: rng.randrange(50) for w in licenses.WholeIndex().vocabulary}
+    index = licenses.WholeIndex(frequency=frequency)
+    for _, text in whole_texts():
+        words = licenses.words_of(text)
+        got = index.places(words, index.vocabulary.intersection(words))
+        for t, template in enumerate(index.words):
+            anchors = sorted({w for w in template if w in words}, key=lambda w: (frequency[w], w))[:8]
+            key, at = index.keys[t], index.key_at[t]
+            want = set()
+            if set(key) <= set(words):
+                for top in range(-len(template), len(words)):
+                    agree = sum(any(0 <= top + r < len(words) and words[top + r] == w for r in range(len(template)) if template[r] == w) for w in anchors)
+                    if agree >= min(3, len(anchors)) and top + at >= 0 and words[top + at : top + at + len(key)] == key:
+                        want.add(top + at)
+            assert set(got.get(t, {})) == want
