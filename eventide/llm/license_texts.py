@@ -60,7 +60,6 @@ WHOLE: tuple[tuple[str, str, str], ...] = (
         "We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.",
         "free and unencumbered software released into the public domain",
     ),
-    ("wtfpl", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed. TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION 0. You just DO WHAT THE FUCK YOU WANT TO.", "and changing it is allowed as long as the name is changed"),
     (
         "postgresql",
         "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies.",
