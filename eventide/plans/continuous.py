@@ -48,7 +48,7 @@ def download_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "sketched_hours",
-    f"WITH {BRIDGE_SQL} SELECT time_bucket(INTERVAL '1 hour', ts) AS bucket, count(*) AS n, count(DISTINCT pod) AS objects_distinct, count(DISTINCT reason) AS reasons_distinct, 1.0 AS median_count FROM e WHERE ts BETWEEN TIMESTAMP '2024-01-02 00:30:00' AND TIMESTAMP '2024-01-20 10:20:30' GROUP BY 1",
+    f"WITH {BRIDGE_SQL} SELECT time_bucket(INTERVAL '1 hour', ts) AS bucket, count(*) AS n, count(DISTINCT pod) AS objects_distinct, count(DISTINCT reason) AS reasons_distinct, CAST(1 AS DOUBLE) AS median_count FROM e WHERE ts BETWEEN TIMESTAMP '2024-01-02 00:30:00' AND TIMESTAMP '2024-01-20 10:20:30' GROUP BY 1",
 )
 def sketched_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct counts by hour from sketches of archived segments, and from the rows of hot ones and of the window's ends. Sets this small are exact."""
@@ -122,12 +122,12 @@ def drained(spark: SparkSession, frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(out)
 
 
-@query("stream_join", f"WITH {BRIDGE_SQL} SELECT w.rv AS cause, n.rv AS effect FROM e w JOIN e n ON w.pod = n.pod AND n.ts BETWEEN w.ts AND w.ts + INTERVAL '1 hour' WHERE w.reason = 'FailedMount' AND n.reason = 'Started'")
+@query("stream_join", f"WITH {BRIDGE_SQL} SELECT w.rv AS cause, n.rv AS effect FROM e w JOIN e n ON w.pod = n.pod AND n.ts BETWEEN w.ts AND w.ts + INTERVAL '1 day' WHERE w.reason = 'FailedMount' AND n.reason = 'Started'")
 def stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Starts within an hour of a failed mount of the same object, from two streams."""
+    """Starts within a day of a failed mount of the same object, from two streams."""
     rows = native(spark, sf_dir).select(F.col(RV).alias("rv"), F.col("involvedObject.name").alias("pod"), "reason", F.col(TIME).alias("ts"))
     sides = [streamed(spark, rows.where(F.col("reason") == r)) for r in ("FailedMount", "Started")]
-    return drained(spark, followed_by(*sides, ["pod"], "ts", "1 HOUR", "60 days")).select(F.col("cause.rv").alias("cause"), F.col("effect.rv").alias("effect"))
+    return drained(spark, followed_by(*sides, ["pod"], "ts", "1 DAY", "60 days")).select(F.col("cause.rv").alias("cause"), F.col("effect.rv").alias("effect"))
 
 
 @query(
