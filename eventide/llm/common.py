@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..sources import files
 
 #: Rows and bytes of an Arrow batch. Texts may be long, and a task holds a batch in the JVM and in Python.
-BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
 def bounded_batches(spark: SparkSession) -> None:

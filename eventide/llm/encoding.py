@@ -17,7 +17,7 @@ from sys import getsizeof
 from tokenizers import Tokenizer
 
 #: Bytes of words and ids, about, that a worker keeps for each of its two kinds of words; and letters of the longest word that it keeps.
-CACHED_BYTES, LONGEST_KEPT = 72 << 20, 256
+CACHED_BYTES, LONGEST_KEPT = 48 << 20, 256
 #: Bytes of an entry of a dictionary, about.
 SLOT = 100
 #: ASCII marks that may be cut off after a letter; the apostrophe is missing, as it starts contractions.
