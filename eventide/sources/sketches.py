@@ -67,6 +67,15 @@ def in_window(store: EventStore, start: datetime, end: datetime, distinct: Seque
     return out, merged, [*ends, *scanned]
 
 
+def exact_distinct(store: EventStore, start: datetime, end: datetime, distinct: Sequence[str], width: str) -> DataFrame:
+    """A column ``<name>_distinct`` for each name, by time bucket (``bucket``): exact, from the window's rows, of which only these columns are read.
+
+    Equal values of a bucket are combined before they are shuffled; no set of values has to fit in memory.
+    """
+    rows, _ = store.events(start, end)
+    return rows.groupBy(time_bucket(TIME, width).alias("bucket")).agg(*[F.count_distinct(F.col(DISTINCT[d])).alias(f"{d}_distinct") for d in distinct])
+
+
 def approximate(store: EventStore, start: datetime, end: datetime, distinct: Sequence[str] = (), quantiles: Mapping[str, Sequence[float]] | None = None, width: str | None = None) -> DataFrame:
     """n, a column ``<name>_distinct`` for each name, and ``<measure>_quantiles``, an array, for each measure: of the window's events, both ends included.
 

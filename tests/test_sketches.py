@@ -61,3 +61,13 @@ def test_what_is_not_sketched(store, spark):
         with pytest.raises(ValueError):
             approximate(store, at(0), at(9), **bad)
     assert approximate(store, at(0), at(9), ["objects"], {"count": [0.5]}).first()["count_quantiles"] == [1.0]
+
+
+def test_hours_with_many_objects_are_counted_exactly(spark, tmp_path):
+    """Thousands of objects an hour, where a sketch only estimates."""
+    from eventide.plans import continuous
+
+    rows = spark.range(12000).selectExpr("id AS event_id", "timestamp_ntz'2024-01-05 00:00:00' + make_dt_interval(0, int(id % 2), int(id % 60)) AS ts", "id * 7 % 9001 AS user_id", "'click' AS event_type", "1.0D AS value", "'{\"k\": 3}' AS props")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["bucket"].hour: (r["n"], r["objects_distinct"], r["reasons_distinct"], r["median_count"]) for r in continuous.sketched_hours(spark, str(tmp_path)).collect()}
+    assert got == {h: (6000, len({k * 7 % 9001 for k in range(h, 12000, 2)}), 1, 1.0) for h in (0, 1)}
