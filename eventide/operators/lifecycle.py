@@ -10,6 +10,8 @@ from ..sources.store import ARCHIVE, GRACE, HOT, EventStore, Segment
 
 ARCHIVE_ROWS = 122_880
 COMPACT_BYTES = 128 << 20
+#: Rows of a piece of a merged segment, at most about: rows that compress well take many times their bytes while they are sorted.
+PIECE_ROWS = 500_000
 LIMIT_BYTES = 10 << 30
 
 
@@ -60,7 +62,7 @@ def plan_retention(segments: Iterable[Segment], limit: int = LIMIT_BYTES) -> lis
 def merge(store: EventStore, segments: list[Segment]) -> Segment | None:
     """Write the segments' rows as one archived segment, sorted by time, and publish the exchange."""
     rows = store.rows_of(*[s.id for s in segments])
-    parts = max(1, -(-sum(s.bytes for s in segments) // COMPACT_BYTES))
+    parts = max(1, -(-sum(s.bytes for s in segments) // COMPACT_BYTES), -(-sum(s.rows for s in segments) // PIECE_ROWS))
     merged = store.write_segment(rows.repartitionByRange(parts, TIME).sortWithinPartitions(TIME), ARCHIVE)
     if store.replace_segments(segments, merged):
         return merged

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SLOT_BITS, PER_SLOT, BITS = 32_768, 1024, 8
+#: Slots of which one task builds the bits; it sorts up to ``BITS`` rows of two numbers for each of their keys.
+TASK_SLOTS = 256
 FILTER = "segment string, slots int, slot int, bits binary"
 
 
@@ -29,8 +31,9 @@ def _bit(key: Column, k: int) -> Column:
 
 
 def key_filter(keys: DataFrame, segment: str, slots: int) -> DataFrame:
-    """The filter of a frame of one column, ``key``."""
-    spread = keys.where("key IS NOT NULL").select(_slot(F.col("key"), F.lit(slots)).alias("slot"), F.explode(F.array(*[_bit(F.col("key"), k) for k in range(BITS)])).alias("bit"))
+    """The filter of a frame of one column, ``key``. Keys are dealt by slot before they become bits, so what a task sorts does not grow with the segment."""
+    dealt = keys.where("key IS NOT NULL").select("key", _slot(F.col("key"), F.lit(slots)).alias("slot")).repartition(-(-slots // TASK_SLOTS), "slot")
+    spread = dealt.select("slot", F.explode(F.array(*[_bit(F.col("key"), k) for k in range(BITS)])).alias("bit"))
     bits = spread.groupBy("slot").agg(F.bitmap_construct_agg("bit").alias("bits"))
     return bits.select(F.lit(segment).alias("segment"), F.lit(slots).alias("slots"), "slot", "bits")
 

@@ -365,3 +365,23 @@ def test_plans_push_filters_down(store, spark):
     df = store.events(at(0), at(60))[0].where(F.col("metadata.namespace") == "ns").groupBy("reason").count()
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(lastTimestamp" in plan and "EqualTo(metadata.namespace,ns)" in plan and "message" not in plan.split("ReadSchema")[1]
+
+
+def physical(rows):
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_task_sorts_a_whole_file(store, spark, monkeypatch):
+    """Rows are dealt before an aggregate sorts them, and the pieces of a merge are bounded in rows."""
+    from eventide.operators.ingest import first_per_key
+    from eventide.sources.keys import key_filter
+    from eventide.sources import files
+
+    store.append(frame(spark, *[event(k, k) for k in range(90)]))
+    (segment,) = store.manifest().segments
+    rows, keys = store.rows_of(segment.id), store.keys_of(segment.id)
+    assert "Sort" not in physical(first_per_key(rows, "metadata.resourceVersion")).rpartition("Exchange")[2]
+    assert key_filter(keys, "s", 2048).rdd.getNumPartitions() == 8
+    monkeypatch.setattr(lifecycle, "PIECE_ROWS", 30)
+    merged = lifecycle.archive(store, 0)
+    assert len(files.parts_in(store.path(merged.id))) == 3 and store.rows_of(merged.id).count() == 90
