@@ -25,6 +25,6 @@ def first_per_key(rows: DataFrame, key: str, *order: str) -> DataFrame:
 
 
 def new_keys(rows: DataFrame, held: DataFrame, key: str, held_key: str | None = None) -> DataFrame:
-    """The rows whose key the held rows lack."""
-    keys = held.select(F.col(held_key or key).alias("_held_key"))
+    """The rows whose key the held rows lack. Both are shuffled: the keys are narrow in their file, but too many to be broadcast."""
+    keys = held.select(F.col(held_key or key).alias("_held_key")).hint("merge")
     return rows.join(keys, F.col(key) == F.col("_held_key"), "left_anti")

@@ -47,6 +47,6 @@ def segments_with(keys: DataFrame, filters: DataFrame, sizes: list[int]) -> list
         return F.getbit(byte, place % 8) == 1
 
     asked = keys.where("key IS NOT NULL").select("key", F.explode(F.lit(sizes)).alias("asked"))
-    asked = asked.withColumn("place", _slot(F.col("key"), F.col("asked")))
+    asked = asked.withColumn("place", _slot(F.col("key"), F.col("asked"))).hint("merge")  # by their size in the file they would be broadcast
     met = asked.join(filters, (F.col("asked") == F.col("slots")) & (F.col("place") == F.col("slot")))
     return [r["segment"] for r in met.where(reduce(Column.__and__, map(is_set, range(BITS)))).select("segment").distinct().collect()]

@@ -373,7 +373,7 @@ def physical(rows):
 
 def test_no_task_sorts_a_whole_file(store, spark, monkeypatch):
     """Rows are dealt before an aggregate sorts them, and the pieces of a merge are bounded in rows."""
-    from eventide.operators.ingest import first_per_key
+    from eventide.operators.ingest import first_per_key, new_keys
     from eventide.sources.keys import key_filter
     from eventide.sources import files
 
@@ -381,6 +381,7 @@ def test_no_task_sorts_a_whole_file(store, spark, monkeypatch):
     (segment,) = store.manifest().segments
     rows, keys = store.rows_of(segment.id), store.keys_of(segment.id)
     assert "Sort" not in physical(first_per_key(rows, "metadata.resourceVersion")).rpartition("Exchange")[2]
+    assert "Broadcast" not in physical(new_keys(rows, keys, "metadata.resourceVersion", "key"))
     assert key_filter(keys, "s", 2048).rdd.getNumPartitions() == 8
     monkeypatch.setattr(lifecycle, "PIECE_ROWS", 30)
     merged = lifecycle.archive(store, 0)
