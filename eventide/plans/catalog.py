@@ -363,16 +363,21 @@ def sql_month_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.sql("SELECT CAST(month_bucket(1, CAST(lastTimestamp AS TIMESTAMP)) AS TIMESTAMP_NTZ) AS bucket, count(*) AS n FROM e GROUP BY 1")
 
 
+#: Rows of a landing file, about.
+LANDING_ROWS = 200_000
+
+
 @query("stream_ingest", STORED_SQL)
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All events through a landing folder and the streaming ingest, every file delivered twice."""
+    """All events through a landing folder and the streaming ingest, every file delivered twice; two files at least, and a batch takes as many as are delivered at once."""
     from ..streaming.ingest import ingest, landing
 
     events = bridged(spark, sf_dir).withColumns({c: F.col(c).cast("timestamp") for c in ("firstTimestamp", TIME)})
     folder, store = new_path(spark, "landing"), EventStore(spark, new_path(spark, "store"))
+    parts = max(2, -(-events.count() // LANDING_ROWS))
     for _ in range(2):
-        events.repartition(2).write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(folder)
-    running = ingest(landing(spark, folder, 2), store, new_path(spark, "offsets"), once=True)
+        events.repartition(parts, RV).write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(folder)
+    running = ingest(landing(spark, folder, parts), store, new_path(spark, "offsets"), once=True)
     running.awaitTermination()
     return stored(store)
 

@@ -69,3 +69,34 @@ def test_incidents_are_the_sessions_of_the_batch(spark, tmp_path):
     batch = spark.createDataFrame(held, SCHEMA).where("k IS NOT NULL AND t IS NOT NULL").groupBy("k", F.session_window("t", "300 seconds")).agg(F.min("t"), F.max("t"), F.count("*"))
     assert sorted(tuple(r) for r in got.collect()) == sorted((r[0], *r[2:]) for r in batch.collect())
     assert running.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] <= 2  # only the last event is open
+
+
+def test_keys_that_share_a_state(spark, tmp_path, monkeypatch):
+    """Incidents of many keys whose states are two."""
+    from eventide.plans import catalog, continuous
+    from eventide.streaming import incidents as module
+
+    monkeypatch.setattr(module, "BUCKETS", 2)
+    sf = "/root/testdata/sf0.001"
+    got = {(r["pod"], r["first"], r["last"], r["n"]) for r in continuous.stream_incidents(spark, sf).collect()}
+    times = {}
+    for r in catalog.native(spark, sf).where("type = 'Warning'").select("involvedObject.name", F.col("lastTimestamp").cast("timestamp_ntz").alias("t")).collect():
+        times.setdefault(r["name"], []).append(r["t"])
+    expected = set()
+    for pod, at in times.items():
+        at.sort()
+        starts = [0, *(k for k in range(1, len(at)) if at[k] - at[k - 1] >= timedelta(hours=2)), len(at)]
+        expected |= {(pod, at[a], at[b - 1], b - a) for a, b in zip(starts, starts[1:])}
+    assert got == expected
+
+
+def test_landing_files_grow_in_number(spark, monkeypatch):
+    from eventide.plans import catalog
+    from eventide.sources import files
+
+    monkeypatch.setattr(catalog, "LANDING_ROWS", 200)
+    landings = lambda: {n for n in files.names_in(files.shared_dir(spark)) if n.startswith("eventide-landing")}
+    before = landings()
+    assert catalog.stream_ingest(spark, "/root/testdata/sf0.001").count() == 1000
+    (made,) = landings() - before
+    assert len(files.parts_in(f"{files.shared_dir(spark)}/{made}")) == 10
