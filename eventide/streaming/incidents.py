@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,51 +17,66 @@ INCIDENT = "key string, first timestamp, last timestamp, n long"
 Span = tuple[int, int, int]
 
 
+#: Keys share so many states, by their hash: a call to Python, and one to the state store, is then for many keys.
+BUCKETS = 4096
+OPEN = ["key", "first", "last", "n"]
+
+
+def merged_rows(spans: pd.DataFrame, gap: int) -> pd.DataFrame:
+    """First, last and number of events of each incident of each key, from those of shorter ones in any order. A silence of gap or longer parts two."""
+    spans = spans.sort_values(["key", "first"], ignore_index=True)
+    if not len(spans):
+        return spans
+    key, first = spans["key"].to_numpy(), spans["first"].to_numpy()
+    until = spans.groupby("key", sort=False)["last"].cummax().to_numpy() + gap
+    fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (first[1:] >= until[:-1])])
+    return spans.groupby(fresh.cumsum(), sort=False).agg({"key": "first", "first": "min", "last": "max", "n": "sum"}).reset_index(drop=True)
+
+
 def merged(spans: list[Span], gap: int) -> list[Span]:
-    """First, last and number of events of each incident, from those of shorter ones in any order. A silence of gap or longer parts two."""
-    out: list[Span] = []
-    for first, last, n in sorted(spans):
-        if out and first < out[-1][1] + gap:
-            before = out[-1]
-            out[-1] = (before[0], max(before[1], last), before[2] + n)
-        else:
-            out.append((first, last, n))
-    return out
+    """The same for one key."""
+    rows = merged_rows(pd.DataFrame([("", *s) for s in spans], columns=OPEN), gap)
+    return [tuple(map(int, s)) for s in rows[OPEN[1:]].itertuples(index=False)]
 
 
 class Incidents(StatefulProcessor):
-    """The state of a key holds its open incidents, of which there is more than one only while events may still come between them."""
+    """The state of a bucket holds its keys' open incidents, of which a key has more than one only while events may still come between them."""
 
     def __init__(self, gap_micros: int) -> None:
         self.gap = gap_micros
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", "first long, last long, n long")
+        self.open = handle.getListState("open", "key string, first long, last long, n long")
+
+    def held(self) -> pd.DataFrame:
+        rows = list(self.open.get()) if self.open.exists() else []
+        return pd.DataFrame(rows, columns=OPEN).astype(dict.fromkeys(OPEN[1:], "int64"))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = [(int(a), int(b), int(n)) for a, b, n in self.open.get()] if self.open.exists() else []
+        held = self.held()
         for part in rows:
-            held = merged(held + [(t, t, 1) for t in part["at"].tolist()], self.gap)
-        yield self.settle(key, held, timerValues.getCurrentWatermarkInMs())
+            came = pd.DataFrame({"key": part["key"], "first": part["at"], "last": part["at"], "n": 1})
+            held = merged_rows(pd.concat([held, came]) if len(held) else came, self.gap)
+        yield from self.settle(held, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = [(int(a), int(b), int(n)) for a, b, n in self.open.get()] if self.open.exists() else []
-        yield self.settle(key, held, timerValues.getCurrentWatermarkInMs())
+        yield from self.settle(self.held(), timerValues.getCurrentWatermarkInMs())
 
-    def settle(self, key: tuple, held: list[Span], watermark: int) -> pd.DataFrame:
+    def settle(self, held: pd.DataFrame, watermark: int) -> Iterator[pd.DataFrame]:
         """Give out what no event can prolong any more, keep the rest, and set a timer for the next to close."""
-        closed = [s for s in held if s[1] + self.gap <= watermark * 1000]
-        left = [s for s in held if s[1] + self.gap > watermark * 1000]
+        over = held["last"] + self.gap <= watermark * 1000
+        closed, left = held[over], held[~over]
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if left:
-            self.open.put(left)
-            self.handle.registerTimer(-(-(min(s[1] for s in left) + self.gap) // 1000))
+        if len(left):
+            self.open.put(list(zip(*[left[c].tolist() for c in OPEN], strict=True)))
+            self.handle.registerTimer(-(-(int(left["last"].min()) + self.gap) // 1000))
         else:
             self.open.clear()
-        times = lambda k: pd.to_datetime([s[k] for s in closed], unit="us")
-        return pd.DataFrame({"key": pd.Series([key[0]] * len(closed), dtype=object), "first": times(0), "last": times(1), "n": pd.Series([s[2] for s in closed], dtype="int64")})
+        if len(closed):
+            times = {c: pd.to_datetime(closed[c], unit="us") for c in ("first", "last")}
+            yield closed.assign(**times)
 
     def close(self) -> None: ...
 
@@ -71,7 +87,7 @@ def incidents(events: DataFrame, key: str, time: str, gap_seconds: int, late: st
     The session needs ``STATE_STORE`` as its state store provider: see ``with_state``. Events without key or time are left out.
     """
     rows = events.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(time).alias("time"), F.unix_micros(time).alias("at"))
-    grouped = rows.withWatermark("time", late).groupBy("key")
+    grouped = rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int")).withWatermark("time", late).groupBy("bucket")
     return grouped.transformWithStateInPandas(Incidents(gap_seconds * 1_000_000), T.StructType.fromDDL(INCIDENT), "Append", "EventTime")
 
 
