@@ -5,9 +5,9 @@ vectors, rotated by their place; a text's vector is the sum of its trigrams' vec
 prototype the sum of the vectors, brought to length 1, of its training texts. A text gets the language whose
 prototype has the largest cosine with it. Vectors come from a fixed seed, and are the same everywhere.
 
-Training uses about ``PER_LANGUAGE`` rows of each language, chosen by a hash of id and text, and all rows of languages that have
-no more, among those outside the held-out fold that have a language and a text with letters; the sums are made by Spark.
-A row per language, and one per language and dimension, reach the driver.
+Training uses all rows outside the held-out fold that have a language and a text with letters; the sums are made by Spark.
+A row per language and dimension reaches the driver. A caller may ask for about so many rows of each language instead, chosen by a
+hash of id and text; no query does.
 
 The pipeline's stage keeps the texts that are in one of the asked languages (all that were learned, unless said otherwise) and
 whose cosine is at least ``FLOOR`` of that which all but ``LOWEST`` of the training texts of about the same length reach, so texts
@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 from . import common
 
 DIMENSIONS = 512
-PER_LANGUAGE, LOWEST, FLOOR = 5_000, 0.01, 0.5
+LOWEST, FLOOR = 0.01, 0.5
+#: Places to which cosines are rounded where a low one of them is taken, so that tasks count at most 10,001 values of each class.
+PLACES = 4
 FOLDS, HELD_OUT = 5, 0
 #: Symbols up to here have a table: 0 between words, the letters a to z, and small letters of Latin scripts. Other letters' symbols are
 #: their code points from here on, of up to so many bits.
@@ -163,16 +165,18 @@ def length_class(sizes: np.ndarray) -> np.ndarray:
     return np.minimum(np.ceil(np.log2(sizes + 1)), 10).astype(int)
 
 
-def chosen_rows(docs: DataFrame, per_language: int) -> DataFrame:
-    """lang and text of the training rows."""
+def chosen_rows(docs: DataFrame, per_language: int | None = None) -> DataFrame:
+    """lang and text of the training rows: all, or about so many of each language."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (common.fold_of("doc_id", FOLDS) != HELD_OUT))
+    if per_language is None:
+        return usable.select("lang", "text")
     counts = usable.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row per language
     shares = docs.sparkSession.createDataFrame([(r["lang"], -(-r["n"] // per_language)) for r in counts], "lang string, share long")
     # as many rows as there are languages
     return usable.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.col("share")) == 0).select("lang", "text")
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, floors: bool = False) -> Model:
+def train(docs: DataFrame, per_language: int | None = None, floors: bool = False) -> Model:
     """The model, if asked with low cosines of its training texts."""
     chosen = chosen_rows(docs, per_language)
 
@@ -201,7 +205,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, floors: bool = Fals
             _, cosines, classes = model.predict(batch["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int32()), pa.array(cosines)], names=["class", "cosine"])
 
-    least = chosen.mapInArrow(lowest, "class int, cosine double").groupBy("class").agg(F.percentile("cosine", LOWEST).alias("cosine")).collect()  # a row per class
+    least = chosen.mapInArrow(lowest, "class int, cosine double").groupBy("class").agg(F.percentile(F.round("cosine", PLACES), LOWEST).alias("cosine")).collect()  # a row per class
     return replace(model, floors={r["class"]: r["cosine"] for r in least})
 
 

@@ -118,6 +118,19 @@ def test_rare_languages_are_learned(spark):
     assert language.chosen_rows(docs, 20).where("lang = 'de'").count() == sum(zlib.crc32(str(i).encode()) % 5 > 0 for i, _, lang in rows if lang == "de")
 
 
+def test_every_training_row_counts(spark):
+    """Of more rows than a sample of 5,000 would hold, the model learns from each, the low cosines included."""
+    rows = [(k, "the and of that" if k != 7000 else "zum beispiel hier", "en") for k in range(7001)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    assert language.chosen_rows(docs).count() == sum(zlib.crc32(str(k).encode()) % 5 > 0 for k, _, _ in rows)
+    units = [slow_vector(t) / np.linalg.norm(slow_vector(t)) for t in ("the and of that", "zum beispiel hier")]
+    n = sum(zlib.crc32(str(k).encode()) % 5 > 0 for k in range(7000))
+    expected = n * units[0] + (zlib.crc32(b"7000") % 5 > 0) * units[1]
+    model = language.train(docs, floors=True)
+    assert np.abs(model.prototypes[0] - expected / np.linalg.norm(expected)).max() < 1e-7
+    assert min(model.floors.values()) > 0.9
+
+
 def test_the_stage_rejects_what_is_in_no_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     odd = spark.createDataFrame([(90_001, "qzx wvk jjq xzzv kqqw " * 40), (90_002, "это русский текст о погоде и природе " * 10), (90_003, "12345 ...")], "doc_id long, text string")
